@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import html
+import re
 import unicodedata
-from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,38 +37,20 @@ def spelled_group(c: Column | str) -> Column:
     return F.when(out != "", out)
 
 
-@lru_cache(1)
-def accent_table() -> tuple[str, str]:
-    """Letters with accents and the plain letters they decompose to, by Unicode's own decomposition."""
-    pairs = {}
-    for cp in [*range(0xC0, 0x250), *range(0x1E00, 0x1F00), *range(0x400, 0x460), *range(0xFF10, 0xFF5B)]:
-        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(cp)) if not unicodedata.combining(x))
-        if len(plain) == 1 and plain != chr(cp) and plain.isalnum():
-            pairs[chr(cp)] = plain
-    return "".join(pairs), "".join(pairs.values())
-
-
 # Letters of other alphabets that look like Latin ones, and those Latin ones.
-LOOKALIKE_FROM = "аеорсхуіјѕԁһкмтвнёαοινρυκτ"
-LOOKALIKE_TO = "aeopcxyijsdhkmtbheaoivpukt"
-
-# Character entities that stand in for punctuation or space.
-ENTITY = r"(?i)&(?:amp;)*(?:#0*39|#x0*27|#0*34|#x0*22|#0*38|#x0*26|#0*160|apos|quot|amp|lt|gt|nbsp|rsquo|lsquo|ldquo|rdquo|hellip|ndash|mdash);"
-
-
-def folded(c: Column | str) -> Column:
-    """A question for comparison: entities blanked, accents and look-alike letters plain, lower case."""
-    out = F.regexp_replace(as_col(c), ENTITY, " ")
-    out = F.translate(out, *accent_table())
-    out = F.translate(F.lower(out), LOOKALIKE_FROM, LOOKALIKE_TO)
-    return F.regexp_replace(out, r"[\p{M}\p{Cf}]+", "")
-
-
-def letters(folded_text: Column) -> Column:
-    """Only the letters and digits of a folded text."""
-    return F.regexp_replace(folded_text, r"[^\p{L}\p{N}]+", "")
-
-
-def words(folded_text: Column) -> Column:
-    """The words of a folded text; scripts without spaces give one word a character."""
-    return F.regexp_extract_all(folded_text, F.lit(r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]|[\p{L}\p{N}&&[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]]+"), F.lit(0))
+LOOKALIKE = str.maketrans("аеорсхуіјѕԁһкмтвнёαοινρυκτ", "aeopcxyijsdhkmtbheaoivpukt")
+
+_SPACELESS = "぀-ヿ㐀-䶿一-鿿豈-﫿가-힣"
+_WORD = re.compile(f"[{_SPACELESS}]|[^\\W_{_SPACELESS}]+")
+
+
+def plain_words(text: str) -> list[str]:
+    """The words of a text for comparison: entities resolved, compatibility forms, accents and look-alike letters
+    plain, lower case, no punctuation; scripts that don't put spaces between words give one word a character."""
+    while "&" in text and (resolved := html.unescape(text)) != text:
+        text = resolved
+    text = text.lower()
+    if not text.isascii():
+        spread = unicodedata.normalize("NFKD", text)
+        text = unicodedata.normalize("NFC", "".join(c for c in spread if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")).translate(LOOKALIKE)
+    return _WORD.findall(text)
