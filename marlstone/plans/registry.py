@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from marlstone.plans import dataset, evaluation
+
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Query] = {**dataset.QUERIES, **evaluation.QUERIES}
+SQL: dict[str, str] = {**dataset.SQL, **evaluation.SQL}
