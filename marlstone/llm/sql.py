@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-_SOURCE = r"nullif(translate(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), ' -', '__'), '')"
-_TASK = r"nullif(lower(regexp_replace(task_type, '^\s+|\s+$', '', 'g')), '')"
-_SPLIT = r"nullif(lower(regexp_replace(split, '^\s+|\s+$', '', 'g')), '')"
-_GROUP = r"nullif(translate(lower(regexp_replace(group_id, '\s+', '', 'g')), '_', '-'), '')"
+_SOURCE = r"nullif(translate(lower(regexp_replace(source, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), ' -', '__'), '')"
+_TASK = r"nullif(lower(regexp_replace(task_type, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), '')"
+_SPLIT = r"nullif(lower(regexp_replace(split, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')), '')"
+_GROUP = r"nullif(translate(lower(regexp_replace(group_id, '[\s\pZ]+', '', 'g')), '_', '-'), '')"
 
 _P1 = """
 with keys as (select sample_id, min(ingest_batch) batch, substr(sha256(sample_id), 1, 3) bucket from example where sample_id is not null group by sample_id),
