@@ -17,11 +17,11 @@ from marlstone.streaming.resume import coverage, pending
 
 SEED = "marlstone-1"
 
-TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+TRIM = r"regexp_replace({0}, '^[\s\pZ]+|[\s\pZ]+$', '', 'g')"
 _t = TRIM.format
 Q = rf"""q as (select sample_id, m.* from (select sample_id, min(struct_pack(ingest_batch := coalesce(ingest_batch, 0), ingested_at := coalesce(ingested_at, timestamp '1970-01-01'),
  source := coalesce(translate(lower({_t('source')}), ' -', '__'), ''), task_type := coalesce(lower({_t('task_type')}), ''), split := coalesce(lower({_t('split')}), ''),
- group_id := coalesce(translate(lower(regexp_replace(group_id, '\s+', '', 'g')), '_', '-'), ''), root_id := coalesce(nullif({_t('root_id')}, ''), sample_id), lang := coalesce(lower({_t('language')}), ''),
+ group_id := coalesce(translate(lower(regexp_replace(group_id, '[\s\pZ]+', '', 'g')), '_', '-'), ''), root_id := coalesce(nullif({_t('root_id')}, ''), sample_id), lang := coalesce(lower({_t('language')}), ''),
  teacher_only := coalesce(teacher_only, false), blocked := coalesce(quality.release_blocked, false), image := coalesce({_t('image')}, ''), question := coalesce({_t('question')}, ''))) m
  from example where sample_id is not null group by sample_id))"""
 _REASON = "case when split <> 'train' then 'non_train' when teacher_only then 'teacher_only' when blocked then 'release_blocked' end"
@@ -121,8 +121,8 @@ def box_targets(s: SparkSession, d: str) -> DataFrame:
 
 
 def answers(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example").where("sample_id is not null and size(options) > 0 and target.ids[0] is not null")
-    chosen = F.element_at(F.filter("options", lambda o: o["id"] == F.col("target.ids")[0]), 1)["text"]
+    e = table(s, d, "example").where("sample_id is not null and size(options) > 0 and get(target.ids, 0) is not null")
+    chosen = F.element_at(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), 1)["text"]
     a = e.select("sample_id", F.coalesce(spelled("split"), F.lit("")).alias("split"), F.coalesce(nest.question_family(F.coalesce("question", F.lit(""))), F.lit("other")).alias("family"), nest.normalized(chosen).alias("answer")).where("answer is not null")
     a = a.groupBy("sample_id").agg(F.min(F.struct("split", "family", "answer")).alias("a")).select("sample_id", "a.*")
     return a.withColumn("kind", nest.answer_kind(F.col("answer")))
@@ -210,7 +210,7 @@ def pending_rows(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (quota_manifest, exclusion_counts, shortage_report, hash_rank, argmin_sha, evaluation_roles, pilot_quotas, pilot_manifest, round_robin_manifest, group_leakage, distinct_counts, unused_candidates, role_by_task, split_promotion, first_split_wins, option_order, permutation_views, box_targets, answer_kinds, stable_negatives, history_prefix, majority_action, rating_mode, rating_quintiles, model_input, contract_violations, duplicate_ids, manifest_digest, prediction_coverage, pending_rows)}
 
-_N = rf"regexp_replace(lower({_t('{0}')}), '\s+', ' ', 'g')"
+_N = rf"regexp_replace(lower({_t('{0}')}), '[\s\pZ]+', ' ', 'g')"
 _FAM = "case " + " ".join(f"when regexp_matches(nq, '{p.replace(chr(39), chr(39) * 2)}') then '{n}'" for n, p in nest.FAMILIES) + " else 'other' end"
 _ANS = rf"""a0 as (select sample_id, min(struct_pack(split := coalesce(lower({_t('split')}), ''), family := {_FAM}, answer := answer)) a from
  (select sample_id, split, {_N.format("coalesce(question, '')")} nq, {_N.format("list_filter(options, lambda o: o.id = target.ids[1])[1].text")} answer from example where sample_id is not null and len(options) > 0 and target.ids[1] is not null) where answer is not null group by sample_id),
