@@ -5,7 +5,7 @@ that its seed fixes, and holds a list of the first few. The list is append-only:
 until the buckets on it hold the plan's size due by then, and never shortened. As an intake's bucket counts only
 depend on that and earlier intakes, later intakes can't take a bucket off the list, nor a key out of the sample.
 
-Sizes fall due evenly over the first ``intakes`` batches (a batch counts by its place among those present), so the
+Sizes fall due evenly over the first ``intakes`` batches (a batch counts by its place among those that brought new keys), so the
 list settles at the plan's share of a whole intake period instead of taking in whole early batches; afterwards the
 sample keeps growing in proportion to the data. A plan larger than the supply lists all buckets.
 

@@ -19,7 +19,7 @@ def rows(spark, data, schema):
 
 
 def test_stable_sample_keeps_members(spark):
-    data = [(f"k{i % 400}", i % 7 + 1) for i in range(900)] + [(None, 1), ("late", None)]
+    data = [(f"k{i}", i // 60 + 1) for i in range(420)] + [(f"k{i}", 7) for i in range(300)] + [(None, 1), ("late", None)]
     plans = rows(spark, [("a", "s1", 60), ("b", "s2", 0), ("c", "s3", 5000), ("n", "s4", None)], "plan_id string, seed string, size int")
     kept = set()
     for b in (1, 3, 5, 7):
