@@ -73,5 +73,5 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     later = kept[-1][0]
     for parents, size in reversed(kept[:-1]):
-        later = lookup(parents, "parent", later, size).select("node", "parent")
+        later = cut(lookup(parents, "parent", later, size).select("node", "parent"))
     return later.select("node", F.col("parent").alias("component"))
