@@ -97,7 +97,7 @@ def test_overlap(spark):
     got = sorted((r.sample_id_a, r.sample_id_b) for r in o.pairs().collect())
     assert got == [("a", "b"), ("a", "e"), ("f", "g"), ("long1", "long2")]
     report = {(r.split, r.source): (r.questions, r.exact, r.near) for r in o.report().collect()}
-    assert report["calibration", "t"] == (1, 1, 0) and report["dev", "s"] == (2, 0, 1) and report["test", "s"] == (2, 0, 2)
+    assert report["calibration", "t"] == (1, 1, 0) and report["dev", "s"] == (2, 0, 1) and report["test", "s"] == (3, 0, 2)
 
 
 def test_overlap_of_nothing(spark):
