@@ -2,17 +2,10 @@
 
 Questions are folded (case, spacing, punctuation, accents, entities, look-alike letters) and grouped into classes:
 one class for each picture and string of letters and digits, with the splits in which it occurs. Copies therefore
-never meet in pairs while searching. Exact overlaps are classes that occur on both sides. For the others, word
-n-grams of each evaluation class are looked up in an index of training n-grams with the same picture, and the
-containment of the evaluation class in each training class that shares one is computed. Last, the two strings'
-longest common subsequence decides.
+never meet in pairs while searching. Exact overlaps are classes that occur on both sides. For the others,
+the two strings' longest common subsequence decides. In pictures with up to ``CROWD`` training classes it judges every
+pair. In larger ones, candidates come from an index of training n-grams with the same picture:
 
-Two kinds of n-grams keep the index's lists short:
-
-* word bigrams, weighted by ln(1 + training classes of the picture / those with the bigram). A pair whose shared
-  weight is at least ``CONTAINED`` of the evaluation class's weight shares one of the class's rarest bigrams, those
-  before the last CONTAINED of the weight; only these are looked up. Bigrams that no training class has weigh
-  nothing. Such a pair also has to share that share of its words. Used for pictures with up to ``CROWD`` training classes.
 * pairs of words, for larger pictures and for questions without one, where phrases repeat. If two classes share
   ``WORDS_SHARED`` of the words of either, they share two of the n - ceil(WORDS_SHARED n) + 2 rarest words of each;
   pairs of these are looked up. Questions of more than ``LONG`` words use their rarest word trigrams instead, as
@@ -115,6 +108,10 @@ def near_classes(classes: DataFrame) -> DataFrame:
     sides = sides.where("crowd > 0 and asked").select("picture", "crowd")
     c = classes.join(sides, "picture").withColumn("w", F.split("fold", " ")).withColumn("size", F.size("w"))
     c = c.select("class", "picture", "crowd", "w", "size", "train", "evaluation")
+    # up to CROWD training classes: no word decides, each pair of the picture is judged by its letters
+    few = c.where(F.col("crowd") <= CROWD)
+    whole = few.where("evaluation").select("picture", F.col("class").alias("a")).join(few.where("train").select("picture", F.col("class").alias("b")), "picture")
+    whole = whole.where(F.col("a") != F.col("b")).select("a", "b")
 
     def decided(met: DataFrame, least: float) -> DataFrame:
         """Pairs that share enough words, judged where they arise, so that no others are shuffled on."""
@@ -151,8 +148,7 @@ def near_classes(classes: DataFrame) -> DataFrame:
         return met.where((F.col("a") != F.col("b")) & enough).select("a", "b").distinct()
 
     crowded = c.where(F.col("crowd") > CROWD)
-    met = weighted(c.where(F.col("crowd") <= CROWD), 2, CONTAINED)
-    met = met.unionByName(paired(crowded.where(F.col("size") <= LONG))).unionByName(weighted(crowded.where(F.col("size") >= int(LONG * WORDS_SHARED)), 3, WORDS_SHARED)).distinct()
+    met = whole.unionByName(paired(crowded.where(F.col("size") <= LONG))).unionByName(weighted(crowded.where(F.col("size") >= int(LONG * WORDS_SHARED)), 3, WORDS_SHARED)).distinct()
     text = classes.select("class", "picture", F.replace("fold", F.lit(" "), F.lit("")).alias("letters"))
     both = met.join(text.select(F.col("class").alias("a"), F.col("letters").alias("_la"), F.col("picture").alias("_pa")), "a")
     both = both.join(text.select(F.col("class").alias("b"), F.col("letters").alias("_lb"), F.col("picture").alias("_pb")), "b").where("_pa = _pb")

@@ -100,6 +100,15 @@ def test_overlap(spark):
     assert report["calibration", "t"] == (1, 1, 0) and report["dev", "s"] == (2, 0, 1) and report["test", "s"] == (3, 0, 2)
 
 
+def test_overlap_with_errors_in_all_words(spark):
+    clean = "read the lettering painted upon the jug name the word that follows harvest"
+    # an error in every second word: no two neighbouring words are whole
+    typos = "raed the letering painted upn the jgu name teh word tht follows harvets"
+    data = [("a", "train", "images/1/00000000123.jpg", clean), ("b", "dev", "images/2/00000000123.jpg", typos), ("c", "train", "images/1/00000000123.jpg", "is there a cat")]
+    o = overlap.Overlap(spark.createDataFrame([(k, sp, "s", im, q, "x", "y") for k, sp, im, q in data], E))
+    assert [tuple(r) for r in o.pairs().collect()] == [("a", "b")]
+
+
 def test_overlap_of_nothing(spark):
     o = overlap.Overlap(spark.createDataFrame([], E))
     assert o.pairs().count() == 0 and o.report().count() == 0
