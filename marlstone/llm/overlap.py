@@ -3,17 +3,18 @@
 Questions are folded (case, spacing, punctuation, accents, entities, look-alike letters) and grouped into classes:
 one class for each picture and string of letters and digits, with the splits in which it occurs. Copies therefore
 never meet in pairs while searching. Exact overlaps are classes that occur on both sides. For the others,
-the two strings' longest common subsequence decides. In pictures with up to ``CROWD`` training classes it judges every
-pair. In larger ones, candidates come from an index of training n-grams with the same picture:
+the two strings' longest common subsequence decides, by one criterion for pictures of every size. ``CROWD`` only
+chooses how the pairs are met:
 
-* pairs of words, for larger pictures and for questions without one, where phrases repeat. If two classes share
-  ``WORDS_SHARED`` of the words of either, they share two of the n - ceil(WORDS_SHARED n) + 2 rarest words of each;
-  pairs of these are looked up. Questions of more than ``LONG`` words use their rarest word trigrams instead, as
-  long texts hardly share any by chance; those from ``LONG`` x WORDS_SHARED words on use both kinds, so that a pair
-  of unequal length meets in one of them.
+* up to CROWD training classes, by a join on the picture;
+* beyond, and for questions without a picture, in blocks of up to about ``BLOCK`` evaluation and BLOCK training
+  classes of similar length. In each block all pairs are tested against a bound that the criterion implies: if L letters of two
+  strings of n and m letters agree in order, at least 3 L - n - m - 1 adjacent pairs of letters agree too, none of
+  them moved by more than n - L or m - L places. One matrix product a zone of the strings counts them. For pairs that
+  pass, subsequences are computed bit-parallel, many at a time, and given up once L is out of reach.
 
-Nothing is capped: no list is cut and no partner dropped. A pair that shares nothing rare enough is not contained
-in the sense above.
+No pair that meets the criterion is lost. The price is that each evaluation class is compared with each training class
+of a crowded picture that isn't too long or too short, so work grows with the product of both numbers.
 
 Defined cases: null and blank questions, and those without letters and digits, are no cases; a null or blank image is
 no picture, and such questions are compared with each other; an image without an eleven-digit number is an unknown
@@ -23,22 +24,28 @@ length are compared whole.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window as W
 
 from marlstone.functions.text import plain_words, spelled, spelled_source, stripped
 from marlstone.plans.lineage import cut
 
-CONTAINED = 0.4
-WORDS_SHARED = 0.7
 CROWD = 256
 FEW = 2_000_000
-LONG = 64
+#: Classes of one side in a block, about.
+BLOCK = 4096
+#: Bands of length are this wide (natural logarithm).
+BAND = 0.1
+#: Adjacent letters are hashed into so many buckets; pairs that share one only weaken the bound.
+BUCKETS = 1024
+ZONES = 4
+#: Occurrences of a pair in a zone that are matched one by one; more count as if they matched.
+REPEATS = 3
 #: Share of the longer question's letters and digits that have to agree in order.
 AGREE = 0.775
 EVALUATION = ("dev", "calibration", "test")
@@ -60,7 +67,7 @@ def common(a: str, b: str) -> int:
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
     """The common share of the longer of two strings; 0 where their lengths alone rule out AGREE."""
-    return pd.Series([0.0 if min(len(x), len(y)) < AGREE * max(len(x), len(y)) else common(x, y) / max(len(x), len(y)) for x, y in zip(a, b)], dtype="float64")
+    return pd.Series([0.0 if min(len(x), len(y)) / max(len(x), len(y)) < AGREE else common(x, y) / max(len(x), len(y)) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
@@ -92,10 +99,130 @@ def deliveries(rows: DataFrame, key: str = "sample_id") -> DataFrame:
     return cut(r.select("key", "split", "source", "picture", named.alias("class"), "fold"))
 
 
-def grams(w: Column, n: int) -> Column:
-    """The distinct word n-grams of an array of words, as hashes; a shorter text gives its only one."""
-    last = F.greatest(F.size(w) - n, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, n), " "))))
+def least_common(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Letters that have to agree in strings of n and m letters."""
+    return np.ceil(AGREE * np.maximum(n, m) - 1e-9).astype(np.int64)
+
+
+def coded(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of all texts, one after another, and the lengths of the texts."""
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.array([len(t) for t in texts], dtype=np.int64)
+
+
+def occurrences(codes: np.ndarray, lengths: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """(text, bucket): how often adjacent pairs that start in places lo to hi - 1 occur."""
+    row = np.repeat(np.arange(len(lengths)), lengths)
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.nonzero((place >= lo) & (place < hi) & (place < np.repeat(lengths, lengths) - 1))[0]
+    pair = (codes[at].astype(np.int64) * 1009 + codes[at + 1] * 31) % BUCKETS
+    return np.bincount(row[at] * BUCKETS + pair, minlength=len(lengths) * BUCKETS).reshape(len(lengths), BUCKETS)
+
+
+def hopeful(x: list[str], y: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Indexes of the pairs of x and y that lengths and adjacent letters don't rule out."""
+    (cx, n), (cy, m) = coded(x), coded(y)
+    least = least_common(n[:, None], m[None])
+    fit = np.minimum(n[:, None], m[None]) >= least
+    if not fit.any():
+        return np.nonzero(fit)
+    # letter i of x and j of y agree only with j - (m - L) <= i <= j + (n - L); the farthest of all pairs that fit
+    before, after = int((m[None] - least)[fit].max()), int((n[:, None] - least)[fit].max())
+    width = -(-int(m.max()) // ZONES)
+    common_pairs = np.zeros(fit.shape, dtype=np.float32)
+    for z in range(ZONES):
+        a = occurrences(cx, n, z * width - before, (z + 1) * width + after)
+        b = occurrences(cy, m, z * width, (z + 1) * width)
+        common_pairs += np.maximum(b - REPEATS, 0).sum(axis=1, dtype=np.float32)[None]
+        for k in range(1, REPEATS + 1):
+            used = np.nonzero((a >= k).any(axis=0) & (b >= k).any(axis=0))[0]
+            common_pairs += (a[:, used] >= k).astype(np.float32) @ (b[:, used] >= k).astype(np.float32).T
+    return np.nonzero(fit & (common_pairs >= 3 * least - n[:, None] - m[None] - 1))
+
+
+def common_of(x: list[str], y: list[str], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair x[i], y[j] the length of the longest common subsequence; 0 where it is too short to agree."""
+    (cx, n), (cy, m) = coded(x), coded(y)
+    words = -(-int(n.max()) // 64)
+    letters, cx = np.unique(cx, return_inverse=True)
+    if len(i) < 16 or words > 16 or len(x) * (len(letters) + 1) * words > 1 << 23:
+        return np.array([common(x[p], y[q]) for p, q in zip(i, j)], dtype=np.int64)
+    # one bit for each place of a letter in x; the last letter stands for those that no x has
+    masks = np.zeros((words, len(x), len(letters) + 1), dtype=np.uint64)
+    place = np.arange(len(cx)) - np.repeat(np.cumsum(n) - n, n)
+    np.bitwise_or.at(masks, (place // 64, np.repeat(np.arange(len(x)), n), cx), np.uint64(1) << (place % 64).astype(np.uint64))
+    at = np.minimum(np.searchsorted(letters, cy), len(letters) - 1)
+    at = np.where(letters[at] == cy, at, len(letters))
+    spread = np.full((len(y), int(m.max())), len(letters))
+    spread[np.repeat(np.arange(len(y)), m), np.arange(len(cy)) - np.repeat(np.cumsum(m) - m, m)] = at
+    masks = masks.reshape(words, -1)
+    out = np.zeros(len(i), dtype=np.int64)
+    for start in range(0, len(i), 4096):
+        live = np.arange(start, min(start + 4096, len(i)))
+        row = [np.full(len(live), ~np.uint64(0)) for _ in range(words)]
+        p, q, least = i[live], j[live], least_common(n[i[live]], m[j[live]])
+        for step in range(int(m[q].max())):
+            hit = p * (len(letters) + 1) + spread[q, step]
+            carry = np.zeros(len(live), dtype=np.uint64)
+            for w in range(words):
+                mask = masks[w][hit]
+                both = row[w] & mask
+                total = row[w] + both
+                over = total < both
+                total += carry
+                carry = (over | (total < carry)).astype(np.uint64)
+                row[w] = total | (row[w] & ~mask)
+            done = step + 1
+            if done % 16 == 0 or done == spread.shape[1]:
+                reach = np.minimum(n[p], done + n[p] - least)
+                got = sum(np.bitwise_count(~row[w] & low_bits(reach - 64 * w)).astype(np.int64) for w in range(words))
+                keep = got + np.maximum(m[q] - done, 0) >= least
+                if not keep.all():
+                    live, p, q, least, row = live[keep], p[keep], q[keep], least[keep], [r[keep] for r in row]
+                    if not len(live):
+                        break
+        if len(live):
+            out[live] = sum(np.bitwise_count(~r).astype(np.int64) for r in row)
+    return out
+
+
+def low_bits(n: np.ndarray) -> np.ndarray:
+    """Words whose lowest n bits are set; none below 0, all from 64 on."""
+    return np.where(n >= 64, ~np.uint64(0), (np.uint64(1) << np.clip(n, 0, 63).astype(np.uint64)) - np.uint64(1))
+
+
+def block_pairs(asked: pd.DataFrame, held: pd.DataFrame, side: int = 1024) -> pd.DataFrame:
+    """(a, b, agree): the pairs of a block that agree."""
+    asked, held = (f.sort_values(k, key=lambda t: t.str.len(), kind="stable") for f, k in ((asked, "x"), (held, "y")))
+    found = []
+    for r in range(0, len(asked), side):
+        a, x = asked.a.iloc[r : r + side].tolist(), asked.x.iloc[r : r + side].tolist()
+        for s in range(0, len(held), side):
+            b, y = held.b.iloc[s : s + side].tolist(), held.y.iloc[s : s + side].tolist()
+            i, j = hopeful(x, y)
+            if len(i):
+                got = common_of(x, y, i, j)
+                found += [(a[p], b[q], k / max(len(x[p]), len(y[q]))) for p, q, k in zip(i, j, got) if k / max(len(x[p]), len(y[q])) >= AGREE and a[p] != b[q]]
+    return pd.DataFrame(found, columns=["a", "b", "agree"])
+
+
+def crowded_pairs(c: DataFrame) -> DataFrame:
+    """(a, b, agree) of crowded pictures. A block is a picture, a band of lengths and a slot of either side."""
+    c = c.withColumn("band", F.floor(F.log(F.length("letters")) / BAND).cast("int"))
+    slots = c.groupBy("picture", "band").agg(*[F.ceil(F.sum(F.col(s).cast("int")) / BLOCK).cast("int").alias(s) for s in ("evaluation", "train")])
+    slot = lambda n: F.pmod(F.xxhash64("class"), F.greatest(F.col(n), F.lit(1))).cast("int")
+    # two bands are far apart only if the lengths in them are
+    far = math.ceil(-math.log(AGREE) / BAND)
+    other = slots.select("picture", F.col("band").alias("band2"), F.col("evaluation").alias("e2"), F.col("train").alias("t2"))
+    met = c.join(slots.withColumnRenamed("evaluation", "e1").withColumnRenamed("train", "t1"), ["picture", "band"]).join(other, "picture").where(F.abs(F.col("band") - F.col("band2")) <= far)
+    block = lambda *k: F.xxhash64("picture", *k).alias("block")
+
+    def sided(of: str, mine: str, others: str, names: tuple[str, str], *k: str) -> DataFrame:
+        r = met.where(of).where(F.col(others) > 0).withColumn("mine", slot(mine)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        return r.select(block(*k), F.col("class").alias(names[0]), F.col("letters").alias(names[1]))
+
+    asked = sided("evaluation", "e1", "t2", ("a", "x"), "band", "mine", "band2", "other")
+    held = sided("train", "t1", "e2", ("b", "y"), "band2", "other", "band", "mine")
+    return asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(lambda asked, held: block_pairs(asked, held), "a binary, b binary, agree double")
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
@@ -106,54 +233,13 @@ def near_classes(classes: DataFrame) -> DataFrame:
     # pictures with both sides; sizes of pictures, not of their rows, are joined
     sides = classes.groupBy("picture").agg(F.sum(F.col("train").cast("int")).alias("crowd"), F.max("evaluation").alias("asked"))
     sides = sides.where("crowd > 0 and asked").select("picture", "crowd")
-    c = classes.join(sides, "picture").withColumn("w", F.split("fold", " ")).withColumn("size", F.size("w"))
-    c = c.select("class", "picture", "crowd", "w", "size", "train", "evaluation")
-    # up to CROWD training classes: no word decides, each pair of the picture is judged by its letters
+    c = classes.join(sides, "picture").select("class", "picture", "crowd", "train", "evaluation", F.replace("fold", F.lit(" "), F.lit("")).alias("letters"))
     few = c.where(F.col("crowd") <= CROWD)
-    whole = few.where("evaluation").select("picture", F.col("class").alias("a")).join(few.where("train").select("picture", F.col("class").alias("b")), "picture")
-    whole = whole.where(F.col("a") != F.col("b")).select("a", "b")
-
-    def decided(met: DataFrame, least: float) -> DataFrame:
-        """Pairs that share enough words, judged where they arise, so that no others are shuffled on."""
-        shared = F.size(F.array_intersect("wa", "wb")) >= least * F.least(F.size("wa"), F.size("wb"))
-        return met.where((F.col("a") != F.col("b")) & shared).select("a", "b").distinct()
-
-    def weighted(rows: DataFrame, n: int, least: float) -> DataFrame:
-        ws = F.transform(F.array_distinct("w"), lambda x: F.hash(x)).alias("ws")
-        g = rows.select("class", "picture", "crowd", "train", "evaluation", ws, F.explode(grams(F.col("w"), n)).alias("g"))
-        held = g.where("train").groupBy("picture", "g").agg(F.count(F.lit(1)).alias("df"))
-        asked = g.where("evaluation").join(held, ["picture", "g"]).withColumn("weight", F.log(1 + F.col("crowd") / F.col("df")))
-        w = W.partitionBy("class").orderBy(F.desc("weight"), "g").rowsBetween(W.unboundedPreceding, W.currentRow)
-        asked = asked.withColumn("sum", F.sum("weight").over(w)).withColumn("all", F.sum("weight").over(W.partitionBy("class")))
-        rare = asked.where(F.col("sum") - F.col("weight") <= (1 - CONTAINED) * F.col("all") + 1e-9).select("picture", "g", F.col("class").alias("a"), F.col("ws").alias("wa"))
-        listed = g.where("train").select("picture", "g", F.col("class").alias("b"), F.col("ws").alias("wb"))
-        return decided(rare.join(listed, ["picture", "g"]), least)
-
-    def paired(rows: DataFrame) -> DataFrame:
-        g = rows.select("class", "picture", "train", "evaluation", F.explode(F.array_distinct("w")).alias("g")).withColumn("g", F.hash("g"))
-        held = g.groupBy("picture", "g").agg(F.sum(F.col("train").cast("int")).alias("df"))
-        # word statistics of crowded pictures: joined, not broadcast, and aggregated to one row a class, with 128 bits
-        # that stand for its words; what words share a bit is known, so the test on bits below loses no pair
-        bit = F.pmod("g", F.lit(128))
-        bits = lambda lo: F.bit_or(F.when(F.floor(bit / 64) == lo, F.expr("shiftleft(1L, pmod(g, 64))")).otherwise(F.lit(0).cast("long")))
-        ranked = g.join(held, ["picture", "g"]).groupBy("class", "picture").agg(F.array_sort(F.collect_set(F.struct("df", "g"))).alias("ws"), F.max("train").alias("train"), F.max("evaluation").alias("evaluation"), bits(0).alias("s"), bits(1).alias("t"))
-        n = F.size("ws")
-        ranked = ranked.select("class", "picture", "train", "evaluation", "s", "t", n.alias("n"), F.slice("ws.g", 1, n - F.ceil(n * WORDS_SHARED).cast("int") + 2).alias("first"))
-        one = ranked.select("*", F.posexplode("first").alias("i", "x")).select("*", F.explode(F.when(F.col("n") > 1, F.slice("first", F.col("i") + 2, F.size("first"))).otherwise(F.col("first"))).alias("y"))
-        keyed = one.select("class", "train", "evaluation", "n", "s", "t", (F.col("n") - F.bit_count("s") - F.bit_count("t")).alias("slack"), F.xxhash64("picture", F.least("x", "y"), F.greatest("x", "y")).alias("g"))
-        asked = keyed.where("evaluation").select("g", F.col("class").alias("a"), *[F.col(x).alias(x + "a") for x in ("n", "s", "t", "slack")])
-        met = asked.join(keyed.where("train").select("g", F.col("class").alias("b"), *[F.col(x).alias(x + "b") for x in ("n", "s", "t", "slack")]), "g")
-        # judged where the pair arises: pairs whose bits rule out enough shared words are not shuffled on
-        enough = F.bit_count(F.col("sa").bitwiseAND(F.col("sb"))) + F.bit_count(F.col("ta").bitwiseAND(F.col("tb"))) + F.least("slacka", "slackb") >= WORDS_SHARED * F.least("na", "nb")
-        return met.where((F.col("a") != F.col("b")) & enough).select("a", "b").distinct()
-
-    crowded = c.where(F.col("crowd") > CROWD)
-    met = whole.unionByName(paired(crowded.where(F.col("size") <= LONG))).unionByName(weighted(crowded.where(F.col("size") >= int(LONG * WORDS_SHARED)), 3, WORDS_SHARED)).distinct()
-    text = classes.select("class", "picture", F.replace("fold", F.lit(" "), F.lit("")).alias("letters"))
-    both = met.join(text.select(F.col("class").alias("a"), F.col("letters").alias("_la"), F.col("picture").alias("_pa")), "a")
-    both = both.join(text.select(F.col("class").alias("b"), F.col("letters").alias("_lb"), F.col("picture").alias("_pb")), "b").where("_pa = _pb")
-    short = F.least(F.length("_la"), F.length("_lb")) >= AGREE * F.greatest(F.length("_la"), F.length("_lb"))
-    return both.where(short).select("a", "b", agreement("_la", "_lb").alias("agree")).where(F.col("agree") >= AGREE)
+    asked = few.where("evaluation").select("picture", F.col("class").alias("a"), F.col("letters").alias("_la"))
+    whole = asked.join(few.where("train").select("picture", F.col("class").alias("b"), F.col("letters").alias("_lb")), "picture").where(F.col("a") != F.col("b"))
+    short = F.least(F.length("_la"), F.length("_lb")) / F.greatest(F.length("_la"), F.length("_lb")) >= AGREE
+    whole = whole.where(short).select("a", "b", agreement("_la", "_lb").alias("agree")).where(F.col("agree") >= AGREE)
+    return whole.unionByName(crowded_pairs(c.where(F.col("crowd") > CROWD)))
 
 
 class Overlap:

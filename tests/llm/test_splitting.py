@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 
+import pandas as pd
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -109,6 +110,52 @@ def test_overlap_with_errors_in_all_words(spark):
     assert [tuple(r) for r in o.pairs().collect()] == [("a", "b")]
 
 
+def test_overlap_does_not_depend_on_the_crowd(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = "read lettering painted upon jug name word follows harvest every narrow window behind green wooden door counts".split()
+
+    def typos(t, k):
+        t = list(t)
+        for _ in range(k):
+            i = rnd.randrange(len(t) - 1)
+            t[i], t[i + 1] = t[i + 1], t[i]
+        return "".join(t)
+
+    clean = [" ".join(rnd.choice(words) for _ in range(rnd.choice([1, 4, 12, 25]))) for _ in range(40)]
+    held = clean + [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 30))) for _ in range(260)]
+    asked = [typos(t, len(t) // 8) for t in clean]
+    letters = lambda t: t.replace(" ", "")
+    same = lambda a, b: overlap.common(letters(a), letters(b)) / max(len(letters(a)), len(letters(b))) >= overlap.AGREE
+    want = sorted((f"a{i}", f"b{j}") for i, a in enumerate(asked) for j, b in enumerate(held) if same(a, b))
+    assert len(want) >= 40
+    data = [(f"a{i}", "test", "s", None, t, "x", "y") for i, t in enumerate(asked)] + [(f"b{j}", "train", "s", None, t, "x", "y") for j, t in enumerate(held)]
+    df = spark.createDataFrame(data, E)
+    for crowd, block in ((1000, 4096), (256, 4096), (0, 20)):
+        monkeypatch.setattr(overlap, "CROWD", crowd)
+        monkeypatch.setattr(overlap, "BLOCK", block, raising=False)
+        assert sorted(tuple(r) for r in overlap.Overlap(df).pairs().collect()) == want
+
+
+def test_block_pairs_match_brute_force():
+    rnd = random.Random(3)
+
+    def changed(t, k):
+        t = list(t)
+        for _ in range(k):
+            if t and rnd.random() < 0.5:
+                del t[rnd.randrange(len(t))]
+            else:
+                t.insert(rnd.randrange(len(t) + 1), rnd.choice("abcdé图🙂"))
+        return "".join(t) or "a"
+
+    for _ in range(20):
+        base = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 3, 20, 63, 64, 65, 130, 300, 1200]))) for _ in range(4)]
+        x, y = ([changed(rnd.choice(base), rnd.randrange(60)) for _ in range(n)] for n in (40, 50))
+        want = {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if overlap.common(a, b) / max(len(a), len(b)) >= overlap.AGREE}
+        got = overlap.block_pairs(pd.DataFrame({"a": [("x", i) for i in range(40)], "x": x}), pd.DataFrame({"b": [("y", j) for j in range(50)], "y": y}), 17)
+        assert {(a[1], b[1]) for a, b in zip(got.a, got.b)} == want
+
+
 def test_overlap_of_nothing(spark):
     o = overlap.Overlap(spark.createDataFrame([], E))
     assert o.pairs().count() == 0 and o.report().count() == 0
