@@ -10,7 +10,7 @@ texts that were garbled more than once. U+FFFD is what a decoder leaves of bytes
 garbled and can't be restored there.
 
 The pair table keeps pairs of at least ``RARE`` of all pairs, so it has at most 1 / RARE rows whatever the corpus,
-and is broadcast; rarer pairs are scored by their characters. Documents are scanned twice, nothing else is shuffled
+and is broadcast; rarer pairs are scored by their characters, whose table is whole. Documents are scanned twice, nothing else is shuffled
 than the counts.
 
 Defined cases: null and empty texts are not garbled; escapes, entities, rare scripts, emoji, box drawings and
@@ -316,13 +316,14 @@ def restore(text: str | None, model: PairModel) -> tuple[bool, str | None, bool]
 
 
 def pair_model(docs: DataFrame, text: str = "text") -> PairModel:
-    """The model of a corpus. Only pairs and characters of at least RARE of all come to the driver: 1 / RARE rows."""
+    """The model of a corpus. Pairs of at least RARE of all come to the driver, 1 / RARE rows, and all characters,
+    which Unicode bounds."""
     from marlstone.plans.lineage import cut
 
     counts = cut(count_pairs(docs, text))
     total = counts.where(F.col("pair") < CLOSED_UP).agg(F.sum("n").alias("n")).first()["n"] or 0
     kept = counts.where(F.col("n") >= RARE * total).toPandas()
-    chars = counts.where(F.col("pair") < CLOSED_UP).groupBy(F.shiftright("pair", 21).alias("c")).agg(F.sum("n").alias("n")).where(F.col("n") >= RARE * total).toPandas()
+    chars = counts.where(F.col("pair") < CLOSED_UP).groupBy(F.shiftright("pair", 21).alias("c")).agg(F.sum("n").alias("n")).toPandas()
     return PairModel(kept["pair"].to_numpy(np.int64), kept["n"].to_numpy(np.int64), chars["c"].to_numpy(np.int64), chars["n"].to_numpy(np.int64))
 
 

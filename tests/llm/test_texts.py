@@ -103,6 +103,15 @@ def test_find_garbled(spark):
     assert got[lossy][1] is False
 
 
+def test_rare_characters_keep_their_stumps(spark, monkeypatch):
+    monkeypatch.setattr(garbled, "RARE", 0.01)
+    df = spark.createDataFrame([(i, "plain words") for i in range(100)] + [(100, "plain Á words")], "doc_id long, text string")
+    model = garbled.pair_model(df)
+    assert ord("Á") in model.char_p and "Á" in model.stumps["Ã"]
+    assert abs(sum(model.char_p.values()) - 1) < 1e-9
+    assert (ord("Á") << 21 | ord(" ")) not in model.pairs
+
+
 def test_find_garbled_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")
     assert garbled.find_garbled(df).count() == 0 and garbled.find_garbled(df.limit(0)).count() == 0
