@@ -14,7 +14,7 @@ from marlstone.llm.mixing import Mix, budgets_of
 from marlstone.llm.overlap import Overlap
 from marlstone.llm.packing import oversize, pack_corpus, utilisation
 from marlstone.llm.quota_sample import QuotaSample
-from marlstone.llm.stable_sample import bucket_list, first_seen, stable_sample
+from marlstone.llm.stable_sample import bucket_list, first_seen, shortfall, stable_sample
 from marlstone.plans.lineage import cut
 from marlstone.sources.tables import table
 
@@ -34,6 +34,10 @@ def p1_bucket_list(s: SparkSession, d: str) -> DataFrame:
     return bucket_list(first_seen(table(s, d, "example"), "sample_id", "ingest_batch"), _plans(s, d))
 
 
+def p1_report(s: SparkSession, d: str) -> DataFrame:
+    return shortfall(cut(first_seen(table(s, d, "example"), "sample_id", "ingest_batch")), _plans(s, d))
+
+
 def _quota(s: SparkSession, d: str) -> QuotaSample:
     return QuotaSample(table(s, d, "example"), table(s, d, "sft_117k"))
 
@@ -121,5 +125,5 @@ def p8_restored(s: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     f.__name__: f
-    for f in (p1_stable_sample, p1_bucket_list, p2_found, p2_report, p2_sample, p3_found, p3_report, p3_mix, p4_found, p4_report, p5_found, p5_assign, p5_report, p6_ids, p7_found, p7_packing, p7_utilisation, p8_found, p8_restored)
+    for f in (p1_stable_sample, p1_bucket_list, p1_report, p2_found, p2_report, p2_sample, p3_found, p3_report, p3_mix, p4_found, p4_report, p5_found, p5_assign, p5_report, p6_ids, p7_found, p7_packing, p7_utilisation, p8_found, p8_restored)
 }

@@ -68,3 +68,16 @@ def stable_sample(rows: DataFrame, plans: DataFrame, key: str = "sample_id", bat
     listed = bucket_list(keys, plans, intakes)
     out = keys.join(F.broadcast(listed), "bucket")
     return out.select("plan_id", F.col("key").alias(key), "bucket", F.col("position").cast("int").alias("position"), F.col("batch").alias("first_batch"))
+
+
+def shortfall(keys: DataFrame, plans: DataFrame, intakes: int = INTAKES) -> DataFrame:
+    """(plan_id, size, supply, undated, intakes, members, short): what each plan asks for and what its sample holds.
+
+    supply: all keys; undated: those without a batch; intakes: batches that brought new keys; short: what members lack
+    of the size, because sizes aren't due yet, all batches are null or the supply is smaller.
+    """
+    counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+    whole = keys.agg(F.count(F.lit(1)).alias("supply"), F.count_if(F.col("batch").isNull()).alias("undated"), F.count_distinct("batch").alias("intakes"))
+    held = bucket_list(keys, plans, intakes).join(F.broadcast(counts), "bucket").groupBy("plan_id").agg(F.sum("n").alias("members"))
+    out = plans.select("plan_id", "size").join(F.broadcast(held), "plan_id", "left").crossJoin(F.broadcast(whole)).na.fill(0, ["members"])
+    return out.select("plan_id", "size", "supply", "undated", "intakes", "members", F.greatest(F.coalesce("size", F.lit(0)) - F.col("members"), F.lit(0)).alias("short"))

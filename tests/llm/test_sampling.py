@@ -38,6 +38,19 @@ def test_stable_sample_of_nothing(spark):
     assert stable_sample.stable_sample(rows(spark, [], "sample_id string, ingest_batch int"), plans).count() == 0
 
 
+def test_shortfall_is_reported(spark):
+    plans = rows(spark, [("a", "s1", 320), ("all", "s2", 5000), ("n", "s3", None)], "plan_id string, seed string, size int")
+    for batch, dated in ((1, 1), (None, 0)):
+        df = rows(spark, [(f"k{i}", batch) for i in range(1000)] + [("k1", batch), (None, 1)], "sample_id string, ingest_batch int")
+        sample = stable_sample.stable_sample(df, plans)
+        got = {r.plan_id: r for r in stable_sample.shortfall(stable_sample.first_seen(df, "sample_id", "ingest_batch"), plans).collect()}
+        assert set(got) == {"a", "all", "n"}
+        for p, r in got.items():
+            assert r.members == sample.where(sample.plan_id == p).count() and r.short == max(0, (r["size"] or 0) - r.members)
+            assert (r.supply, r.intakes, r.undated) == (1000, dated, 0 if dated else 1000)
+        assert got["a"].short > 0
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 50), st.integers(0, 20), st.integers(0, 60)), min_size=1, max_size=8), st.integers(0, 300))
 def test_spread_stays_in_bounds(parts, amount):
