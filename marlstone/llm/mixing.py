@@ -9,7 +9,8 @@ records are also a larger one's.
 A budget above a source's total size repeats the source whole, at most ``repeats`` times, and draws the rest. The
 records taken up to a threshold are the longest run whose size stays within the budget.
 
-Defined cases: keys count once, with their greatest size; null keys, null sources and sources that no mixture names
+Defined cases: keys count once, with their greatest size; one that was delivered under several sources is available in
+each, but drawn in the first by spelling only, so a source may use less than its budget without being short; null keys, null sources and sources that no mixture names
 take no part; a null or negative size is 0; a budget above repeats x total is short and uses all that is allowed; a
 source without records is short by its whole budget.
 """
@@ -43,7 +44,10 @@ class Mix:
         r = rows.select(F.col(key).alias("key"), source.alias("source"), F.greatest(F.coalesce(size.cast("long"), F.lit(0)), F.lit(0)).alias("size"))
         named = F.broadcast(budgets.select("source").distinct())
         r = r.where(F.col("key").isNotNull() & F.col("source").isNotNull()).join(named, "source", "left_semi")
-        keys = r.groupBy("key").agg(F.min("source").alias("source"), F.max("size").alias("size")).withColumn("rank", digest("key"))
+        # a key is available in each source that it was delivered under, but drawn in the first by spelling only
+        keys = r.groupBy("key").agg(F.collect_set("source").alias("sources"), F.max("size").alias("size"))
+        each = keys.select(F.explode("sources").alias("source"), "size").groupBy("source").agg(F.sum("size").alias("available"))
+        keys = keys.select("key", F.array_min("sources").alias("source"), "size", digest("key").alias("rank"))
 
         def summed(rows: DataFrame, by: list[str], part: Column) -> DataFrame:
             s = rows.groupBy(*by, part.alias("part")).agg(F.sum("size").alias("sum"))
@@ -76,6 +80,6 @@ class Mix:
 
         def report(t: DataFrame) -> DataFrame:
             share = F.col("used") / F.greatest(F.sum("used").over(W.partitionBy("mixture_id")), F.lit(1))
-            return t.select(*ids, "budget", "repeats", F.col("supply").alias("available"), "used", (F.col("budget") / F.greatest("total", F.lit(1))).alias("target_share"), share.alias("actual_share"), (F.col("budget") > F.col("repeats") * F.col("supply")).alias("short"))
+            return t.select(*ids, "budget", "repeats", "available", "used", (F.col("budget") / F.greatest("total", F.lit(1))).alias("target_share"), share.alias("actual_share"), (F.col("budget") > F.col("repeats") * F.col("available")).alias("short"))
 
-        self.report = report(self.thresholds)
+        self.report = report(self.thresholds.join(F.broadcast(each), "source", "left").na.fill(0, ["available"]))

@@ -113,6 +113,16 @@ def test_mix_matches_ranking(spark, seed):
     assert report["m1", "b"].short and report["m1", "b"].used == 21 and report["m2", "zero"].used == 0
 
 
+def test_mix_counts_a_key_in_each_of_its_sources(spark):
+    data = [(f"k{i}", "a") for i in range(6)] + [(f"k{i}", " B") for i in range(4)] + [("own", "b"), ("own", "b")]
+    budgets = rows(spark, [("m", "a", 6, 1, 12), ("m", "b", 5, 1, 12), ("n", "b", 6, 1, 6), ("n", "c", 1, 1, 6)], "mixture_id string, source string, budget long, repeats long, total long")
+    mix = mixing.Mix(rows(spark, data, "sample_id string, source string"), budgets)
+    report = {(r.mixture_id, r.source): r for r in mix.report.collect()}
+    assert {k: (r.available, r.short) for k, r in report.items()} == {("m", "a"): (6, False), ("m", "b"): (5, False), ("n", "b"): (5, True), ("n", "c"): (0, True)}
+    drawn = [(r.mixture_id, r.sample_id) for r in mix.records.collect()]
+    assert len(drawn) == len(set(drawn)) == 8 and report["m", "b"].used == 1
+
+
 def test_mix_by_tokens_stays_within_budget(spark):
     from pyspark.sql import functions as F
 
