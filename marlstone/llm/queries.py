@@ -43,7 +43,7 @@ def _quota(s: SparkSession, d: str) -> QuotaSample:
 
 
 def p2_found(s: SparkSession, d: str) -> DataFrame:
-    return _quota(s, d).report.where("quota > available").select("mixture_id", "source", "task_type")
+    return _quota(s, d).report.where("quota > available and task_type is not null").select("mixture_id", "source", "task_type")
 
 
 def p2_report(s: SparkSession, d: str) -> DataFrame:

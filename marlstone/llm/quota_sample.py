@@ -1,7 +1,7 @@
 """A sample with given shares over a tree of categories (problem 2).
 
-The tree is mixture > source > task type. Numbers are allotted from the top: a source gets its quota, or all it
-has; within it each task type gets its quota, or all it has. A task type's unmet quota therefore goes to its
+The tree is mixture > source > task type. Numbers are allotted from the top: a source gets its quota (its own, or
+the sum of its task types'), or all it has; within it each task type gets its quota, or all it has. A task type's unmet quota therefore goes to its
 siblings while the source has spare records, and only what the whole source lacks goes to the other sources, in
 proportion to their quotas. Small categories keep a minimum as far as their supply goes. The tree has the size of
 the configuration; the records are only counted, and drawn at the leaves by hash rank.
@@ -23,6 +23,8 @@ from marlstone.functions.hashing import rank
 from marlstone.functions.text import spelled, spelled_source
 from marlstone.operators.ranking import bucket_counts, first_by_rank
 
+#: Stands for all task types of a source that only has a quota of its own; no task type is spelled so.
+ANY = ""
 REPORT = "mixture_id string, source string, task_type string, quota long, available long, minimum long, drawn long, received long, unmet long, target_share double, actual_share double"
 
 
@@ -55,7 +57,7 @@ def spread(amount: int, weights: Sequence[float], least: Sequence[int], most: Se
 
 
 def allot(leaves: pd.DataFrame) -> pd.DataFrame:
-    """The report of one mixture; leaves: its entries with quota, available, capacity, minimum and total."""
+    """The report of one mixture; leaves: its entries with quota, source_quota, available, capacity, minimum and total."""
     leaves = leaves.sort_values(["source", "task_type"], kind="stable").reset_index(drop=True)
     least = [int(min(m, c)) for m, c in zip(leaves["minimum"], leaves["capacity"])]
     most = [int(c) for c in leaves["capacity"]]
@@ -63,7 +65,12 @@ def allot(leaves: pd.DataFrame) -> pd.DataFrame:
     sums = lambda x: [sum(x[i] for i in ix) for ix in of.values()]
     quota = [int(q) for q in leaves["quota"]]
     drawn = [0] * len(leaves)
-    for ix, amount in zip(of.values(), spread(int(leaves["total"].iloc[0]), sums(quota), sums(least), sums(most))):
+    # a source's own quota decides its amount; without one, those of its task types do
+    own = leaves["source_quota"]
+    weights = [q if pd.isna(own[ix[0]]) else int(own[ix[0]]) for ix, q in zip(of.values(), sums(quota))]
+    share = {i: w / max(1, sum(weights)) if w != q else None for ix, w, q in zip(of.values(), weights, sums(quota)) for i in ix}
+    within = {i: quota[i] / max(1, q) for ix, q in zip(of.values(), sums(quota)) for i in ix}
+    for ix, amount in zip(of.values(), spread(int(leaves["total"].iloc[0]), weights, sums(least), sums(most))):
         got = spread(amount, [quota[i] for i in ix], [least[i] for i in ix], [most[i] for i in ix])
         for i, g in zip(ix, got):
             drawn[i] = g
@@ -71,17 +78,28 @@ def allot(leaves: pd.DataFrame) -> pd.DataFrame:
     out["drawn"] = drawn
     out["received"] = [max(0, d - q) for d, q in zip(drawn, quota)]
     out["unmet"] = [max(0, q - d) for d, q in zip(drawn, quota)]
-    out["target_share"] = [q / max(1, sum(quota)) for q in quota]
+    out["target_share"] = [q / max(1, sum(weights)) if share[i] is None else share[i] * within[i] for i, q in enumerate(quota)]
     out["actual_share"] = [d / max(1, sum(drawn)) for d in drawn]
     return out
 
 
 def entries(mixtures: DataFrame) -> DataFrame:
-    """(mixture_id, source, task_type, quota, minimum, total): one row an entry; configuration size."""
-    m = mixtures.select("mixture_id", "total_questions", "minimum_questions_per_category", F.explode("public_source_task_quotas").alias("source", "_tasks"))
-    m = m.select("*", F.explode("_tasks").alias("task_type", "quota")).where((F.col("quota") > 0) & F.col("mixture_id").isNotNull())
+    """(mixture_id, source, task_type, quota, minimum, total, source_quota): one row an entry; configuration size.
+
+    A source with a quota of its own and none for a task type is one entry of the task type ANY.
+    """
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    return m.select("mixture_id", "source", "task_type", F.col("quota").cast("long").alias("quota"), whole("minimum_questions_per_category").alias("minimum"), whole("total_questions").alias("total"))
+    known = mixtures.where("mixture_id is not null").withColumn("minimum", whole("minimum_questions_per_category")).withColumn("total", whole("total_questions"))
+    m = known.select("mixture_id", "minimum", "total", F.explode("public_source_task_quotas").alias("source", "_tasks"))
+    m = m.select("*", F.explode("_tasks").alias("task_type", "quota")).where("quota > 0")
+    tasks = m.select("mixture_id", "source", "task_type", F.col("quota").cast("long").alias("quota"), "minimum", "total")
+    if "public_source_quotas" not in mixtures.columns:
+        return tasks.withColumn("source_quota", F.lit(None).cast("long"))
+    own = known.select("mixture_id", "minimum", "total", F.explode("public_source_quotas").alias("source", "source_quota")).where("source_quota > 0")
+    own = own.withColumn("source_quota", F.col("source_quota").cast("long"))
+    alone = own.join(tasks.select("mixture_id", "source").distinct(), ["mixture_id", "source"], "left_anti")
+    alone = alone.select("mixture_id", "source", F.lit(ANY).alias("task_type"), F.col("source_quota").alias("quota"), "minimum", "total", "source_quota")
+    return tasks.join(own.select("mixture_id", "source", "source_quota"), ["mixture_id", "source"], "left").select(*alone.columns).unionByName(alone)
 
 
 def categorised(rows: DataFrame, key: str = "sample_id") -> DataFrame:
@@ -98,12 +116,15 @@ class QuotaSample:
         keys = categorised(rows, key)
         leaf, by = ["source", "task_type"], ["mixture_id", "source", "task_type"]
         listed = entries(mixtures)
-        each = keys.select("key", F.explode("cats").alias("c")).select("key", "c.*").groupBy(*leaf).agg(F.count(F.lit(1)).alias("available"))
-        home = keys.select("key", F.array_min("cats").alias("c")).select("key", "c.*")
+        every = lambda c: F.struct(c["source"].alias("source"), F.lit(ANY).alias("task_type"))
+        each = keys.select("key", F.explode(F.array_union("cats", F.transform("cats", every))).alias("c")).select("key", "c.*").groupBy(*leaf).agg(F.count(F.lit(1)).alias("available"))
+        home = keys.select("key", F.array_min("cats").alias("c")).select("key", F.col("c.task_type").alias("own"), F.explode(F.array("c", every(F.col("c")))).alias("c")).select("key", "own", "c.*")
         supply = home.groupBy(*leaf).agg(F.count(F.lit(1)).alias("capacity"))
         tree = listed.join(each, leaf, "left").join(supply, leaf, "left").na.fill(0, ["available", "capacity"])
-        self.report = tree.groupBy("mixture_id").applyInPandas(allot, REPORT)
+        allotted = tree.groupBy("mixture_id").applyInPandas(allot, REPORT)
+        # a null task type in the report: a source without quotas of task types
+        self.report = allotted.withColumn("task_type", F.expr(f"nullif(task_type, '{ANY}')"))
         # one row for each record and mixture that names its category
         asked = home.join(F.broadcast(listed.select(*by)), leaf).withColumn("rank", rank(F.col("mixture_id"), "key"))
-        take = self.report.select(*by, F.col("drawn").alias("take"))
-        self.drawn = first_by_rank(asked, by, take, tie="key").select("mixture_id", F.col("key").alias(key), *leaf)
+        take = allotted.select(*by, F.col("drawn").alias("take"))
+        self.drawn = first_by_rank(asked, by, take, tie="key").select("mixture_id", F.col("key").alias(key), "source", F.col("own").alias("task_type"))

@@ -85,6 +85,18 @@ def test_quota_sample(spark):
     assert by["c", "choice"] == set(pool[: report["c", "choice"].drawn])
 
 
+def test_quotas_of_sources_decide_their_amounts(spark):
+    data = [(f"{s}{t}{i}", s, t, 0) for s in "abc" for t in ("choice", "noul") for i in range(100)]
+    m = [("m", 100, 0, {"a": {"choice": 10, "noul": 10}, "b": {"choice": 20}}, {"a": 60, "b": 20, "c": 20})]
+    q = quota_sample.QuotaSample(rows(spark, data, E_SCHEMA), rows(spark, m, MIX + ", public_source_quotas map<string,int>"))
+    report = {(r.source, r.task_type): r for r in q.report.collect()}
+    assert {k: r.drawn for k, r in report.items()} == {("a", "choice"): 30, ("a", "noul"): 30, ("b", "choice"): 20, ("c", None): 20}
+    assert report["c", None].available == 200 and abs(report["a", "noul"].target_share - 0.3) < 1e-9
+    drawn = q.drawn.collect()
+    assert len({r.sample_id for r in drawn}) == len(drawn) == 100
+    assert sum(r.source == "c" for r in drawn) == 20 and all(r.sample_id.startswith(r.source + r.task_type) for r in drawn)
+
+
 def test_quota_sample_of_nothing(spark):
     q = quota_sample.QuotaSample(rows(spark, [], E_SCHEMA), rows(spark, [("m", 5, 1, {"a": {"choice": 5}})], MIX))
     assert [r.drawn for r in q.report.collect()] == [0] and q.drawn.count() == 0
