@@ -3,8 +3,9 @@
 Questions are folded (case, spacing, punctuation, accents, entities, look-alike letters) and grouped into classes:
 one class for each picture and string of letters and digits, with the splits in which it occurs. Copies therefore
 never meet in pairs while searching. Exact overlaps are classes that occur on both sides. For the others,
-the two strings' longest common subsequence decides, by one criterion for pictures of every size. ``CROWD`` only
-chooses how the pairs are met:
+the two strings' longest common subsequence decides, by one criterion for pictures of every size. The queries search
+candidates by word n-grams (``ngram_hits``). ``near_classes`` below is the exact way, which compares all pairs; ``CROWD``
+only chooses how they are met:
 
 * up to CROWD training classes, by a join on the picture;
 * beyond, and for questions without a picture, in blocks of up to about ``BLOCK`` evaluation and BLOCK training
@@ -25,6 +26,7 @@ length are compared whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -64,10 +66,16 @@ def common(a: str, b: str) -> int:
     return len(a) - row.bit_count()
 
 
+def share(x: str, y: str) -> float:
+    """The common share of the longer of two strings; 0 where their lengths alone rule out AGREE."""
+    longer = max(len(x), len(y))
+    return 0.0 if min(len(x), len(y)) / longer < AGREE else common(x, y) / longer
+
+
 @F.pandas_udf(T.DoubleType())
 def agreement(a: pd.Series, b: pd.Series) -> pd.Series:
-    """The common share of the longer of two strings; 0 where their lengths alone rule out AGREE."""
-    return pd.Series([0.0 if min(len(x), len(y)) / max(len(x), len(y)) < AGREE else common(x, y) / max(len(x), len(y)) for x, y in zip(a, b)], dtype="float64")
+    """``share`` of two columns."""
+    return pd.Series([share(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 @F.pandas_udf(T.StringType())
@@ -243,18 +251,25 @@ def near_classes(classes: DataFrame) -> DataFrame:
 
 
 class Overlap:
-    """Overlap between the evaluation splits and training of one table."""
+    """Overlap between the evaluation splits and training of one table.
 
-    def __init__(self, rows: DataFrame, key: str = "sample_id"):
+    search: finds the classes that are almost the same. ``near_classes`` compares all; ``contained_classes`` of
+    ``ngram_hits`` looks for word n-grams of evaluation records in training, which holds at any scale.
+    """
+
+    def __init__(self, rows: DataFrame, key: str = "sample_id", search: Callable[[DataFrame], DataFrame] = near_classes):
         self.rows = deliveries(rows, key)
         side = self.rows.groupBy("class", "picture").agg(F.min("fold").alias("fold"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("evaluation"))
         self.classes = cut(side)
-        self.near = cut(near_classes(self.classes))
+        self.near = cut(search(self.classes))
 
     def matches(self) -> DataFrame:
-        """(a, b, agree): evaluation classes and training classes that are the same or nearly so."""
-        same = self.classes.where("train and evaluation").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("agree"))
-        return same.unionByName(self.near)
+        """(a, b, agree, contained): evaluation classes and training classes that are the same or nearly so.
+
+        contained: containment of the evaluation record in the training record; null if the search compares all.
+        """
+        same = self.classes.where("train and evaluation").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("agree"), F.lit(1.0).alias("contained"))
+        return same.unionByName(self.near, allowMissingColumns=True)
 
     def pairs(self) -> DataFrame:
         """(sample_id_a, sample_id_b): all pairs of different keys across the splits, the lesser key first."""

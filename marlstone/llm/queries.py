@@ -11,6 +11,7 @@ from marlstone.llm.encoding import TOKENIZERS, encode_corpus
 from marlstone.llm.garbled import find_garbled
 from marlstone.llm.group_split import Related, targets_of
 from marlstone.llm.mixing import Mix, budgets_of
+from marlstone.llm.ngram_hits import contained_classes
 from marlstone.llm.overlap import Overlap
 from marlstone.llm.packing import oversize, pack_corpus, utilisation
 from marlstone.llm.quota_sample import QuotaSample
@@ -70,12 +71,16 @@ def p3_mix(s: SparkSession, d: str) -> DataFrame:
     return _mix(s, d).records
 
 
+def _overlap(s: SparkSession, d: str) -> Overlap:
+    return Overlap(table(s, d, "example"), search=contained_classes)
+
+
 def p4_found(s: SparkSession, d: str) -> DataFrame:
-    return Overlap(table(s, d, "example")).pairs()
+    return _overlap(s, d).pairs()
 
 
 def p4_report(s: SparkSession, d: str) -> DataFrame:
-    return Overlap(table(s, d, "example")).report()
+    return _overlap(s, d).report()
 
 
 def p5_found(s: SparkSession, d: str) -> DataFrame:
