@@ -47,15 +47,15 @@ def links(rows: DataFrame, entity: str, unit: str, total: int) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
     """(node, component): every node of the edges with the least node name that it is connected to.
 
-    In each round every node is hooked under its least neighbour, parents are shortcut twice by joining the parent
-    table with itself, and the edges are contracted to parents: edges within a tree and repeats vanish. The parent
-    tables are checkpointed and joined from the last to the first at the end. Everything is aggregated before its
+    In each round every node is hooked under its least neighbour, the trees are shortcut to stars by joining the parent
+    table with itself, a logarithmic number of times, and the edges are contracted to the roots: edges within a tree and
+    repeats vanish, and at most half the nodes are left. The parent tables are checkpointed and joined from the last to the first at the end. Everything is aggregated before its
     shuffle, so a node with any number of edges does not fill one task.
 
     Defined cases: edges with a null end and loops are ignored; repeated edges count once; an empty table gives no rows.
     """
     def canonical(e: DataFrame) -> DataFrame:
-        return cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        return cut(e.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), forget=True)
 
     left = canonical(edges.select(F.col(a).alias("a"), F.col(b).alias("b")))
     kept: list[tuple[DataFrame, int]] = []
@@ -63,15 +63,20 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         if len(kept) == rounds:
             raise RuntimeError(f"no end after {rounds} rounds")
         both = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("node"), F.col("b").alias("to")))
-        hooked = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")))
+        hooked = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")), forget=True)
         size = hooked.count()
-        for _ in range(2):
-            hooked = cut(lookup(hooked, "parent", hooked, size).select("node", "parent"))
+        # each pass halves the depth of the trees, until every parent is a root
+        moved = True
+        while moved:
+            up = lookup(hooked.select("node", "parent", F.col("parent").alias("_was")), "parent", hooked, size)
+            hooked = cut(up.select("node", "parent", (F.col("parent") != F.col("_was")).alias("moved")), forget=True)
+            moved = hooked.where("moved").limit(1).count() > 0
+            hooked = hooked.select("node", "parent")
         kept.append((hooked, size))
         left = canonical(lookup(lookup(left, "a", hooked, n), "b", hooked, n))
     if not kept:
         return left.select(F.col("a").alias("node"), F.col("b").alias("component"))
     later = kept[-1][0]
     for parents, size in reversed(kept[:-1]):
-        later = cut(lookup(parents, "parent", later, size).select("node", "parent"))
+        later = cut(lookup(parents, "parent", later, size).select("node", "parent"), forget=True)
     return later.select("node", F.col("parent").alias("component"))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Iterator
-from itertools import permutations
+from collections.abc import Callable, Iterator
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 STEPS = {"up": (0, -1), "down": (0, 1), "left": (-1, 0), "right": (1, 0)}
 
@@ -67,61 +68,171 @@ def parse(level: str) -> tuple[int, int, set, tuple[int, int] | None, set, set]:
     return len(rows[0]), len(rows), walls, players[0], boxes, goals
 
 
-def solve_boxes(level: str, limit: int = 200_000) -> tuple[int | None, int]:
-    """(pushes and walks of a cheapest solution, states looked at); None if there is none within the limit.
+class LimitReached(RuntimeError):
+    """A search looked at its limit of states without an answer."""
 
-    A* over (player, boxes); the estimate is the cheapest assignment of boxes to goals by straight distance, which
-    never exceeds the true number of moves.
+
+def pull_distances(width: int, height: int, walls: set, goals: set) -> dict[tuple[int, int], int]:
+    """Least number of pushes that bring a lone box from a cell to the nearest goal; cells without a way are missing."""
+    free = lambda c: 0 <= c[0] < width and 0 <= c[1] < height and c not in walls
+    far = dict.fromkeys(goals, 0)
+    queue = deque(goals)
+    while queue:
+        x, y = queue.popleft()
+        for dx, dy in STEPS.values():
+            box, player = (x - dx, y - dy), (x - 2 * dx, y - 2 * dy)
+            if free(box) and free(player) and box not in far:
+                far[box] = far[x, y] + 1
+                queue.append(box)
+    return far
+
+
+def least_moves(player: tuple[int, int], boxes: frozenset, goals: frozenset, step: Callable, far: dict, limit: int, most: int | None = None) -> tuple[int | None, int]:
+    """(moves, states looked at) of a cheapest solution, of at most ``most`` moves; None if it is proved that none exists.
+
+    A* over (player, boxes), one move a step. The estimate sums each box's pushes to its nearest goal, so it never
+    exceeds the true number; a box that can reach no goal ends a branch.
     """
-    width, height, walls, player, boxes, goals = parse(level)
-    ends = sorted(goals)
-
-    def estimate(bs: frozenset) -> int:
-        return min((sum(abs(b[0] - g[0]) + abs(b[1] - g[1]) for b, g in zip(sorted(bs), p)) for p in permutations(ends)), default=0)
-
-    start = (player, frozenset(boxes))
-    cost = {start: 0}
-    heap = [(estimate(start[1]), 0, start)]
-    seen, order = 0, 0
-    while heap and seen < limit:
-        _, _, state = heapq.heappop(heap)
-        at, bs = state
-        if bs == frozenset(goals):
-            return cost[state], seen
+    start = (player, boxes)
+    if any(b not in far for b in boxes):
+        return None, 0
+    cost, order, seen = {start: 0}, count(), 0
+    heap = [(sum(far[b] for b in boxes), 0, next(order), start)]
+    while heap:
+        estimate, done, _, state = heapq.heappop(heap)
+        if most is not None and estimate > most:
+            return None, seen
+        if done > cost[state]:
+            continue
+        if state[1] == goals:
+            return done, seen
         seen += 1
-        for dx, dy in STEPS.values():
-            to = (at[0] + dx, at[1] + dy)
-            if to in walls or not (0 <= to[0] < width and 0 <= to[1] < height):
-                continue
-            new = bs
-            if to in bs:
-                beyond = (to[0] + dx, to[1] + dy)
-                if beyond in walls or beyond in bs or not (0 <= beyond[0] < width and 0 <= beyond[1] < height):
-                    continue
-                new = bs - {to} | {beyond}
-            nxt, c = (to, new), cost[state] + 1
-            if c < cost.get(nxt, 1 << 30):
-                cost[nxt] = c
-                order += 1
-                heapq.heappush(heap, (c + estimate(new), order, nxt))
+        if seen > limit:
+            raise LimitReached(f"no answer within {limit} states")
+        for name in STEPS:
+            to = step(state, name)
+            if to is not None and done + 1 < cost.get(to, 1 << 60) and all(b in far for b in to[1]):
+                cost[to] = done + 1
+                heapq.heappush(heap, (done + 1 + sum(far[b] for b in to[1]), done + 1, next(order), to))
     return None, seen
 
 
-def solve_levels(levels: DataFrame, limit: int = 200_000) -> DataFrame:
-    """(level_id, moves, states, error): each level solved in place; a malformed level is a row with its error."""
+def solve_boxes(level: str, limit: int = 2_000_000) -> tuple[int | None, list[str], int]:
+    """(moves of a cheapest solution, every move that one begins with, states looked at); (None, [], n) if none exists.
+
+    A first move belongs to a cheapest solution if what is left after it takes one move less. Raises LimitReached
+    after ``limit`` states in any of the searches: that the level can't be solved is only said once it is proved.
+    """
+    width, height, walls, player, boxes, goals = parse(level)
+    far, ends = pull_distances(width, height, walls, goals), frozenset(goals)
+
+    def step(state: tuple, name: str) -> tuple | None:
+        (x, y), bs = state
+        dx, dy = STEPS[name]
+        to, beyond = (x + dx, y + dy), (x + 2 * dx, y + 2 * dy)
+        free = lambda c: 0 <= c[0] < width and 0 <= c[1] < height and c not in walls
+        if not free(to):
+            return None
+        if to not in bs:
+            return to, bs
+        return (to, bs - {to} | {beyond}) if free(beyond) and beyond not in bs else None
+
+    moves, seen = least_moves(player, frozenset(boxes), ends, step, far, limit)
+    firsts = []
+    for name in STEPS if moves else ():
+        to = step((player, frozenset(boxes)), name)
+        if to is not None:
+            left, more = least_moves(*to, ends, step, far, limit, moves - 1)
+            seen += more
+            if left == moves - 1:
+                firsts.append(name)
+    return moves, sorted(firsts), seen
+
+
+def solve_levels(levels: DataFrame, limit: int = 2_000_000, keys: tuple[str, ...] = ("level_id",)) -> DataFrame:
+    """(keys, moves, firsts, states, error): each level solved in place.
+
+    A malformed level, and one whose search reached the limit, are rows with their error; a level without a solution
+    has null moves and no error.
+    """
+    names = [*keys, "moves", "firsts", "states", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
-            for i, level in zip(b["level_id"], b["level"]):
+            for *k, level in b[[*keys, "level"]].itertuples(index=False, name=None):
                 try:
-                    moves, states = solve_boxes(level, limit)
-                    out.append((i, moves, states, None))
-                except (ValueError, AttributeError) as e:
-                    out.append((i, None, 0, str(e)))
-            yield pd.DataFrame(out, columns=["level_id", "moves", "states", "error"]).astype({"moves": "Int64"})
+                    out.append((*k, *solve_boxes(level, limit), None))
+                except (ValueError, AttributeError, LimitReached) as e:
+                    out.append((*k, None, [], 0, str(e)))
+            yield pd.DataFrame(out, columns=names).astype({"moves": "Int64"})
+
+    kinds = ", ".join(f"`{k}` {levels.schema[k].dataType.simpleString()}" for k in keys)
+    return levels.select(*keys, "level").mapInPandas(run, f"{kinds}, moves long, firsts array<string>, states long, error string")
+
+
+# The directions of a navigating agent, in turning order to the right.
+FACING = ((1, 0), (0, 1), (-1, 0), (0, -1))
+#: Moves of a navigating agent.
+TURNS = ("forward", "left", "right", "toggle")
+
+
+def navigate(width: int, height: int, passable: set, goals: set, doors: dict, start: tuple[int, int], facing: int, opened: int = 0, limit: int = 200_000) -> tuple[int | None, list[str]]:
+    """Least number of moves of an agent that turns, walks and opens doors, and every move that a shortest way begins with.
+
+    A state is the cell, the direction faced and a bit mask of open doors. ``doors`` gives each door's bit by its
+    cell; a door is walked through only while it is open, and toggling changes the door ahead. (None, []) if no goal
+    can be reached; (0, []) on a goal. Raises LimitReached beyond ``limit`` states.
+    """
+    if start in goals:
+        return 0, []
+
+    def after(state: tuple, move: str) -> tuple | None:
+        cell, way, mask = state
+        if move in ("left", "right"):
+            return cell, (way + (1 if move == "right" else 3)) % 4, mask
+        ahead = (cell[0] + FACING[way][0], cell[1] + FACING[way][1])
+        if move == "toggle":
+            return (cell, way, mask ^ (1 << doors[ahead])) if ahead in doors else None
+        inside = 0 <= ahead[0] < width and 0 <= ahead[1] < height
+        open_ = mask >> doors[ahead] & 1 if ahead in doors else ahead in passable
+        return (ahead, way, mask) if inside and open_ else None
+
+    first: dict[tuple, set[str]] = {(start, facing, opened): set()}
+    layer, depth, seen = list(first), 0, set(first)
+    while layer:
+        depth += 1
+        following: dict[tuple, set[str]] = {}
+        for state in layer:
+            for move in TURNS:
+                to = after(state, move)
+                if to is not None and to not in seen:
+                    following.setdefault(to, set()).update(first[state] or {move})
+        ends = [s for s in following if s[0] in goals]
+        if ends:
+            return depth, sorted(set().union(*(following[s] for s in ends)))
+        seen.update(following)
+        if len(seen) > limit:
+            raise LimitReached(f"no answer within {limit} states")
+        first, layer = following, list(following)
+    return None, []
+
+
+def drawn_levels(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, place, level): the grids drawn in texts, in boxes of ┌─┐│└┘ lines, by their order in the text."""
+    frames = F.regexp_extract_all(text, F.lit("┌─+┐\n((?:│[^│\n]*│\n)+)└─+┘"), F.lit(1))
+    out = docs.where(F.col(key).isNotNull() & F.col(text).contains("┌")).select(key, F.posexplode(frames).alias("place", "frame"))
+    rows = F.split(F.regexp_replace("frame", "\n$", ""), "\n")
+    return out.select(key, "place", F.array_join(F.transform(rows, lambda r: F.substring(r, F.lit(2), F.length(r) - 2)), "\n").alias("level"))
+
 
-    return levels.select("level_id", "level").mapInPandas(run, "level_id string, moves long, states long, error string")
+def tiles(levels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, width, height, walls, players, boxes, goals): what each level holds; width is null for ragged rows."""
+    rows = F.split("level", "\n")
+    widths = F.transform(rows, F.length)
+    of = lambda chars: F.length("level") - F.length(F.translate("level", chars, ""))
+    width = F.when(F.array_min(widths) == F.array_max(widths), F.array_min(widths))
+    return levels.select(*keys, width.alias("width"), F.size(rows).alias("height"), of("#").alias("walls"), of("@+").alias("players"), of("$*").alias("boxes"), of(".*+").alias("goals"))
 
 
 def flow(supply: dict[str, int], demand: dict[str, int], room: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:

@@ -6,22 +6,39 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from marlstone.operators.ranking import first_by_rank
+from marlstone.plans.lineage import cut
+
 # Colour words that make an answer a colour.
-COLOURS = ("black", "white", "red", "green", "blue", "yellow", "orange", "purple", "pink", "brown", "gray", "grey", "silver", "gold", "tan", "beige", "teal", "maroon", "crimson", "olive", "turquoise", "amber")
+COLOURS = ("black", "blue", "brown", "cyan", "gold", "gray", "green", "grey", "orange", "pink", "purple", "red", "silver", "tan", "teal", "white", "yellow")
+
+# Patterns of answers that are numbers and times; the whole answer has to match.
+NUMBER = r"[$€£]?[-+]?\d[\d,.]*(?::\d+|%|\s*(?:percent|percentage))?"
+TIME = r"\d{1,2}:\d{2}\s*[ap]m"
 
-# The opening words by which questions fall into families, tried in this order.
+# Patterns by which questions fall into families, tried in this order.
 FAMILIES = (
-    ("count", r"^(how many|how much)\b"),
-    ("material", r"\bmade (of|from)\b|^what material\b"),
-    ("text", r"\b(brand|spell|letter|lettering|written|label)\b"),
-    ("rating", r"^rate\b"),
-    ("region", r"^(select|draw|point out)\b"),
-    ("action", r"^(tap|goal|the task)\b"),
-    ("who", r"^who\b"),
-    ("which", r"^which\b"),
-    ("yes_no", r"^(is|are|was|were|do|does|did|can|could|has|have)\b"),
+    ("count", r"\bhow many\b|\bnumber of\b"),
+    ("quantity", r"\bhow much\b|\bwhat (?:percentage|percent|value|amount)\b"),
+    ("color", r"\b(?:what|which) colou?r\b"),
+    ("shape", r"\b(?:what|which) shape\b"),
+    ("material", r"\bmade of\b|\bmaterial\b"),
+    ("size", r"\b(?:what|which) size\b|\bhow (?:large|small|big|tall|long)\b"),
+    ("location", r"^where\b|\b(?:what|which) (?:room|place|location|country|city|state|region)\b"),
+    ("organization", r"\b(?:what|which) (?:company|organization|team)\b"),
+    ("person", r"^who\b|\bwhich person\b"),
+    ("time", r"^when\b|\bwhat time\b|\bwhich year\b"),
+    ("text", r"\b(?:say|says|read|written|word|text|title)\b"),
+    ("brand", r"\bbrand\b|\blogo\b"),
+    ("sport", r"\b(?:sport|game)\b"),
+    ("animal", r"\b(?:animal|bird|dog|cat)\b"),
+    ("type", r"\b(?:type|kind|sort) of\b"),
+    ("reason", r"^why\b"),
 )
 
+# Opening words that are a family of their own where no pattern holds.
+OPENING = r"^(?:what|which|how|is|are|does|do|can)\b"
+
 
 def normalized(answer: Column | str) -> Column:
     """An answer in lower case, without white space at its ends, inner white space as one space."""
@@ -30,16 +47,20 @@ def normalized(answer: Column | str) -> Column:
 
 
 def answer_kind(answer: Column) -> Column:
-    """colour, number, time, phrase or word; the first that fits."""
-    return F.when(answer.isin(*COLOURS), "color").when(answer.rlike(r"^[+-]?[0-9]+([.,][0-9]+)?%?$"), "number").when(answer.rlike(r"^[0-9]{1,2}:[0-9]{2}$"), "time").when(F.instr(answer, " ") > 0, "phrase").otherwise("word")
+    """color, number, time, phrase or word; the first that fits. answer: normalized."""
+    whole = lambda p: answer.rlike(rf"(?U)\A(?:{p})\z")
+    return F.when(answer.isin(*COLOURS), "color").when(whole(NUMBER), "number").when(whole(TIME), "time").when(F.instr(answer, " ") > 0, "phrase").otherwise("word")
 
 
 def question_family(question: Column) -> Column:
-    """The first family whose pattern is found in the question in lower case; else 'other'."""
+    """The first family whose pattern is found in the normalized question; else its opening word, if that is listed,
+    else 'other'."""
     q, out = normalized(question), None
     for name, pattern in FAMILIES:
-        out = F.when(q.rlike(pattern), name) if out is None else out.when(q.rlike(pattern), name)
-    return out.otherwise("other")
+        hit = q.rlike("(?U)" + pattern)
+        out = F.when(hit, name) if out is None else out.when(hit, name)
+    opening = F.regexp_extract(q, "(?U)" + OPENING, 0)
+    return out.when(opening != "", opening).otherwise("other")
 
 
 def hashed_order(values: Column, key: Column, sep: str = ":") -> Column:
@@ -48,24 +69,34 @@ def hashed_order(values: Column, key: Column, sep: str = ":") -> Column:
     return F.transform(F.array_sort(ranked), lambda x: x["v"])
 
 
-def negatives(answers: DataFrame, pools: list[str], wanted: int = 3, cap: int = 512) -> DataFrame:
+def pools(answers: DataFrame, by: list[str], cap: int = 512) -> DataFrame:
+    """(by, pool): the distinct answers of each pool, cut to the ``cap`` of least hash.
+
+    The hash is that of the answer alone, so it is cut in hash ranges first: a pool with any number of answers is not
+    sorted in one task.
+    """
+    members = answers.select(*by, "answer").distinct().withColumn("rank", F.sha2(F.concat(F.lit("pool\u0000"), "answer"), 256))
+    heads = first_by_rank(members, by, members.select(*by).distinct().withColumn("take", F.lit(cap)), tie="answer")
+    return heads.groupBy(*by).agg(F.array_sort(F.collect_list("answer")).alias("pool"))
+
+
+def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512, most: int = 4096) -> DataFrame:
     """(sample_id, answer, negatives): other answers of the same pool, hash-ranked for each sample.
 
-    answers: sample_id, answer, pool columns from the most to the least specific. A sample whose specific pool has
-    fewer than ``wanted`` other answers uses the next. Pools are cut to their ``cap`` least hashes by a partial
-    aggregate of distinct values; the cap is the operator's definition, not a shortcut.
+    answers: sample_id, answer and the columns ``by`` of its pool. A sample whose pool has fewer than ``wanted`` other
+    answers takes the pool of all columns but the last, and has fewer negatives if that is small as well. Pools are
+    cut to ``cap`` answers by the operator's definition. The pool is chosen before it is ranked, so each member is
+    hashed once a sample. Pools are counted: up to ``most`` of them, of ``cap`` answers each, are broadcast, more are
+    joined by shuffle.
     """
-    out = answers
-    for k in range(len(pools)):
-        by = pools[: len(pools) - k]
-        members = answers.select(*by, "answer").distinct().withColumn("h", F.sha2(F.concat(F.lit("pool\u0000"), "answer"), 256))
-        top = members.withColumn("n", F.row_number().over(W.partitionBy(*by).orderBy("h"))).where(F.col("n") <= cap)
-        out = out.join(F.broadcast(top.groupBy(*by).agg(F.array_sort(F.collect_list("answer")).alias(f"pool{k}"))), by, "left")
-    others = [F.array_except(F.coalesce(f"pool{k}", F.array().cast("array<string>")), F.array("answer")) for k in range(len(pools))]
-    pick = others[-1]
-    for o in reversed(others[:-1]):
-        pick = F.when(F.size(o) >= wanted, o).otherwise(pick)
-    return out.select("sample_id", "answer", F.slice(hashed_order(pick, F.col("sample_id"), "\u0000"), 1, wanted).alias("negatives"))
+    a = cut(answers.select("sample_id", "answer", *by))
+    for name, keys in (("_exact", by), ("_wide", by[:-1])):
+        p = cut(pools(a, keys, cap)).withColumnRenamed("pool", name)
+        a = a.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
+    own = F.array_contains("_exact", F.col("answer")).cast("int")
+    pool = F.when(F.size("_exact") - own >= wanted, F.col("_exact")).otherwise(F.col("_wide"))
+    a = a.select("sample_id", "answer", F.array_remove(pool, F.col("answer")).alias("pool"))
+    return a.select("sample_id", "answer", F.slice(hashed_order(F.col("pool"), F.col("sample_id"), "\u0000"), 1, wanted).alias("negatives"))
 
 
 def history(steps: DataFrame) -> DataFrame:

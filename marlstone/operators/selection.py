@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from marlstone.functions.hashing import digest, prefix_mod, rank
-from marlstone.operators.ranking import bucket_counts, first_by_rank
+from marlstone.functions.hashing import prefix_mod, rank
+from marlstone.operators.ranking import first_by_rank
 
 
 def exclusion() -> Column:
@@ -91,5 +91,8 @@ def permutations(options: Column, key: Column, seed: str, most: int = 3, attempt
         ranked = F.transform(options, lambda o: F.struct(F.sha2(F.concat(F.lit(seed + ":"), key, F.lit(":"), attempt.cast("string"), F.lit("\u0000"), o), 256).alias("h"), o.alias("o")))
         return F.transform(F.array_sort(ranked), lambda x: x["o"])
 
-    tried = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(attempts - 1)), order))
-    return F.slice(F.filter(tried, lambda o: o != options), 1, most)
+    # the given order stands first; no more orders are tried once there are enough, or as many as there can be
+    enough = F.when(F.size(options) < 2, 1).when(F.size(options) == 2, 2).otherwise(most + 1)
+    given = F.array(options)
+    tried = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), given, lambda got, t: F.when(F.size(got) >= enough, got).otherwise(F.array_union(got, F.array(order(t)))))
+    return F.slice(tried, 2, most)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from marlstone.functions.hashing import byte_mod, digest, prefix_mod, rank
-from marlstone.functions.text import spelled, spelled_source
+from marlstone.functions.text import spelled
 from marlstone.operators import nesting as nest
 from marlstone.operators import selection as sel
 from marlstone.operators.questions import questions
@@ -110,9 +110,13 @@ def option_order(s: SparkSession, d: str) -> DataFrame:
 
 
 def permutation_views(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example").where("sample_id is not null and size(options) between 2 and 5").select("sample_id", F.transform("options", lambda o: o["id"]).alias("ids")).distinct()
-    views = e.select("sample_id", "ids", F.posexplode(sel.permutations(F.col("ids"), F.col("sample_id"), SEED)).alias("view", "o"))
-    return views.select(F.concat("sample_id", F.lit("::view:"), F.col("view").cast("string")).alias("view_id"), F.array_join("ids", ",").alias("given"), F.array_join("o", ",").alias("ordered"))
+    """The canonical view of every training question, and up to three other orders of its options, however many there are."""
+    e = table(s, d, "example").where((F.col("sample_id").isNotNull()) & (spelled("split") == "train"))
+    e = e.select("sample_id", F.transform(F.coalesce("options", F.array().cast("array<struct<id:string,text:string,box:array<double>>>")), lambda o: o["id"]).alias("ids")).distinct()
+    orders = F.concat(F.array("ids"), sel.permutations(F.col("ids"), F.col("sample_id"), SEED))
+    views = e.select("sample_id", "ids", F.posexplode(orders).alias("n", "o"))
+    name = F.when(F.col("n") == 0, "canonical").otherwise(F.concat(F.lit("candidate_permutation_"), F.col("n").cast("string")))
+    return views.select(F.concat("sample_id", F.lit("::rlcd-view:"), name).alias("view_id"), F.array_join("ids", ",").alias("given"), F.array_join("o", ",").alias("ordered"))
 
 
 def box_targets(s: SparkSession, d: str) -> DataFrame:
@@ -120,23 +124,6 @@ def box_targets(s: SparkSession, d: str) -> DataFrame:
     return e.select("sample_id", F.size(nest.usable(F.col("options"))).alias("usable"), nest.smallest(F.col("options")).alias("smallest"), F.size(nest.at_point(F.col("options"), 0.5, 0.5)).alias("at_centre"), F.array_join(F.transform(F.filter("options", lambda o: o["box"].isNotNull()), lambda o: F.array_join(nest.thousandths(o["box"]).cast("array<string>"), " ")), "|").alias("boxes"))
 
 
-def answers(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example").where("sample_id is not null and size(options) > 0 and get(target.ids, 0) is not null")
-    chosen = F.element_at(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), 1)["text"]
-    a = e.select("sample_id", F.coalesce(spelled("split"), F.lit("")).alias("split"), F.coalesce(nest.question_family(F.coalesce("question", F.lit(""))), F.lit("other")).alias("family"), nest.normalized(chosen).alias("answer")).where("answer is not null")
-    a = a.groupBy("sample_id").agg(F.min(F.struct("split", "family", "answer")).alias("a")).select("sample_id", "a.*")
-    return a.withColumn("kind", nest.answer_kind(F.col("answer")))
-
-
-def answer_kinds(s: SparkSession, d: str) -> DataFrame:
-    return answers(s, d).groupBy("family", "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("answer").alias("answers"))
-
-
-def stable_negatives(s: SparkSession, d: str) -> DataFrame:
-    n = nest.negatives(answers(s, d), ["split", "kind", "family"])
-    return n.select("sample_id", "answer", F.array_join("negatives", "|").alias("negatives"))
-
-
 def history_prefix(s: SparkSession, d: str) -> DataFrame:
     g = table(s, d, "gui_step").withColumn("action", nest.normalized("action"))
     return nest.history(g).select("episode_id", "step", "action", F.array_join("history", ">").alias("history"))
@@ -169,34 +156,12 @@ def rating_quintiles(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy(F.when(F.col("b") < 8, "train").when(F.col("b") == 8, "dev").otherwise("test").alias("split"), "quintile").agg(F.count(F.lit(1)).alias("n"))
 
 
-def model_input(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example").where("sample_id is not null").select("sample_id", nest.prompt(F.coalesce("state_text", F.lit("")), F.coalesce("question", F.lit("")), F.col("options")).alias("prompt"), F.greatest(F.lit(256), F.when((F.lower(F.trim("task_type")) == "score") | F.exists("options", lambda o: o["box"].isNotNull()), 576).otherwise(256)).alias("budget")).distinct()
-    return e.select("sample_id", F.sha2("prompt", 256).alias("prompt_digest"), F.length("prompt").alias("characters"), "budget")
-
-
-def contract_violations(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example")
-    bad = lambda c, m: F.when(F.coalesce(c, F.lit(True)), m)
-    tests = [
-        bad(F.col("sample_id").isNull() | (F.trim("sample_id") == ""), "sample_id"),
-        bad(F.col("group_id").isNull() | (F.trim("group_id") == ""), "group_id"),
-        bad(~F.col("schema_version").isin(1, 2), "schema_version"),
-        bad(~spelled("split").isin("train", "dev", "calibration", "test"), "split"),
-        bad(~spelled("task_type").isin("choice", "noul", "score"), "task_type"),
-        bad(F.size("options") != F.size(F.array_distinct(F.transform("options", lambda o: o["id"]))), "option ids"),
-        bad((spelled("task_type") != "noul") & (F.size("options") < 2), "too few options"),
-        bad((spelled("task_type") == "noul") & F.col("target.bool").isNull(), "target is not boolean"),
-        bad((spelled("task_type") != "noul") & ((F.size("target.ids") < 1) | (F.size(F.array_except("target.ids", F.transform("options", lambda o: o["id"]))) > 0)), "target is no option"),
-    ]
-    return e.select(F.explode(F.filter(F.array(*tests), lambda m: m.isNotNull())).alias("violation")).groupBy("violation").agg(F.count(F.lit(1)).alias("rows"))
-
-
 def duplicate_ids(s: SparkSession, d: str) -> DataFrame:
     return table(s, d, "example").where("sample_id is not null").groupBy("sample_id").agg(F.count(F.lit(1)).alias("deliveries")).where("deliveries > 1")
 
 
 def manifest_digest(s: SparkSession, d: str) -> DataFrame:
-    return digest_of(quota_manifest(s, d), "output_rank")
+    return digest_of(quota_manifest(s, d))
 
 
 def prediction_coverage(s: SparkSession, d: str) -> DataFrame:
@@ -208,14 +173,9 @@ def pending_rows(s: SparkSession, d: str) -> DataFrame:
     return pending(_q(s, d).where("split = 'test'"), table(s, d, "prediction"), "sample_id").select("sample_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (quota_manifest, exclusion_counts, shortage_report, hash_rank, argmin_sha, evaluation_roles, pilot_quotas, pilot_manifest, round_robin_manifest, group_leakage, distinct_counts, unused_candidates, role_by_task, split_promotion, first_split_wins, option_order, permutation_views, box_targets, answer_kinds, stable_negatives, history_prefix, majority_action, rating_mode, rating_quintiles, model_input, contract_violations, duplicate_ids, manifest_digest, prediction_coverage, pending_rows)}
+QUERIES = {f.__name__: f for f in (quota_manifest, exclusion_counts, shortage_report, hash_rank, argmin_sha, evaluation_roles, pilot_quotas, pilot_manifest, round_robin_manifest, group_leakage, distinct_counts, unused_candidates, role_by_task, split_promotion, first_split_wins, option_order, permutation_views, box_targets, history_prefix, majority_action, rating_mode, rating_quintiles, duplicate_ids, manifest_digest, prediction_coverage, pending_rows)}
 
 _N = rf"regexp_replace(lower({_t('{0}')}), '[\s\pZ]+', ' ', 'g')"
-_FAM = "case " + " ".join(f"when regexp_matches(nq, '{p.replace(chr(39), chr(39) * 2)}') then '{n}'" for n, p in nest.FAMILIES) + " else 'other' end"
-_ANS = rf"""a0 as (select sample_id, min(struct_pack(split := coalesce(lower({_t('split')}), ''), family := {_FAM}, answer := answer)) a from
- (select sample_id, split, {_N.format("coalesce(question, '')")} nq, {_N.format("list_filter(options, lambda o: o.id = target.ids[1])[1].text")} answer from example where sample_id is not null and len(options) > 0 and target.ids[1] is not null) where answer is not null group by sample_id),
-a as (select sample_id, a.*, case when a.answer in ({', '.join(map(repr, nest.COLOURS))}) then 'color' when regexp_matches(a.answer, '^[+-]?[0-9]+([.,][0-9]+)?%?$') then 'number' when regexp_matches(a.answer, '^[0-9]{{1,2}}:[0-9]{{2}}$') then 'time' when contains(a.answer, ' ') then 'phrase' else 'word' end kind from a0)"""
-_PART = "(select {0}, list(answer) pool from (select *, row_number() over (partition by {0} order by sha256('pool' || chr(0) || answer)) n from (select distinct {0}, answer from a)) where n <= 512 group by {0})"
 
 SQL = {
     "quota_manifest": f"with {Q}, {_QUOTA}, r as (select mixture_id, source, sample_id, take, row_number() over (partition by mixture_id, source order by sha256('{SEED}:' || source || chr(0) || sample_id)) n from q join quotas using (source) where {_REASON} is null) select mixture_id, source, sample_id, sha256('{SEED}' || chr(0) || sample_id) output_rank from r where n <= take",
@@ -234,21 +194,17 @@ SQL = {
     "split_promotion": f"with {Q} select image, bool_or(split = 'dev') is_dev, count(*) n from q where image <> '' and split in ('train', 'dev') group by 1",
     "first_split_wins": f"with {Q}, f as (select group_id, arg_min(split, (ingest_batch, sample_id)) split from q where group_id <> '' and split <> '' group by 1) select split, count(*) \"groups\" from f group by 1",
     "option_order": "with e as (select distinct sample_id, list_transform(options, lambda o: o.id) ids from example where sample_id is not null and len(options) > 1), u as (select sample_id, ids, unnest(ids) i from e) select sample_id, array_to_string(ids, ',') given, string_agg(i, ',' order by sha256(sample_id || ':' || i), i) ordered from u group by sample_id, ids",
-    "permutation_views": f"""with e as (select distinct sample_id, list_transform(options, lambda o: o.id) ids from example where sample_id is not null and len(options) between 2 and 5), t as (select sample_id, ids, unnest(range(32)) t from e), u as (select *, unnest(ids) i from t),
- o as (select sample_id, ids, t, string_agg(i, ',' order by sha256('{SEED}:' || sample_id || ':' || t || chr(0) || i), i) ordered from u group by all), f as (select sample_id, array_to_string(ids, ',') given, ordered, min(t) t from o group by all), v as (select *, row_number() over (partition by sample_id, given order by t) - 1 n from f where ordered <> given) select sample_id || '::view:' || n view_id, given, ordered from v where n < 3""",
+    "permutation_views": f"""with e as (select distinct sample_id, list_transform(coalesce(options, []), lambda o: o.id) ids from example where sample_id is not null and lower({_t('split')}) = 'train'), t as (select sample_id, ids, unnest(range(32)) t from e), u as (select *, unnest(ids) i from t),
+ o as (select sample_id, ids, t, string_agg(i, ',' order by sha256('{SEED}:' || sample_id || ':' || t || chr(0) || i), i) ordered from u group by all), f as (select sample_id, array_to_string(ids, ',') given, ordered, min(t) t from o group by all),
+ v as (select *, row_number() over (partition by sample_id, given order by t) n from f where ordered <> given)
+ select sample_id || '::rlcd-view:candidate_permutation_' || n view_id, given, ordered from v where n <= 3 union all select sample_id || '::rlcd-view:canonical', array_to_string(ids, ','), array_to_string(ids, ',') from e""",
     "box_targets": """with e as (select distinct sample_id, options from example where sample_id is not null and len(list_filter(options, lambda o: o.box is not null)) > 0), u as (select sample_id, options, list_filter(options, lambda o: o.box is not null and len(o.box) = 4 and o.box[3] > o.box[1] and o.box[4] > o.box[2]) ok from e)
  select sample_id, cast(len(ok) as int) usable, list_sort(list_transform(ok, lambda o: struct_pack(a := round((o.box[3] - o.box[1]) * (o.box[4] - o.box[2]), 9), id := o.id)))[1].id smallest, cast(len(list_filter(ok, lambda o: 0.5 between o.box[1] and o.box[3] and 0.5 between o.box[2] and o.box[4])) as int) at_centre, array_to_string(list_transform(list_filter(options, lambda o: o.box is not null), lambda o: array_to_string(list_transform(o.box, lambda v: cast(least(1000, greatest(0, round_even(v * 1000, 0))) as int)), ' ')), '|') boxes from u""",
-    "answer_kinds": f"with {_ANS} select family, kind, count(*) n, count(distinct answer) answers from a group by all",
-    "stable_negatives": f"with {_ANS}, p0 as {_PART.format('split, kind, family')}, p1 as {_PART.format('split, kind')}, p2 as {_PART.format('split')}, o as (select sample_id, answer, list_filter(p0.pool, lambda x: x <> answer) o0, list_filter(p1.pool, lambda x: x <> answer) o1, list_filter(p2.pool, lambda x: x <> answer) o2 from a join p0 using (split, kind, family) join p1 using (split, kind) join p2 using (split)), c as (select sample_id, answer, case when len(o0) >= 3 then o0 when len(o1) >= 3 then o1 else o2 end o from o) select sample_id, answer, array_to_string(list_transform(list_sort(list_transform(o, lambda v: struct_pack(h := sha256(sample_id || chr(0) || v), v := v)))[1:3], lambda s: s.v), '|') negatives from c",
     "history_prefix": rf"with f as (select episode_id, step, min({_N.format('action')}) action from gui_step where episode_id is not null and step is not null group by 1, 2) select episode_id, step, action, coalesce(string_agg(action, '>') over (partition by episode_id order by step rows between unbounded preceding and 1 preceding), '') history from f",
     "majority_action": rf"with g as (select distinct episode_id, step, {_N.format('action')} action from gui_step where episode_id is not null and step is not null and action is not null), v as (select episode_id, action, count(*) votes, min(step) f from g group by all) select episode_id, arg_min(action, (-votes, f, action)) action, max(votes) votes, cast(sum(votes) as bigint) n from v group by 1",
     "rating_mode": "with r as (select image_name, m.* from (select image_name, min(struct_pack(mos := mos, c1 := c1, c2 := c2, c3 := c3, c4 := c4, c5 := c5)) m from image_rating where image_name is not null and mos is not null group by 1)), u as (select image_name, mos, unnest([1, 2, 3, 4, 5]) level, unnest([c1, c2, c3, c4, c5]) votes from r) select image_name, arg_min(level, (-coalesce(votes, 0), abs(level - mos), level)) level from u group by 1",
     "rating_quintiles": "with r as (select image_name, min(struct_pack(mos := mos, c1 := c1, c2 := c2, c3 := c3, c4 := c4, c5 := c5)).mos mos from image_rating where image_name is not null and mos is not null group by 1), s as (select mos, ('0x' || substr(sha256('ratings:' || image_name), 1, 2))::int % 10 b from r), t as (select list_sort(list(mos)) l from s where b < 8), c as (select [l[1 + len(l) * k // 5] for k in [1, 2, 3, 4]] cuts from t) select case when b < 8 then 'train' when b = 8 then 'dev' else 'test' end split, cast(len(list_filter(cuts, lambda x: x <= mos)) + 1 as int) quintile, count(*) n from s, c group by all",
-    "model_input": "with p as (select distinct sample_id, concat_ws(chr(10) || chr(10), nullif(coalesce(state_text, ''), ''), nullif(coalesce(question, ''), ''), nullif(array_to_string(list_transform(options, lambda o, i: i || '. ' || o.text), chr(10)), '')) prompt, case when lower(trim(task_type)) = 'score' or len(list_filter(options, lambda o: o.box is not null)) > 0 then 576 else 256 end budget from example where sample_id is not null) select sample_id, sha256(prompt) prompt_digest, length(prompt) characters, budget from p",
     "duplicate_ids": "select sample_id, count(*) deliveries from example where sample_id is not null group by 1 having count(*) > 1",
-    "contract_violations": rf"""with e as (select *, lower({_t('split')}) s, lower({_t('task_type')}) t, list_transform(options, lambda o: o.id) ids from example), v as (
- select 'sample_id' violation from e where coalesce(sample_id is null or trim(sample_id) = '', true) union all select 'group_id' from e where group_id is null or trim(group_id) = '' union all select 'schema_version' from e where coalesce(schema_version not in (1, 2), true) union all select 'split' from e where coalesce(nullif(s, '') not in ('train', 'dev', 'calibration', 'test'), true) union all select 'task_type' from e where coalesce(nullif(t, '') not in ('choice', 'noul', 'score'), true)
- union all select 'option ids' from e where coalesce(len(ids) <> len(list_distinct(ids)), true) union all select 'too few options' from e where coalesce(nullif(t, '') <> 'noul' and len(options) < 2, true) union all select 'target is not boolean' from e where coalesce(nullif(t, '') = 'noul' and target.bool is null, true) union all select 'target is no option' from e where coalesce(nullif(t, '') <> 'noul' and (len(target.ids) < 1 or len(list_filter(target.ids, lambda x: not list_contains(ids, x))) > 0), true)) select violation, count(*) rows from v group by 1""",
     "prediction_coverage": f"with {Q}, w as (select sample_id from q where split = 'test'), p as (select distinct sample_id from prediction where sample_id is not null) select 'missing' side, count(*) n from w where sample_id not in (select sample_id from p) having count(*) > 0 union all select 'extra', count(*) from p where sample_id not in (select sample_id from w) having count(*) > 0",
     "pending_rows": f"with {Q} select sample_id, source from q where split = 'test' and sample_id not in (select sample_id from prediction where sample_id is not null)",
 }

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +27,28 @@ def json_field(spark: SparkSession, path: str, field: str, schema: str) -> DataF
 
 
 def json_by_key(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The entries of a whole-file JSON object keyed by id: (key, value fields). schema: that of a value."""
-    text = spark.read.option("wholetext", True).text(path)
-    return text.select(F.explode(F.from_json("value", f"map<string,{schema}>")).alias("key", "e")).select("key", "e.*")
+    """The entries of a whole-file JSON object keyed by id: (key, value fields). schema: that of a value.
+
+    The file may be laid out over any lines; one that is no such object fails the read.
+    """
+    text = spark.read.text(path, wholetext=True)
+    parsed = F.from_json("value", f"map<string,{schema}>", {"mode": "FAILFAST"})
+    return text.select(F.explode(parsed).alias("key", "e")).select("key", "e.*")
 
 
 def levels(spark: SparkSession, path: str) -> DataFrame:
-    """(file, level_id, level) of level texts: blocks that begin with '; id'."""
-    text = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), F.explode(F.filter(F.split(F.concat(F.lit("\n"), "value"), r"\n;"), lambda b: F.trim(b) != "")).alias("b"))
-    body = F.regexp_replace(F.regexp_replace("b", r"^[^\n]*\n", ""), r"\s*\n\s*$", "")
-    return text.select("file", F.trim(F.regexp_extract("b", r"^([^\n]*)", 1)).alias("level_id"), body.alias("level"))
+    """(file, level_id, level, error) of level texts: blocks that begin with '; id'.
+
+    error: why a level is unusable: it has no rows, rows of unequal length or a tile other than ``# @$.*+``; else null.
+    """
+    text = spark.read.text(path, wholetext=True).withColumn("value", F.replace("value", F.lit("\r"), F.lit("")))
+    blocks = F.filter(F.split(F.concat(F.lit("\n"), "value"), r"\n;"), lambda b: F.trim(b) != "")
+    text = text.select(F.input_file_name().alias("file"), F.explode(blocks).alias("b"))
+    lines = F.filter(F.slice(F.split("b", "\n"), 2, 1 << 30), lambda r: F.trim(r) != "")
+    out = text.select("file", F.trim(F.substring_index("b", "\n", 1)).alias("level_id"), F.array_join(lines, "\n").alias("level"), lines.alias("lines"))
+    ragged = F.array_min(F.transform("lines", F.length)) != F.array_max(F.transform("lines", F.length))
+    error = F.when(F.size("lines") == 0, "no rows").when(ragged, "rows of unequal length").when(F.col("level").rlike(r"[^# @$.*+\n]"), "unknown tile")
+    return out.withColumn("error", error).drop("lines")
 
 
 def digests(spark: SparkSession, path: str) -> DataFrame:
@@ -42,25 +56,34 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "length", F.sha2("content", 256).alias("sha256"))
 
 
-def manifest_digest(rows: DataFrame, by: str) -> DataFrame:
+def compact_json(rows: DataFrame) -> Column:
+    """A row as JSON with its nulls, fields in the order of their names."""
+    return F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"})
+
+
+def manifest_digest(rows: DataFrame) -> DataFrame:
     """(rows, digest): a digest of a table that no partitioning changes, of any size.
 
-    Rows become JSON with their nulls, hashed one by one; the hashes of each of 4096 hash ranges are joined in
-    order and hashed, and so are the ranges' digests.
+    Rows become JSON with their nulls and are hashed one by one. Four sums of 60 bits each of the hashes, over all
+    rows, so that no hash has to be kept or ordered, are hashed together with the number of rows. It tells accidental
+    changes, also of repeated rows; it is no signature.
     """
-    h = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
-    part = h.groupBy(F.substring("h", 1, 3).alias("p")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ""), 256).alias("d"), F.count(F.lit(1)).alias("n"))
-    return part.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+    h = rows.select(F.sha2(compact_json(rows), 256).alias("h"))
+    part = lambda i: F.sum(F.conv(F.substring("h", 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("decimal(38,0)")
+    sums = h.agg(F.count(F.lit(1)).alias("rows"), *[F.coalesce(part(i), F.lit(0)).cast("string").alias(f"s{i}") for i in range(4)])
+    return sums.select("rows", F.sha2(F.concat_ws(":", F.col("rows").cast("string"), "s0", "s1", "s2", "s3"), 256).alias("digest"))
+
+
+Check = DataFrame | Callable[[DataFrame], DataFrame]
 
 
-def publish(df: DataFrame, path: str, checks: dict[str, DataFrame]) -> int:
+def publish(df: DataFrame, path: str, checks: dict[str, Check], report: DataFrame | None = None) -> int:
     """Write a new table if every check (a table of violations) is empty; returns its rows. Never overwrites.
 
-    The table is written to a staging folder first and read back for the count; it appears under its name at once.
+    A check is a table, or a function that makes one of the staged rows: what is checked then is what is published.
+    The report, and the outcome of each check, are written beside the table before a failed check raises. Nothing
+    is left under the table's name, nor in its staging folder, if a check fails.
     """
-    for name, bad in checks.items():
-        if bad.limit(1).count():
-            raise ValueError(f"not published: {name}")
     spark = df.sparkSession
     staging = path.rstrip("/") + ".staging"
     hadoop = spark._jvm.org.apache.hadoop.fs
@@ -69,7 +92,16 @@ def publish(df: DataFrame, path: str, checks: dict[str, DataFrame]) -> int:
     if fs.exists(target):
         raise FileExistsError(path)
     df.write.mode("overwrite").parquet(staging)
-    n = spark.read.parquet(staging).count()
+    staged = spark.read.parquet(staging)
+    n = staged.count()
+    failed = [name for name, bad in checks.items() if (bad(staged) if callable(bad) else bad).limit(1).count()]
+    if report is not None:
+        report.write.mode("overwrite").json(path.rstrip("/") + ".report")
+    outcome = [(name, name not in failed, n) for name in checks] or [("none", True, n)]
+    spark.createDataFrame(outcome, "check string, passed boolean, rows long").coalesce(1).write.mode("overwrite").json(path.rstrip("/") + ".checks")
+    if failed:
+        fs.delete(temp, True)
+        raise ValueError(f"not published: {', '.join(failed)}")
     if not fs.rename(temp, target):
         raise OSError(f"{staging} could not be renamed")
     return n
