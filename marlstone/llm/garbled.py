@@ -19,6 +19,7 @@ decomposed accents are not, as no inverse mapping makes them likelier; repeated
 
 from __future__ import annotations
 
+import codecs
 import math
 import re
 from collections.abc import Iterator
@@ -41,6 +42,10 @@ GAIN_UTF8 = 1.0
 GAIN_LOST = 4.0
 LOST = ("dropped", "utf-8")
 ROUNDS = 3
+#: Results for stretches of up to so many characters are remembered within a task.
+REMEMBERED = 40
+#: From so many characters on, likelihoods are summed by array operations.
+LONG = 24
 
 # Encodings texts are read with by mistake, and encodings texts are written in.
 READ_AS = ("latin-1", "cp1252", "cp1250", "cp1251", "cp437", "cp850", "mac_roman", "koi8-r", "gb18030", "cp932")
@@ -62,12 +67,26 @@ def byte_of(encoding: str) -> dict[str, int] | None:
     return out
 
 
+@lru_cache(None)
+def points_of(encoding: str) -> dict[int, int] | None:
+    """``byte_of`` by code points."""
+    table = byte_of(encoding)
+    return None if table is None else {ord(c): b for c, b in table.items()}
+
+
+@lru_cache(None)
+def producible(encoding: str) -> re.Pattern:
+    """Stretches of characters beyond ASCII that reading with an encoding can have produced."""
+    table = byte_of(encoding)
+    return _NON_ASCII if table is None else re.compile("[" + "".join(re.escape(c) for c in table if ord(c) > 0x7F) + "]+")
+
+
 def encoded(text: str, encoding: str) -> bytes | None:
     """The bytes that would read as the text, or None."""
-    table = byte_of(encoding)
+    table = points_of(encoding)
     try:
-        return text.encode(encoding) if table is None else bytes(table[c] for c in text)
-    except (UnicodeEncodeError, KeyError):
+        return text.encode(encoding) if table is None else codecs.charmap_encode(text, "strict", table)[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -124,6 +143,8 @@ class PairModel:
             self.contribution = p * np.log(np.maximum(p, 1e-300) / (first * second)) if len(p) else p
             self.conditional = np.minimum(1.0, p / first) if len(p) else p
         self.least = max(1e-9, least)
+        self.chars = np.array(sorted(self.char_p), dtype=np.int64)
+        self.of_char = np.array([max(self.char_p[c], self.least) for c in self.chars.tolist()])
         self.cache: dict[tuple[str, str, int], float] = {}
         # what is left of a UTF-8 character that was misread while control characters or undefined bytes were dropped
         self.stumps: dict[str, list[str]] = {}
@@ -135,7 +156,11 @@ class PairModel:
                 left = "".join(x for x in full if not 0x7F < ord(x) < 0xA0)
                 if 0 < len(left) < len(c.encode()) and left != c:
                     self.stumps.setdefault(left, []).append(c)
+        starts = sorted({x[0] for x in self.stumps})
+        self.stump_starts = re.compile("[" + "".join(map(re.escape, starts)) + "]") if starts else None
+        self.guesses: dict[tuple[str, str, str, str, str], tuple[float, str]] = {}
         self.mapped: dict[tuple[str, str, str], list[tuple[float, tuple[str, str], Edits]]] = {}
+        self.steps: dict[tuple[str, str, str, str, bool], dict[str, tuple[float, str]]] = {}
 
     def improbable(self, text: str) -> np.ndarray:
         """The score of each pair between adjacent characters of the text: above zero where it is improbable."""
@@ -162,19 +187,27 @@ class PairModel:
 
     def likelihood(self, before: str, text: str, after: str) -> float:
         whole = before + text + after
-        return sum(self.log_p(a, b) for a, b in zip(whole, whole[1:]))
+        if len(whole) < LONG or not len(self.pairs):
+            return sum(self.log_p(a, b) for a, b in zip(whole, whole[1:]))
+        keys = pair_keys(whole)[1:-1]
+        at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+        b = keys & (1 << 21) - 1
+        i = np.minimum(np.searchsorted(self.chars, b), len(self.chars) - 1)
+        p = 0.9 * np.where(self.pairs[at] == keys, self.conditional[at], 0.0) + 0.1 * np.where(self.chars[i] == b, self.of_char[i], self.least)
+        return float(np.log(p).sum())
 
 
 def segments(score: np.ndarray) -> list[tuple[int, int]]:
     """All maximum-scoring segments [i, j) of a sequence, by one pass with a stack of candidates (Ruzzo and Tompa)."""
     stack: list[tuple[int, int, float, float]] = []  # begin, end, sum before, sum after
-    total = 0.0
-    for i, s in enumerate(score):
-        begin, left = i, total
-        total += float(s)
-        if s <= 0:
-            continue
-        end, right = i + 1, total
+    if not len(score):
+        return []
+    # neighbours of one sign are one step; segments begin and end where the sign changes
+    turns = np.concatenate([[0], np.nonzero(np.diff(score > 0))[0] + 1])
+    sums, ends = np.add.reduceat(score, turns), np.append(turns[1:], len(score))
+    after = np.cumsum(sums)
+    some = score[turns] > 0
+    for begin, end, left, right in zip(turns[some].tolist(), ends[some].tolist(), (after - sums)[some].tolist(), after[some].tolist()):
         while True:
             k = len(stack) - 1
             while k >= 0 and stack[k][2] >= left:
@@ -200,75 +233,111 @@ def runs(text: str, model: PairModel) -> list[tuple[int, int]]:
 Edits = list[tuple[int, int, str]]
 
 
+def remapped(before: str, span: str, after: str, read: str, wide: bool, model: PairModel) -> dict[str, tuple[float, str]]:
+    """What the inverse mappings from one encoding make of a span: for each encoding it may have been written in, the
+    gain and the text, of those that gain. Words come again and again, so results are remembered.
+
+    wide: the span is more than what the encoding can have produced; only encodings of several bytes are tried.
+    """
+    key = (before, span, after, read, wide)
+    known = model.steps.get(key)
+    if known is not None:
+        return known
+    out: dict[str, tuple[float, str]] = {}
+    data, cost = encoded(span, read), None
+    for written in () if data is None else ("utf-8",) if read in MANY_BYTES else MANY_BYTES if wide else WRITTEN_IN:
+        if written == read or (wide and written == "utf-8" and read not in MANY_BYTES):
+            continue
+        new, got = span, []
+        for i in range(ROUNDS if written == "utf-8" else 1):  # UTF-8 may have been misread repeatedly
+            bytes_ = data if i == 0 else encoded(new, read)
+            again = None if bytes_ is None else decoded(bytes_, written)
+            if again is None or again == new or "�" in again:
+                break
+            new = again
+            if cost is None:
+                cost = model.likelihood(before, span, after)
+            got.append((model.likelihood(before, new, after) - cost, new))
+        if got and max(got)[0] > 0:
+            out[written] = max(got)
+    if len(span) <= REMEMBERED:
+        if len(model.steps) > 500_000:
+            model.steps.clear()
+        model.steps[key] = out
+    return out
+
+
+def guessed(before: str, after: str, stump: str, far_before: str, far_after: str, model: PairModel) -> tuple[float, str]:
+    """The likeliest character that a stump can be what is left of, and its gain between its neighbours.
+
+    What the nearest characters other than white space say counts as well; no neighbour says nothing.
+    """
+    key = (before, after, stump, far_before, far_after)
+    known = model.guesses.get(key)
+    if known is not None:
+        return known
+
+    def value(x: str) -> float:
+        far = (model.log_p(*p, CLOSED_UP) for p in ((far_before, x[0]), (x[-1], far_after)) if all(p))
+        return model.likelihood(before, x, after) + sum(far)
+
+    own = value(stump)
+    # no character is likelier than certain
+    best = max((value(c) - own, c) for c in model.stumps[stump]) if -own >= GAIN_LOST else (0.0, "")
+    if len(model.guesses) > 500_000:
+        model.guesses.clear()
+    model.guesses[key] = best
+    return best
+
+
 def mappings(left: str, run: str, right: str, model: PairModel) -> list[tuple[float, tuple[str, str], Edits]]:
     """The inverse mappings that make the run likelier between its neighbours: gain, encodings and replacements."""
     known = model.mapped.get((left, run, right))
     if known is not None:
         return known
     whole, shift = left + run + right, len(left)
-    cost: dict[tuple[int, int], float] = {}
 
-    def gain(b: int, e: int, new: str) -> float:
-        before, after = whole[max(0, b + shift - 1) : b + shift] or "\n", whole[e + shift : e + shift + 1] or "\n"
-        if (b, e) not in cost:
-            cost[b, e] = model.likelihood(before, run[b:e], after)
-        return model.likelihood(before, new, after) - cost[b, e]
-
-    def apart(b: int, e: int, new: str) -> float:
-        """What the nearest characters other than white space add where white space stands between."""
-        before, after = whole[: b + shift].rstrip()[-1:], whole[e + shift :].lstrip()[:1]
-        pair = lambda x: sum(model.log_p(*p, CLOSED_UP) for p in ((before, x[0]), (x[-1], after)) if all(p))
-        return pair(new) - pair(run[b:e])
+    def ends(b: int, e: int) -> tuple[str, str]:
+        return whole[max(0, b + shift - 1) : b + shift] or "\n", whole[e + shift : e + shift + 1] or "\n"
 
     out = []
     for read in READ_AS:
-        one = byte_of(read)
-        found = [m.span() for m in _NON_ASCII.finditer(run)]
-        if one is not None:  # only what this encoding can have produced
-            found = [(b + x, b + y) for b, e in found for x, y in spans_of([c in one for c in run[b:e]])]
+        found = [m.span() for m in producible(read).finditer(run)]
         if not found:
             continue
         core = (found[0][0], found[-1][1])
-        for written in WRITTEN_IN:
-            if written == read or (one is None and written != "utf-8"):
-                continue
-            tries = [found]
-            if written in MANY_BYTES and (written != "utf-8" or one is None):
-                # a letter beside or inside the core may be the second byte of a character
-                tries += [[core], [(core[0], min(len(run), core[1] + 1))], [(b, min(len(run), e + 1)) for b, e in found]]
-            best: tuple[float, Edits] = (0.0, [])
-            for spans in tries:
-                got, total = [], 0.0
-                for b, e in spans:
-                    new, steps = run[b:e], []
-                    for _ in range(ROUNDS if written == "utf-8" else 1):  # UTF-8 may have been misread repeatedly
-                        data = encoded(new, read)
-                        again = None if data is None else decoded(data, written)
-                        if again is None or again == new or "�" in again:
-                            break
-                        new = again
-                        steps.append((gain(b, e, new), new))
-                    if steps and max(steps)[0] > 0:
-                        total += max(steps)[0]
-                        got.append((b, e, max(steps)[1]))
-                if total > best[0]:
-                    best = total, got
-            if best[0] > 0:
-                out.append((best[0], (read, written), best[1]))
-    got, total, i = [], 0.0, 0
-    while i < len(run):
-        for k in (3, 2, 1):
-            guesses = [(gain(i, i + k, c) + apart(i, i + k, c), c) for c in model.stumps.get(run[i : i + k], ())] if i + k <= len(run) else []
-            if guesses and max(guesses)[0] >= GAIN_LOST:
-                total += max(guesses)[0]
-                got.append((i, i + k, max(guesses)[1]))
-                i += k - 1
-                break
-        i += 1
+        # a letter beside or inside the core may be the second byte of a character
+        tries = [found, [core], [(core[0], min(len(run), core[1] + 1))], [(b, min(len(run), e + 1)) for b, e in found]]
+        best: dict[str, tuple[float, Edits]] = {}
+        for wide, spans in enumerate(tries):
+            sums: dict[str, tuple[float, Edits]] = {}
+            for b, e in spans:
+                before, after = ends(b, e)
+                for written, (g, new) in remapped(before, run[b:e], after, read, wide > 0, model).items():
+                    total, edits = sums.setdefault(written, (0.0, []))
+                    edits.append((b, e, new))
+                    sums[written] = total + g, edits
+            for written, (total, edits) in sums.items():
+                if total > best.get(written, (0.0,))[0]:
+                    best[written] = total, edits
+        out += [(total, (read, written), edits) for written, (total, edits) in best.items()]
+    got, total, free = [], 0.0, 0
+    for m in model.stump_starts.finditer(run) if model.stump_starts else ():
+        i = m.start()
+        for k in (3, 2, 1) if i >= free else ():
+            stump = run[i : i + k]
+            if len(stump) == k and stump in model.stumps:
+                far = whole[: i + shift].rstrip()[-1:], whole[i + k + shift :].lstrip()[:1]
+                score, new = guessed(*ends(i, i + k), stump, *far, model)
+                if score >= GAIN_LOST:
+                    total += score
+                    got.append((i, i + k, new))
+                    free = i + k
+                    break
     if got:
         out.append((total, LOST, got))
     out.sort(key=lambda x: (x[1] == LOST, -x[0], x[1]))  # a guess only where nothing else holds
-    if len(run) <= 40:
+    if len(run) <= REMEMBERED:
         if len(model.mapped) > 200_000:
             model.mapped.clear()
         model.mapped[left, run, right] = out
@@ -280,18 +349,6 @@ def enough(mapping: tuple[str, str]) -> float:
     return GAIN_LOST if mapping == LOST else GAIN_UTF8 if mapping[1] == "utf-8" else GAIN
 
 
-def spans_of(flags: list[bool]) -> list[tuple[int, int]]:
-    """The maximal stretches [i, j) of true flags."""
-    out, begin = [], None
-    for i, f in enumerate([*flags, False]):
-        if f and begin is None:
-            begin = i
-        elif not f and begin is not None:
-            out.append((begin, i))
-            begin = None
-    return out
-
-
 def restore(text: str | None, model: PairModel) -> tuple[bool, str | None, bool]:
     """(garbled, restored, complete): complete if nothing is unreadable or guessed; restored is null for clean texts."""
     if not text or text.isascii():
