@@ -6,13 +6,13 @@ component search. A component's size is its number of keys.
 
 Of each size, every split first gets its share of the components, rounded down, so that splits are alike. What is
 then missing to a split's total is met as closely as the components left over allow: a bitset of reachable sums over
-their size multiplicities, smaller splits first; the largest split keeps the rest. At most about sqrt(2 x keys)
+their size multiplicities, smaller splits first; the largest split keeps the rest. Pairs of splits then exchange
+components, by the same bitsets, until none gets nearer. At most about sqrt(2 x keys)
 different sizes can exist, and only their counts come to the driver. Which components of a size go to which split is
 decided by hash rank.
 
 Defined cases: a null key is no record; null and blank groups, roots and splits say nothing; a record with neither
-group nor root is its own component; a component larger than a split's total can't go there and ends in the largest
-split; a target of zero gets nothing; an empty table gives no rows.
+group nor root is its own component; a component larger than a split's total goes where the totals stay closest; a target of zero gets nothing; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,14 +28,22 @@ from marlstone.operators.ranking import bucket_counts
 from marlstone.plans.lineage import cut
 
 LIMIT = 1 << 21
+#: Sizes of at least so many components are dealt in bulk in the second draft.
+ONE_BY_ONE = 64
+#: Passes over all pairs of splits, at most.
+ROUNDS = 8
+#: Rows of (plan, size, split) that are broadcast; more are joined by shuffle.
+FEW = 1_000_000
 
 
-def closest_sum(counts: dict[int, int], target: int, limit: int = LIMIT) -> dict[int, int]:
+def closest_sum(counts: dict[int, int], target: int, limit: int = LIMIT, upto: int | None = None) -> dict[int, int]:
     """How many components of each size to take so that their total is closest to the target (ties: the lower).
 
     Bit i of the set says that total i can be reached; multiplicities are taken in doubling bundles, small sizes
-    first, until the target itself is reached. A target above ``limit`` first takes large sizes greedily down to it.
+    first, until the target itself is reached. A target above ``limit`` first takes large sizes greedily down to it;
+    a greater limit is the exact way. upto: any total from the target up to this one is as good.
     """
+    slack = max(0, (target if upto is None else upto) - target)
     taken: dict[int, int] = {}
     free = {s: c for s, c in counts.items() if 0 < s and c > 0}
     if target > limit:
@@ -50,20 +58,26 @@ def closest_sum(counts: dict[int, int], target: int, limit: int = LIMIT) -> dict
         target = min(target, limit)
     if target <= 0:
         return taken
-    mask = (1 << (2 * target + 1)) - 1
+    top = 2 * target + slack
+    mask, good = (1 << (top + 1)) - 1, ((1 << (slack + 1)) - 1) << target
     steps: list[tuple[int, int, int]] = []  # size, copies, the set before
     reach = 1
     for s in sorted(free):
-        if s > 2 * target or reach >> target & 1:
+        if s > top or reach & good:
             break
         left, bundle = free[s], 1
-        while left and not reach >> target & 1:
+        while left and not reach & good:
             k = min(bundle, left)
             steps.append((s, k, reach))
             reach |= (reach << (s * k)) & mask
             left, bundle = left - k, bundle * 2
-    d = next(d for d in range(target + 1) if reach >> (target - d) & 1 or reach >> (target + d) & 1)
-    at = target - d if reach >> (target - d) & 1 else target + d
+    if reach & good:
+        at = target + ((reach & good) >> target & -((reach & good) >> target)).bit_length() - 1
+    else:
+        below = (reach & ((1 << target) - 1)).bit_length() - 1
+        above = reach >> (target + slack)
+        over = (above & -above).bit_length() - 1 if above else target + 1
+        at = below if target - below <= over else target + slack + over
     for s, k, before in reversed(steps):
         if not before >> at & 1:
             taken[s] = taken.get(s, 0) + k
@@ -71,21 +85,67 @@ def closest_sum(counts: dict[int, int], target: int, limit: int = LIMIT) -> dict
     return taken
 
 
+def deviation(split: dict[int, int], want: int) -> int:
+    """How far a split's total is from what is wanted."""
+    return abs(sum(s * k for s, k in split.items()) - want)
+
+
+def rebalanced(x: dict[int, int], y: dict[int, int], want_x: int, want_y: int) -> tuple[dict[int, int], dict[int, int]]:
+    """The components of two splits, dealt to them so that both deviations together are least."""
+    pool = {s: x.get(s, 0) + y.get(s, 0) for s in {*x, *y}}
+    total = sum(s * c for s, c in pool.items())
+    # between these totals of x the sum of the deviations is the same; outside it grows
+    lo, hi = sorted((want_x, total - want_y))
+    new_x = closest_sum(pool, max(0, lo), upto=max(0, hi))
+    new_y = {s: c - new_x.get(s, 0) for s, c in pool.items()}
+    better = deviation(new_x, want_x) + deviation(new_y, want_y) < deviation(x, want_x) + deviation(y, want_y)
+    return (new_x, new_y) if better else (x, y)
+
+
 def share_out(counts: dict[int, int], targets: dict[str, int]) -> dict[str, dict[int, int]]:
-    """Numbers of components of each size for each split. targets: questions of each split, in any unit."""
+    """Numbers of components of each size for each split. targets: questions of each split, in any unit.
+
+    Two first drafts are improved, and the better is taken: every split's share of each size, with what is missing
+    filled in, smaller splits first; and the largest components first, each to the split that lacks most. Then pairs
+    of splits exchange components, each time as well as any exchange could, until no pair gets nearer to its totals.
+    So no exchange between two splits can improve the result.
+    """
     total, whole = sum(s * c for s, c in counts.items()), sum(targets.values())
     order = sorted((t for t in targets if targets[t] > 0), key=lambda t: (targets[t], t))
     if not order:
         return {}
     want = {t: round(total * targets[t] / whole) for t in order}
-    out = {t: {s: c * targets[t] // whole for s, c in counts.items() if s <= want[t]} for t in order[:-1]}
-    free = {s: c - sum(o.get(s, 0) for o in out.values()) for s, c in counts.items()}
+    alike = {t: {s: c * targets[t] // whole for s, c in counts.items() if s <= want[t]} for t in order[:-1]}
+    free = {s: c - sum(o.get(s, 0) for o in alike.values()) for s, c in counts.items()}
     for t in order[:-1]:
-        for s, k in closest_sum(free, want[t] - sum(s * k for s, k in out[t].items())).items():
-            out[t][s] = out[t].get(s, 0) + k
+        for s, k in closest_sum(free, want[t] - sum(s * k for s, k in alike[t].items())).items():
+            alike[t][s] = alike[t].get(s, 0) + k
             free[s] -= k
-    out[order[-1]] = free
-    return out
+    alike[order[-1]] = free
+    drafts = [alike]
+    # one by one only where a size is too large or too rare to be shared alike
+    large: dict[str, dict[int, int]] = {t: {} for t in order}
+    lacking = dict(want)
+    for s in sorted(counts, reverse=True):
+        each = {t: counts[s] * targets[t] // whole if counts[s] >= ONE_BY_ONE else 0 for t in order}
+        for t in [t for t in order for _ in range(1 if each[t] else 0)]:
+            large[t][s] = each[t]
+            lacking[t] -= s * each[t]
+        for _ in range(counts[s] - sum(each.values())):
+            t = max(order, key=lambda t: (lacking[t], t))
+            large[t][s] = large[t].get(s, 0) + 1
+            lacking[t] -= s
+    drafts.append(large)
+    for out in drafts:
+        for _ in range(ROUNDS):
+            before = sum(deviation(out[t], want[t]) for t in order)
+            for i, t in enumerate(order):
+                for u in order[i + 1 :]:
+                    if deviation(out[t], want[t]) + deviation(out[u], want[u]):
+                        out[t], out[u] = rebalanced(out[t], out[u], want[t], want[u])
+            if sum(deviation(out[t], want[t]) for t in order) == before:
+                break
+    return min(drafts, key=lambda out: sum(deviation(out[t], want[t]) for t in order))
 
 
 class Related:
@@ -94,8 +154,8 @@ class Related:
     def __init__(self, rows: DataFrame, key: str = "sample_id"):
         group, root = spelled_group("group_id"), stripped("root_id")
         r = rows.select(F.col(key).alias("key"), group.alias("g"), F.when(root.isNotNull(), F.col("root_id")).alias("root"), spelled("split").alias("split")).where(F.col("key").isNotNull())
-        self.total = rows.count()
-        self.rows = r.select("key", "root", "split", F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("r:"), "root"), F.concat(F.lit("s:"), "key")).alias("unit"))
+        self.rows = cut(r.select("key", "root", "split", F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("r:"), "root"), F.concat(F.lit("s:"), "key")).alias("unit")))
+        self.total = self.rows.count()
         edges = links(self.rows, "root", "unit", self.total).unionByName(links(self.rows, "key", "unit", self.total))
         self.labels = components(edges).withColumnRenamed("node", "unit")
 
@@ -143,7 +203,7 @@ class Related:
         before = bucket_counts(ranked, by).drop("n")
         place = F.row_number().over(W.partitionBy(*by, "bucket").orderBy("rank", "component"))
         placed = ranked.withColumn("place", place).join(before, [*by, "bucket"]).withColumn("place", F.col("place") + F.col("before"))
-        chosen = placed.join(F.broadcast(spans_df), by).where("place > after and place <= upto").select("plan_id", "component", "split")
+        chosen = placed.join(F.broadcast(spans_df) if len(spans) <= FEW else spans_df, by).where("place > after and place <= upto").select("plan_id", "component", "split")
         wide = chosen.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("plan_id", "split"))).alias("splits"))
         out = join_unique(keys, "component", wide, "splits", max(1, total)).select("key", F.explode("splits").alias("plan_id", "split"))
         return out.select("plan_id", "key", "split"), spark.createDataFrame(report, "plan_id string, split string, questions long, target_share double, actual_share double")

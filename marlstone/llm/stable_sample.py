@@ -38,13 +38,13 @@ def bucket_list(keys: DataFrame, plans: DataFrame, intakes: int = INTAKES) -> Da
     plans: plan_id, seed, size. All tables from the counts on are bounded by buckets x intakes x plans.
     """
     counts = keys.where(F.col("batch").isNotNull()).groupBy("bucket", "batch").agg(F.count(F.lit(1)).alias("n"))
-    # each count also stands for all later intakes; the window runs over bucket counts, not over rows of data
-    later = counts.withColumn("all", F.collect_set("batch").over(W.partitionBy(F.lit(0))))
-    upto = later.withColumn("intake", F.explode(F.filter("all", lambda b: b >= F.col("batch")))).groupBy("bucket", "intake").agg(F.sum("n").alias("n"))
-    place = F.dense_rank().over(W.partitionBy(F.lit(0)).orderBy("intake"))
-    upto = upto.withColumn("place", place)
     # every bucket, also those without keys so far, so that a bucket's position never changes
     names = F.transform(F.sequence(F.lit(0), F.lit(16**DIGITS - 1)), lambda i: F.lower(F.lpad(F.hex(i), DIGITS, "0")))
+    # a running sum for each bucket over the list of all batches, which is one row
+    batches = counts.agg(F.sort_array(F.collect_set("batch")).alias("batches"))
+    grid = batches.select(F.explode(names).alias("bucket"), "batches").repartition("bucket").select("bucket", F.posexplode("batches").alias("place", "intake"))
+    upto = grid.join(counts.withColumnRenamed("batch", "intake"), ["bucket", "intake"], "left").withColumn("place", F.col("place") + 1)
+    upto = upto.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("bucket").orderBy("place")))
     order = plans.where(F.col("size") > 0).select("plan_id", "seed", "size", F.explode(names).alias("bucket"))
     order = order.withColumn("position", F.row_number().over(W.partitionBy("plan_id").orderBy(rank(F.col("seed"), "bucket"), "bucket")))
     held = order.join(upto, "bucket")

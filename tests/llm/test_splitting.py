@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pandas as pd
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -46,6 +47,31 @@ def brute(data):
     return list(comp.values())
 
 
+def nearest(sizes, targets):
+    """The least total deviation of any assignment of components to splits."""
+    want = [round(sum(sizes) * t / sum(targets.values())) for t in targets.values()]
+    sums = {(0,) * len(want)}
+    for s in sizes:
+        sums = {tuple(v + (s if i == j else 0) for j, v in enumerate(x)) for x in sums for i in range(len(want))}
+    return min(sum(abs(a - b) for a, b in zip(x, want)) for x in sums)
+
+
+def test_share_out_is_nearest():
+    rnd = random.Random(1)
+    missed = 0
+    for _ in range(300):
+        sizes = [rnd.choice([1, 1, 2, 3, 5, 8, 20, rnd.randrange(1, 60)]) for _ in range(rnd.randrange(1, 9))]
+        targets = {n: rnd.randrange(1, 10) for n in rnd.choice(["ab", "abc", "abcd"])}
+        counts = {s: sizes.count(s) for s in sizes}
+        out = group_split.share_out(counts, targets)
+        assert {s: sum(o.get(s, 0) for o in out.values()) for s in counts} == counts
+        got = sum(group_split.deviation(out[t], round(sum(sizes) * w / sum(targets.values()))) for t, w in targets.items())
+        assert got <= nearest(sizes, targets) + 0.1 * sum(sizes)
+        missed += got > nearest(sizes, targets)
+    # two splits are dealt exactly; of three and more, an exchange among three at once is seldom needed
+    assert missed <= 3
+
+
 def test_related_matches_union_find(spark):
     rnd = random.Random(5)
     pick = lambda p, n, nulls=0.15: None if rnd.random() < nulls else f"{p}{rnd.randrange(n)}"
@@ -61,7 +87,9 @@ def test_related_matches_union_find(spark):
     assert {k for p, k in got if p == "p"} == keys == {k for p, k in got if p == "q"}
     assert all(len({got["p", k] for k in c[0]}) == 1 for c in comps)
     share = {(r.plan_id, r.split): r.actual_share for r in report.collect()}
-    assert abs(share["p", "dev"] - 0.2) < 0.02 and abs(share["p", "test"] - 0.2) < 0.02 and share["q", "train"] == 1
+    # no assignment of these components is within two per cent of the targets; the nearest one of all is found
+    total = len(keys)
+    assert sum(abs(share["p", t] * total - round(total * w)) for t, w in (("train", 0.6), ("dev", 0.2), ("test", 0.2))) == pytest.approx(nearest([len(c[0]) for c in comps], {"train": 60, "dev": 20, "test": 20})) and share["q", "train"] == 1
 
 
 def test_related_of_nothing(spark):
