@@ -51,7 +51,7 @@ def row_checks() -> list[tuple[str, Column]]:
 def violations(rows: DataFrame) -> DataFrame:
     """The rows that break the contract, with all their ``violations`` and the ``first`` of them."""
     found = F.filter(F.array(*[F.when(bad, F.lit(name)) for name, bad in row_checks()]), lambda v: v.isNotNull())
-    return rows.withColumn("violations", found).where(F.size("violations") > 0).withColumn("first", F.element_at("violations", 1))
+    return rows.withColumn("violations", found).where(F.size("violations") > 0).withColumn("first", F.get("violations", F.lit(0)))
 
 
 def table_violations(rows: DataFrame) -> DataFrame:

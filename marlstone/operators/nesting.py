@@ -80,21 +80,26 @@ def pools(answers: DataFrame, by: list[str], cap: int = 512) -> DataFrame:
     return heads.groupBy(*by).agg(F.array_sort(F.collect_list("answer")).alias("pool"))
 
 
-def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512, most: int = 4096) -> DataFrame:
+def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512, most: int = 4096, members: DataFrame | None = None, fallback: bool = True) -> DataFrame:
     """(sample_id, answer, negatives): other answers of the same pool, hash-ranked for each sample.
 
     answers: sample_id, answer and the columns ``by`` of its pool. A sample whose pool has fewer than ``wanted`` other
     answers takes the pool of all columns but the last, and has fewer negatives if that is small as well. Pools are
     cut to ``cap`` answers by the operator's definition. The pool is chosen before it is ranked, so each member is
-    hashed once a sample. Pools are counted: up to ``most`` of them, of ``cap`` answers each, are broadcast, more are
+    hashed once a sample. members: the rows that make the pools, if others than ``answers``. fallback: whether small
+    pools are widened; one column of ``by`` has to remain then. Pools are counted: up to ``most`` of them, of ``cap`` answers each, are broadcast, more are
     joined by shuffle.
     """
     a = cut(answers.select("sample_id", "answer", *by))
-    for name, keys in (("_exact", by), ("_wide", by[:-1])):
-        p = cut(pools(a, keys, cap)).withColumnRenamed("pool", name)
+    for name, keys in (("_exact", by), ("_wide", by[:-1])) if fallback else (("_exact", by),):
+        p = cut(pools(a if members is None else members, keys, cap)).withColumnRenamed("pool", name)
         a = a.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
-    own = F.array_contains("_exact", F.col("answer")).cast("int")
-    pool = F.when(F.size("_exact") - own >= wanted, F.col("_exact")).otherwise(F.col("_wide"))
+    if fallback:
+        own = F.array_contains("_exact", F.col("answer")).cast("int")
+        pool = F.when(F.size("_exact") - own >= wanted, F.col("_exact")).otherwise(F.col("_wide"))
+    else:
+        pool = F.col("_exact")
+    pool = F.coalesce(pool, F.array().cast("array<string>"))
     a = a.select("sample_id", "answer", F.array_remove(pool, F.col("answer")).alias("pool"))
     return a.select("sample_id", "answer", F.slice(hashed_order(F.col("pool"), F.col("sample_id"), "\u0000"), 1, wanted).alias("negatives"))
 
@@ -117,6 +122,24 @@ def smallest(options: Column) -> Column:
     return F.array_min(F.transform(usable(options), lambda o: F.struct(area(o).alias("a"), o["id"].alias("id"))))["id"]
 
 
+def smallest_of(options: Column, ids: Column) -> Column:
+    """The id of the option of least area among those named, ties by id; null if none of them is an option."""
+    area = lambda o: (o["box"][2] - o["box"][0]) * (o["box"][3] - o["box"][1])
+    named = F.filter(options, lambda o: F.array_contains(ids, o["id"]))
+    return F.array_min(F.transform(named, lambda o: F.struct(area(o).alias("a"), o["id"].alias("id"))))["id"]
+
+
+def visible_target(options: Column, target: Column, width: Column, height: Column) -> Column:
+    """Whether a target can be seen in a picture of this size: its box has an area, of at most nine tenths of the
+    picture, and at least half of it lies inside. A target without a box, or that is no option, passes."""
+    box = F.get(F.filter(options, lambda o: o["id"] == target), F.lit(0))["box"]
+    area = (box[2] - box[0]) * (box[3] - box[1])
+    inside = lambda lo, hi, size: F.greatest(F.lit(0.0), F.least(hi, size) - F.greatest(lo, F.lit(0.0)))
+    within = inside(box[0], box[2], width) * inside(box[1], box[3], height)
+    fits = (area > 0) & (width > 0) & (height > 0) & (area <= width * height * 0.9)
+    return F.when(F.size(F.filter(options, lambda o: o["id"] == target)) == 0, True).when(box.isNull(), True).otherwise(F.coalesce(fits & (within / area >= 0.5), F.lit(False)))
+
+
 def at_point(options: Column, x: float, y: float) -> Column:
     """Ids of the usable options whose closed box holds the point."""
     return F.transform(F.filter(usable(options), lambda o: F.lit(x).between(o["box"][0], o["box"][2]) & F.lit(y).between(o["box"][1], o["box"][3])), lambda o: o["id"])

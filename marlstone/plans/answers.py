@@ -16,7 +16,7 @@ from marlstone.sources.tables import table
 def answers(s: SparkSession, d: str) -> DataFrame:
     """(sample_id, split, family, answer, kind): one right answer a question with options; deliveries are merged."""
     e = table(s, d, "example").where("sample_id is not null and size(options) > 0 and get(target.ids, 0) is not null")
-    chosen = F.element_at(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), 1)["text"]
+    chosen = F.get(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), F.lit(0))["text"]
     family = nest.question_family(F.coalesce("question", F.lit("")))
     a = e.select("sample_id", F.coalesce(spelled("split"), F.lit("")).alias("split"), family.alias("family"), nest.normalized(chosen).alias("answer")).where("answer is not null")
     a = a.groupBy("sample_id").agg(F.min(F.struct("split", "family", "answer")).alias("a")).select("sample_id", "a.*")

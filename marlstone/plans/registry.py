@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marlstone.plans import answers, dataset, evaluation
+from marlstone.plans import adapted, answers, dataset, evaluation, roles
 
 Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {**dataset.QUERIES, **answers.QUERIES, **evaluation.QUERIES}
-SQL: dict[str, str] = {**dataset.SQL, **answers.SQL, **evaluation.SQL}
+QUERIES: dict[str, Query] = {**dataset.QUERIES, **answers.QUERIES, **roles.QUERIES, **adapted.QUERIES, **evaluation.QUERIES}
+SQL: dict[str, str] = {**dataset.SQL, **answers.SQL, **roles.SQL, **adapted.SQL, **evaluation.SQL}
