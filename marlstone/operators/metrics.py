@@ -156,3 +156,20 @@ def latencies(rows: DataFrame, by: str, value: str) -> DataFrame:
     found = run.groupBy(by).agg(F.max("n").alias("n"), F.sum(F.col("v") * F.col("c")).alias("sum"), F.min("v").alias("least"), F.max("v").alias("most"), *[at(g(place[p])).alias(p + s) for p in marks for s, g in (("lo", F.floor), ("hi", F.ceil))])
     between = lambda p: F.round(F.col(p + "lo") + (F.col(p + "hi") - F.col(p + "lo")) * (place[p] - F.floor(place[p])), 6).alias(p)
     return found.select(by, "n", F.round("sum", 4).alias("total"), F.round(F.col("sum") / F.col("n"), 6).alias("mean"), *[between(p) for p in marks], "least", "most")
+
+
+def choice_set_loss(probabilities: Column, valid: Column) -> Column:
+    """-ln of the probability of all valid candidates together, clipped at 1e-12; a question without any is an error."""
+    mass = F.aggregate(F.zip_with(probabilities, valid, lambda p, ok: F.when(ok, p).otherwise(0.0)), F.lit(0.0), lambda a, b: a + b)
+    return F.when(F.exists(valid, lambda ok: ok), -F.ln(F.greatest(mass, F.lit(1e-12)))).otherwise(F.raise_error(F.lit("no valid target")).cast("double"))
+
+
+def generation_rates(rows: DataFrame, by: list[str], raw: str = "raw", answer: str = "answer") -> DataFrame:
+    """(by, questions, syntax_valid, exact_match): shares of texts that are JSON objects, and that equal the answer as JSON.
+
+    Objects are compared as maps, so spacing and the order of fields don't matter.
+    """
+    parsed = lambda c: F.array_sort(F.map_entries(F.from_json(c, "map<string,string>")))
+    valid = F.coalesce(F.from_json(raw, "map<string,string>").isNotNull() & F.col(raw).rlike(r"^\s*\{[\s\S]*\}\s*$"), F.lit(False))
+    same = valid & F.coalesce(parsed(raw) == parsed(answer), F.lit(False))
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"), F.avg(valid.cast("double")).alias("syntax_valid"), F.avg(same.cast("double")).alias("exact_match"))
