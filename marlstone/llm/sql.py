@@ -21,6 +21,11 @@ upto as (select plan_id, intake, max(length) over (partition by plan_id order by
 SQL: dict[str, str] = {
     "p1_stable_sample": _P1 + "select plan_id, sample_id, bucket, cast(position as int) position, batch first_batch from keys join ordered using (bucket) where position <= (select max(upto) from upto where upto.plan_id = ordered.plan_id)",
     "p1_bucket_list": _P1 + "select plan_id, bucket, cast(position as int) position, min(intake) opened from ordered join upto using (plan_id) where position <= upto group by all",
+    "p1_report": _P1
+    + """, listed as (select plan_id, bucket from ordered where position <= (select max(upto) from upto where upto.plan_id = ordered.plan_id)),
+members as (select plan_id, count(*) members from keys join listed using (bucket) group by 1),
+whole as (select count(*) supply, count(*) filter (batch is null) undated, count(distinct batch) intakes from keys)
+select plan_id, total_root_questions size, supply, undated, intakes, coalesce(members, 0) members, greatest(total_root_questions - coalesce(members, 0), 0) short from rlcd_72k left join members using (plan_id), whole""",
     "p2_found": f"""
 with quotas as (select mixture_id, unnest(map_keys(public_source_task_quotas)) source, unnest(map_values(public_source_task_quotas)) tasks from sft_117k),
 entries as (select mixture_id, source, unnest(map_keys(tasks)) task_type, unnest(map_values(tasks)) quota from quotas),
@@ -30,6 +35,12 @@ select mixture_id, source, task_type from entries left join supply using (source
 with entries as (select mixture_id, maximum_repeats_per_record m, unnest(map_keys(public_source_quotas)) source, unnest(map_values(public_source_quotas)) quota from public_extension_pilot),
 supply as (select {_SOURCE} source, count(distinct sample_id) n from example group by 1)
 select mixture_id, source from entries left join supply using (source) where quota > m * coalesce(n, 0)""",
+    "p3_report": f"""
+with entries as (select mixture_id, maximum_repeats_per_record m, total_questions t, unnest(map_keys(public_source_quotas)) source, unnest(map_values(public_source_quotas)) quota from public_extension_pilot),
+supply as (select {_SOURCE} source, count(distinct sample_id) available from example where sample_id is not null group by 1),
+drawn as (select source, count(*) n from (select sample_id, min({_SOURCE}) source from example where sample_id is not null and {_SOURCE} in (select source from entries) group by 1) group by 1),
+used as (select mixture_id, source, quota, m, t, coalesce(available, 0) available, least(quota, m * coalesce(n, 0)) used from entries left join supply using (source) left join drawn using (source) where quota > 0)
+select mixture_id, source, cast(quota as bigint) budget, cast(m as bigint) repeats, available, cast(used as bigint) used, quota / greatest(t, 1) target_share, used / greatest(sum(used) over (partition by mixture_id), 1) actual_share, quota > m * available short from used""",
     "p3_mix": f"""
 with entries as (select mixture_id, maximum_repeats_per_record m, unnest(map_keys(public_source_quotas)) source, unnest(map_values(public_source_quotas)) quota from public_extension_pilot),
 records as (select sample_id, min({_SOURCE}) source from example where {_SOURCE} is not null group by 1),
