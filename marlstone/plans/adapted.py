@@ -6,9 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.functions.text import spelled, spelled_source
+from marlstone.operators import decisions
+from marlstone.operators.questions import questions
 from marlstone.plans.answers import _ANS
-from marlstone.plans.dataset import TRIM
-from marlstone.sources import adapters
+from marlstone.plans.dataset import SEED, TRIM, Q
+from marlstone.plans.lineage import cut
+from marlstone.sources import adapters, catalog
 from marlstone.sources.tables import table
 
 
@@ -41,7 +44,30 @@ def adapted_nlvr(s: SparkSession, d: str) -> DataFrame:
     return _shown(adapters.nlvr(raw))
 
 
-QUERIES = {f.__name__: f for f in (adapted_koniq10k, adapted_gui_odyssey, adapted_gqa, adapted_nlvr)}
+def training_rows(s: SparkSession, d: str) -> DataFrame:
+    """The first 2,000 training questions of three sources in hashed order, score questions twice and noul ones three times."""
+    q = questions(table(s, d, "example")).withColumn("role", F.col("split")).select("sample_id", "role", "source", "task_type")
+    return catalog.training_rows(q, SEED, "train", ["gqa", "koniq10k", "vqav2"], 2000, {"score": 2, "noul": 3}).select("sample_id", "task_type", "rank", "copy")
+
+
+def allocated_roles(s: SparkSession, d: str) -> DataFrame:
+    """Roles dealt to the test questions by hashed places."""
+    q = questions(table(s, d, "example")).where("split = 'test'").select("sample_id", "source")
+    return decisions.allocated(q, "sample_id", {"dev": 30, "audit": 20, "test": 150}, SEED).select("sample_id", "place", "label")
+
+
+def decision_tasks(s: SparkSession, d: str) -> DataFrame:
+    """Choice questions with several options as decisions: the options are the actions, the targets the best ones."""
+    e = table(s, d, "example").where(F.col("sample_id").isNotNull() & (F.size("options") > 0) & (F.size("target.ids") > 0))
+    names = lambda c: F.transform(c, lambda o: o["id"])
+    rows = e.select("sample_id", F.coalesce(spelled_source("source"), F.lit("")).alias("stage"), F.coalesce(spelled("split"), F.lit("")).alias("role"), names("options").alias("actions"), F.col("target.ids").alias("optimal"))
+    rows = adapters.one_of_each(rows, "sample_id")
+    quotas = rows.select("stage", "role").distinct().withColumn("choice", F.lit(20))
+    out = decisions.decision_tasks(rows, cut(quotas))
+    return out.select("sample_id", "stage", "role", "task_type", "candidate", F.array_join("targets", ",").alias("targets"), "answer")
+
+
+QUERIES = {f.__name__: f for f in (training_rows, allocated_roles, decision_tasks, adapted_koniq10k, adapted_gui_odyssey, adapted_gqa, adapted_nlvr)}
 
 _t = TRIM.format
 _SRC = f"translate(lower({_t('source')}), ' -', '__')"
@@ -50,6 +76,15 @@ _PICK = "list_transform(list_sort(list_transform(o, lambda v: struct_pack(h := s
 _SORT = "list_transform(list_sort(list_transform(list_prepend(answer, wrong), lambda v: struct_pack(h := sha256(sample_id || ':' || v), v := v))), lambda s: s.v)"
 
 SQL = {
+    "training_rows": f"with {Q}, r as (select sample_id, task_type, sha256('{SEED}' || chr(0) || sample_id) rank from q where split = 'train' and source in ('gqa', 'koniq10k', 'vqav2')), h as (select * from r order by rank limit 2000) select sample_id, task_type, rank, unnest(range(1, 2 + case task_type when 'score' then 1 when 'noul' then 2 else 0 end))::int copy from h",
+    "allocated_roles": f"""with {Q}, l as (select label, row_number() over (order by sha256('{SEED}:labels' || chr(0) || i || ':' || label)) place from (select i, case when i < 30 then 'dev' when i < 50 then 'audit' else 'test' end label from (select unnest(range(200)) i))),
+ h as (select sample_id, row_number() over (order by sha256('{SEED}' || chr(0) || sample_id)) place from q where split = 'test') select sample_id, cast(place as int) place, label from h join l using (place)""",
+    "decision_tasks": f"""with r as (select sample_id, min(struct_pack(stage := coalesce({_SRC}, ''), role := coalesce(lower({_t('split')}), ''), actions := list_transform(options, lambda o: o.id), optimal := target.ids)) m from example where sample_id is not null and len(options) > 0 and len(target.ids) > 0 group by 1),
+ w as (select sample_id, m.*, list_filter(m.actions, lambda a: not list_contains(m.optimal, a)) wrong from r),
+ p as (select *, row_number() over (partition by stage, role order by sha256(stage || chr(0) || sample_id)) - 1 place, count(*) filter (len(wrong) = 0) over (partition by stage, role) forced from w),
+ f as (select *, count(*) filter (len(wrong) > 0) over (partition by stage, role order by place rows between unbounded preceding and current row) free from p),
+ c as (select *, len(wrong) = 0 or free <= 20 - forced choice from f)
+ select sample_id, stage, role, case when choice then 'choice' else 'noul' end task_type, case when not choice then case when place % 2 = 0 then optimal[1 + place % len(optimal)] else wrong[1 + place % len(wrong)] end end candidate, case when choice then array_to_string(optimal, ',') end targets, case when not choice then list_contains(optimal, case when place % 2 = 0 then optimal[1 + place % len(optimal)] else wrong[1 + place % len(wrong)] end) end answer from c""",
     "adapted_koniq10k": """with r as (select image_name, m.* from (select image_name, min(struct_pack(mos := mos, c1 := c1, c2 := c2, c3 := c3, c4 := c4, c5 := c5)) m from image_rating where image_name is not null and mos is not null group by 1)),
  b as (select *, ('0x' || substr(sha256('koniq10k:' || image_name), 1, 2))::int % 10 b from r), t as (select list_sort(list(mos)) l from b where b < 8),
  u as (select image_name, mos, unnest([1, 2, 3, 4, 5]) level, unnest([coalesce(c1, 0), coalesce(c2, 0), coalesce(c3, 0), coalesce(c4, 0), coalesce(c5, 0)]) votes from r), m as (select image_name, arg_min(level, (-votes, abs(level - mos), level)) mode from u group by 1)
