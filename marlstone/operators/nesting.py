@@ -40,6 +40,10 @@ FAMILIES = (
 OPENING = r"^(?:what|which|how|is|are|does|do|can)\b"
 
 
+#: Hashes in a task, about.
+WORK = 10_000_000
+
+
 def normalized(answer: Column | str) -> Column:
     """An answer in lower case, without white space at its ends, inner white space as one space."""
     c = F.col(answer) if isinstance(answer, str) else answer
@@ -65,8 +69,17 @@ def question_family(question: Column) -> Column:
 
 def hashed_order(values: Column, key: Column, sep: str = ":") -> Column:
     """Array values in the order of the hash of key, separator and value."""
-    ranked = F.transform(values, lambda v: F.struct(F.sha2(F.concat(key, F.lit(sep), v), 256).alias("h"), v.alias("v")))
-    return F.transform(F.array_sort(ranked), lambda x: x["v"])
+    return after_hash(F.array_sort(with_hash(values, key, sep)))
+
+
+def with_hash(values: Column, key: Column, sep: str) -> Column:
+    """Each value behind the hash of key, separator and value: strings compare faster than structs."""
+    return F.transform(values, lambda v: F.concat(F.sha2(F.concat(key, F.lit(sep), v), 256), v))
+
+
+def after_hash(values: Column) -> Column:
+    """The values without their hashes."""
+    return F.transform(values, lambda x: F.substring(x, 65, 1 << 30))
 
 
 def pools(answers: DataFrame, by: list[str], cap: int = 512) -> DataFrame:
@@ -91,6 +104,7 @@ def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512
     joined by shuffle.
     """
     a = cut(answers.select("sample_id", "answer", *by))
+    rows = a.count()
     for name, keys in (("_exact", by), ("_wide", by[:-1])) if fallback else (("_exact", by),):
         p = cut(pools(a if members is None else members, keys, cap)).withColumnRenamed("pool", name)
         a = a.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
@@ -100,8 +114,11 @@ def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512
     else:
         pool = F.col("_exact")
     pool = F.coalesce(pool, F.array().cast("array<string>"))
-    a = a.select("sample_id", "answer", F.array_remove(pool, F.col("answer")).alias("pool"))
-    return a.select("sample_id", "answer", F.slice(hashed_order(F.col("pool"), F.col("sample_id"), "\u0000"), 1, wanted).alias("negatives"))
+    # a row takes as many hashes as its pool has answers, so rows are spread by work, not by bytes
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, rows * cap // WORK)
+    a = a.repartition(tasks, "sample_id").select("sample_id", "answer", F.array_remove(pool, F.col("answer")).alias("pool"))
+    first = F.slice(F.array_sort(with_hash(F.col("pool"), F.col("sample_id"), "\u0000")), 1, wanted)
+    return a.select("sample_id", "answer", after_hash(first).alias("negatives"))
 
 
 def history(steps: DataFrame) -> DataFrame:
