@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections import deque
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Hashable, Iterator
 from itertools import count
 
 import pandas as pd
@@ -177,6 +177,43 @@ FACING = ((1, 0), (0, 1), (-1, 0), (0, -1))
 TURNS = ("forward", "left", "right", "toggle")
 
 
+def first_moves(start: Hashable, moves: tuple[str, ...], after: Callable, limit: int) -> tuple[int | None, list[str]]:
+    """Least number of moves to an end, and every move that a shortest way begins with; (None, []) if none can be reached.
+
+    after(state, move): the state it leads to and whether that is an end, or None where the move does nothing. States
+    are visited in layers of equal distance; each carries all first moves that lead to it that fast. Raises
+    LimitReached beyond ``limit`` states.
+    """
+    layer: dict[Hashable, set[str]] = {start: set()}
+    depth, seen = 0, {start}
+    while layer:
+        depth += 1
+        following: dict[Hashable, set[str]] = {}
+        won: set[str] = set()
+        for state, via in layer.items():
+            for move in moves:
+                step = after(state, move)
+                if step is None:
+                    continue
+                to, end = step
+                if end:
+                    won |= via or {move}
+                elif to not in seen:
+                    following.setdefault(to, set()).update(via or {move})
+        if won:
+            return depth, sorted(won)
+        seen.update(following)
+        if len(seen) > limit:
+            raise LimitReached(f"no answer within {limit} states")
+        layer = following
+    return None, []
+
+
+def turned(way: int, move: str) -> int:
+    """The direction faced after turning."""
+    return (way + (1 if move == "right" else 3)) % 4
+
+
 def navigate(width: int, height: int, passable: set, goals: set, doors: dict, start: tuple[int, int], facing: int, opened: int = 0, limit: int = 200_000) -> tuple[int | None, list[str]]:
     """Least number of moves of an agent that turns, walks and opens doors, and every move that a shortest way begins with.
 
@@ -184,38 +221,55 @@ def navigate(width: int, height: int, passable: set, goals: set, doors: dict, st
     cell; a door is walked through only while it is open, and toggling changes the door ahead. (None, []) if no goal
     can be reached; (0, []) on a goal. Raises LimitReached beyond ``limit`` states.
     """
-    if start in goals:
-        return 0, []
 
     def after(state: tuple, move: str) -> tuple | None:
         cell, way, mask = state
         if move in ("left", "right"):
-            return cell, (way + (1 if move == "right" else 3)) % 4, mask
+            return (cell, turned(way, move), mask), False
         ahead = (cell[0] + FACING[way][0], cell[1] + FACING[way][1])
         if move == "toggle":
-            return (cell, way, mask ^ (1 << doors[ahead])) if ahead in doors else None
+            return ((cell, way, mask ^ (1 << doors[ahead])), False) if ahead in doors else None
         inside = 0 <= ahead[0] < width and 0 <= ahead[1] < height
-        open_ = mask >> doors[ahead] & 1 if ahead in doors else ahead in passable
-        return (ahead, way, mask) if inside and open_ else None
+        free = mask >> doors[ahead] & 1 if ahead in doors else ahead in passable
+        return ((ahead, way, mask), ahead in goals) if inside and free else None
 
-    first: dict[tuple, set[str]] = {(start, facing, opened): set()}
-    layer, depth, seen = list(first), 0, set(first)
-    while layer:
-        depth += 1
-        following: dict[tuple, set[str]] = {}
-        for state in layer:
-            for move in TURNS:
-                to = after(state, move)
-                if to is not None and to not in seen:
-                    following.setdefault(to, set()).update(first[state] or {move})
-        ends = [s for s in following if s[0] in goals]
-        if ends:
-            return depth, sorted(set().union(*(following[s] for s in ends)))
-        seen.update(following)
-        if len(seen) > limit:
-            raise LimitReached(f"no answer within {limit} states")
-        first, layer = following, list(following)
-    return None, []
+    return (0, []) if start in goals else first_moves((start, facing, opened), TURNS, after, limit)
+
+
+Thing = tuple[str, str, str]
+
+
+def use_tools(walls: set, goals: set, things: dict[tuple[int, int], Thing], start: tuple[int, int], facing: int, mission: str, held: tuple[str, str] | None = None, limit: int = 200_000) -> tuple[int | None, list[str]]:
+    """``navigate`` in a world of things: also take and put them, and unlock doors with the key of their colour.
+
+    things: (kind, colour, status) by cell: doors, which are open, closed or locked, and keys, boxes and balls. Of these
+    one can be held. mission: 'reach' a goal, 'take' a box, or 'open' a door. Walls have to enclose the world.
+    """
+
+    def after(state: tuple, move: str) -> tuple | None:
+        cell, way, hand, rest = state
+        if move in ("left", "right"):
+            return (cell, turned(way, move), hand, rest), False
+        ahead = (cell[0] + FACING[way][0], cell[1] + FACING[way][1])
+        thing = dict(rest).get(ahead)
+        others = frozenset(t for t in rest if t[0] != ahead)
+        if move == "forward":
+            blocked = ahead in walls or thing is not None and thing[::2] != ("door", "open")
+            return None if blocked else ((ahead, way, hand, rest), mission == "reach" and ahead in goals)
+        if move == "take":
+            if hand is not None or thing is None or thing[0] == "door":
+                return None
+            return (cell, way, thing[:2], others), mission == "take" and thing[0] == "box"
+        if move == "put":
+            if hand is None or thing is not None or ahead in walls or ahead in goals:
+                return None
+            return (cell, way, None, others | {(ahead, (*hand, ""))}), False
+        if thing is None or thing[0] != "door" or thing[2] == "locked" and hand != ("key", thing[1]):
+            return None
+        status = "closed" if thing[2] == "open" else "open"
+        return (cell, way, hand, others | {(ahead, ("door", thing[1], status))}), mission == "open" and status == "open"
+
+    return first_moves((start, facing, held, frozenset(things.items())), (*TURNS, "take", "put"), after, limit)
 
 
 def drawn_levels(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -173,3 +173,18 @@ def generation_rates(rows: DataFrame, by: list[str], raw: str = "raw", answer: s
     valid = F.coalesce(F.from_json(raw, "map<string,string>").isNotNull() & F.col(raw).rlike(r"^\s*\{[\s\S]*\}\s*$"), F.lit(False))
     same = valid & F.coalesce(parsed(raw) == parsed(answer), F.lit(False))
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("questions"), F.avg(valid.cast("double")).alias("syntax_valid"), F.avg(same.cast("double")).alias("exact_match"))
+
+
+def brier_any(probabilities: Column, targets: Column) -> Column:
+    """The squared error of probabilities against the targets (an array of indexes), which share one evenly."""
+    right = F.array_distinct(targets)
+    each = F.transform(probabilities, lambda v, i: F.pow(v - F.when(F.array_contains(right, i), 1.0 / F.size(right)).otherwise(0.0), 2))
+    return F.aggregate(each, F.lit(0.0), lambda a, v: a + v)
+
+
+def gate(summary: DataFrame, minimums: dict[str, float]) -> DataFrame:
+    """The summary with one boolean a metric, ``<metric>_ok``, and ``passed``: whether each is at least its minimum. A null metric fails."""
+    out = summary
+    for name, least in minimums.items():
+        out = out.withColumn(f"{name}_ok", F.coalesce(F.col(name) >= F.lit(least), F.lit(False)))
+    return out.withColumn("passed", F.forall(F.array(*[F.col(f"{n}_ok") for n in minimums]), lambda ok: ok))

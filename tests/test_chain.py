@@ -119,3 +119,10 @@ def test_losses_and_rates(spark):
     g = spark.createDataFrame([("t", '{ "a": 1 }', '{"a":1}'), ("t", '{"a":2}', '{"a":1}'), ("t", "[1]", '{"a":1}'), ("t", "oops", '{"a":1}'), ("t", None, '{"a":1}')], "task string, raw string, answer string")
     (r,) = metrics.generation_rates(g, ["task"]).collect()
     assert tuple(r) == ("t", 5, 0.4, 0.2)
+
+
+def test_brier_and_gate(spark):
+    df = spark.createDataFrame([([0.5, 0.3, 0.2], [0, 1]), ([1.0, 0.0, 0.0], [0]), ([0.2, 0.8], [0, 0])], "p array<double>, t array<int>")
+    assert [r[0] for r in df.select(metrics.brier_any(F.col("p"), F.col("t"))).collect()] == [pytest.approx(0.08), 0.0, pytest.approx(1.28)]
+    s = spark.createDataFrame([("a", 0.9, 0.5), ("b", 0.9, 0.4), ("c", None, 0.9)], "model string, exact double, within double")
+    assert {r.model: (r.exact_ok, r.passed) for r in metrics.gate(s, {"exact": 0.9, "within": 0.5}).collect()} == {"a": (True, True), "b": (True, False), "c": (False, False)}

@@ -154,6 +154,16 @@ def test_grids(spark):
     assert grids.navigate(3, 1, {(0, 0), (2, 0)}, {(2, 0)}, {}, (0, 0), 0) == (None, []) and grids.navigate(3, 3, square, {(1, 1)}, {}, (1, 1), 0) == (0, [])
     with pytest.raises(grids.LimitReached):
         grids.navigate(3, 3, square, {(9, 9)}, {}, (1, 1), 0, limit=5)
+    ring = {(x, y) for x in range(-1, 5) for y in (-1, 1)} | {(-1, 0), (4, 0)}
+    key, door = {(1, 0): ("key", "red", "")}, {(2, 0): ("door", "red", "locked")}
+    tools = lambda things, mission, **k: grids.use_tools(ring, {(3, 0)}, things, (0, 0), 0, mission, **k)
+    # take the key, walk up to the door, open it, walk through
+    assert tools({**key, **door}, "reach") == (5, ["take"]) and tools({**key, **door}, "open") == (3, ["take"])
+    assert tools(door, "reach") == (None, []) and tools(door, "open", held=("key", "red")) == (2, ["forward"]) and tools(door, "open", held=("key", "blue")) == (None, [])
+    assert tools({(2, 0): ("door", "red", "closed")}, "reach") == (4, ["forward"]) and tools({(2, 0): ("door", "red", "open")}, "reach") == (3, ["forward"])
+    # a held ball has to be put down, behind or at once, before the box is taken
+    assert tools({(1, 0): ("box", "red", "")}, "take") == (1, ["take"]) and tools({(1, 0): ("box", "red", "")}, "take", held=("ball", "blue"))[0] is None
+    assert tools({(2, 0): ("box", "red", "")}, "take", held=("ball", "blue"))[0] == 7
     docs = spark.createDataFrame([(1, "x\n┌──┐\n│#@│\n│$.│\n└──┘\ny\n┌─┐\n│ │\n└─┘"), (2, None), (3, "┌─┐"), (None, "┌─┐\n│ │\n└─┘")], "doc_id long, text string")
     drawn = grids.drawn_levels(docs)
     assert [(r.doc_id, r.place, r.level) for r in drawn.orderBy("place").collect()] == [(1, 0, "#@\n$."), (1, 1, " ")]
