@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 
 import numpy as np
-import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
