@@ -142,6 +142,7 @@ class PairModel:
         with np.errstate(divide="ignore"):
             self.contribution = p * np.log(np.maximum(p, 1e-300) / (first * second)) if len(p) else p
             self.conditional = np.minimum(1.0, p / first) if len(p) else p
+        self.pair_score = np.clip(math.log(IMPROBABLE) - np.log(np.maximum(self.contribution, 1e-12)), -3.0, 3.0)
         self.least = max(1e-9, least)
         self.chars = np.array(sorted(self.char_p), dtype=np.int64)
         self.of_char = np.array([max(self.char_p[c], self.least) for c in self.chars.tolist()])
@@ -169,8 +170,7 @@ class PairModel:
         if len(self.pairs):
             at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
             hit = self.pairs[at] == keys
-            with np.errstate(divide="ignore"):
-                score[hit] = np.clip(math.log(IMPROBABLE) - np.log(np.maximum(self.contribution[at[hit]], 1e-12)), -3.0, 3.0)
+            score[hit] = self.pair_score[at[hit]]
         score[(keys >> 21 < 128) & ((keys & (1 << 21) - 1) < 128)] = -2.0
         return score
 
@@ -306,8 +306,11 @@ def mappings(left: str, run: str, right: str, model: PairModel) -> list[tuple[fl
         if not found:
             continue
         core = (found[0][0], found[-1][1])
-        # a letter beside or inside the core may be the second byte of a character
-        tries = [found, [core], [(core[0], min(len(run), core[1] + 1))], [(b, min(len(run), e + 1)) for b, e in found]]
+        # a letter beside or inside the core may be the second byte of a character; where an encoding of several bytes
+        # was read with, such letters are part of its characters already
+        tries = [found]
+        if read not in MANY_BYTES:
+            tries += [[core], [(core[0], min(len(run), core[1] + 1))], [(b, min(len(run), e + 1)) for b, e in found]]
         best: dict[str, tuple[float, Edits]] = {}
         for wide, spans in enumerate(tries):
             sums: dict[str, tuple[float, Edits]] = {}
