@@ -396,7 +396,9 @@ def find_garbled(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
             got = [restore(t, model.value) for t in b["_text"]]
             keep = [g[0] for g in got]
             if any(keep):
-                yield pd.DataFrame({key: b["_key"][keep].reset_index(drop=True), "restored": [g[1] for g in got if g[0]], "complete": [g[2] for g in got if g[0]]})
+                yield pd.DataFrame(
+                    {key: b["_key"][keep].reset_index(drop=True), "restored": [g[1] for g in got if g[0]], "complete": [g[2] for g in got if g[0]]}
+                )
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(docs[key].alias("_key"), docs[text].alias("_text"))

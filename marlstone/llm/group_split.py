@@ -153,8 +153,15 @@ class Related:
 
     def __init__(self, rows: DataFrame, key: str = "sample_id"):
         group, root = spelled_group("group_id"), stripped("root_id")
-        r = rows.select(F.col(key).alias("key"), group.alias("g"), F.when(root.isNotNull(), F.col("root_id")).alias("root"), spelled("split").alias("split")).where(F.col("key").isNotNull())
-        self.rows = cut(r.select("key", "root", "split", F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("r:"), "root"), F.concat(F.lit("s:"), "key")).alias("unit")))
+        r = rows.select(
+            F.col(key).alias("key"), group.alias("g"), F.when(root.isNotNull(), F.col("root_id")).alias("root"), spelled("split").alias("split")
+        ).where(F.col("key").isNotNull())
+        self.rows = cut(
+            r.select(
+                "key", "root", "split",
+                F.coalesce(F.concat(F.lit("g:"), "g"), F.concat(F.lit("r:"), "root"), F.concat(F.lit("s:"), "key")).alias("unit")
+            )
+        )
         self.total = self.rows.count()
         edges = links(self.rows, "root", "unit", self.total).unionByName(links(self.rows, "key", "unit", self.total))
         self.labels = components(edges).withColumnRenamed("node", "unit")
@@ -198,15 +205,21 @@ class Related:
         spans_df = spark.createDataFrame(spans, "plan_id string, size long, after long, upto long, split string")
         names = spark.createDataFrame([(p,) for p in sorted(plans)], "plan_id string")
         # components, not keys, are ranked: exactly, by hash bucket within each plan and size
-        ranked = sized.join(F.broadcast(names)).withColumn("rank", rank(F.col("plan_id"), "component")).withColumn("bucket", F.substring("rank", 1, 3))
+        ranked = sized.join(F.broadcast(names)).withColumn(
+            "rank", rank(F.col("plan_id"), "component")
+        ).withColumn("bucket", F.substring("rank", 1, 3))
         by = ["plan_id", "size"]
         before = bucket_counts(ranked, by).drop("n")
         place = F.row_number().over(W.partitionBy(*by, "bucket").orderBy("rank", "component"))
         placed = ranked.withColumn("place", place).join(before, [*by, "bucket"]).withColumn("place", F.col("place") + F.col("before"))
-        chosen = placed.join(F.broadcast(spans_df) if len(spans) <= FEW else spans_df, by).where("place > after and place <= upto").select("plan_id", "component", "split")
+        chosen = placed.join(
+            F.broadcast(spans_df) if len(spans) <= FEW else spans_df, by
+        ).where("place > after and place <= upto").select("plan_id", "component", "split")
         wide = chosen.groupBy("component").agg(F.map_from_entries(F.collect_list(F.struct("plan_id", "split"))).alias("splits"))
         out = join_unique(keys, "component", wide, "splits", max(1, total)).select("key", F.explode("splits").alias("plan_id", "split"))
-        return out.select("plan_id", "key", "split"), spark.createDataFrame(report, "plan_id string, split string, questions long, target_share double, actual_share double")
+        return out.select("plan_id", "key", "split"), spark.createDataFrame(
+            report, "plan_id string, split string, questions long, target_share double, actual_share double"
+        )
 
 
 def targets_of(plans: DataFrame) -> dict[str, dict[str, int]]:

@@ -32,7 +32,10 @@ def budgets_of(mixtures: DataFrame) -> DataFrame:
     m = mixtures.select("mixture_id", "maximum_repeats_per_record", "total_questions", F.explode("public_source_quotas").alias("source", "budget"))
     m = m.where((F.col("budget") > 0) & F.col("mixture_id").isNotNull())
     whole = lambda c, d: F.coalesce(F.col(c), F.lit(d)).cast("long")
-    return m.select("mixture_id", "source", F.col("budget").cast("long").alias("budget"), whole("maximum_repeats_per_record", 1).alias("repeats"), whole("total_questions", 0).alias("total"))
+    return m.select(
+        "mixture_id", "source", F.col("budget").cast("long").alias("budget"), whole("maximum_repeats_per_record", 1).alias("repeats"),
+        whole("total_questions", 0).alias("total")
+    )
 
 
 class Mix:
@@ -67,19 +70,31 @@ class Mix:
 
         first = crossed(plan.where("supply > 0").select(*ids, "rest"), coarse, ["source"]).withColumnRenamed("part", "p1")
         edge = keys.withColumn("p1", F.substring("rank", 1, DIGITS)).join(F.broadcast(first.select("source", "p1").distinct()), ["source", "p1"])
-        second = crossed(first, summed(edge, ["source", "p1"], F.substring("rank", 1 + DIGITS, DIGITS)), ["source", "p1"]).withColumnRenamed("part", "p2")
-        edge = edge.withColumn("p2", F.substring("rank", 1 + DIGITS, DIGITS)).join(F.broadcast(second.select("source", "p1", "p2").distinct()), ["source", "p1", "p2"])
+        second = crossed(
+            first, summed(edge, ["source", "p1"], F.substring("rank", 1 + DIGITS, DIGITS)), ["source", "p1"]
+        ).withColumnRenamed("part", "p2")
+        edge = edge.withColumn("p2", F.substring("rank", 1 + DIGITS, DIGITS)).join(
+            F.broadcast(second.select("source", "p1", "p2").distinct()), ["source", "p1", "p2"]
+        )
         single = summed(edge, ["source", "p1", "p2"], F.col("rank"))
         last = F.broadcast(second).join(single, ["source", "p1", "p2"]).where(F.col("before") + F.col("sum") <= F.col("rest"))
         last = last.groupBy(*ids).agg(F.max("part").alias("to"), F.max(F.col("before") + F.col("sum")).alias("more"))
-        found = second.join(last, ids, "left").select(*ids, F.coalesce("to", F.concat("p1", "p2")).alias("threshold"), (F.col("rest") - F.coalesce("more", F.lit(0))).alias("unused"))
-        self.thresholds = plan.join(found, ids, "left").select(*ids, "budget", "repeats", "total", "supply", "rounds", F.coalesce("threshold", F.lit("")).alias("threshold"), F.when(F.col("supply") > 0, F.col("rounds") * F.col("supply") + F.col("rest") - F.coalesce("unused", F.lit(0))).otherwise(0).alias("used"))
+        found = second.join(last, ids, "left").select(
+            *ids, F.coalesce("to", F.concat("p1", "p2")).alias("threshold"), (F.col("rest") - F.coalesce("more", F.lit(0))).alias("unused")
+        )
+        self.thresholds = plan.join(found, ids, "left").select(
+            *ids, "budget", "repeats", "total", "supply", "rounds", F.coalesce("threshold", F.lit("")).alias("threshold"),
+            F.when(F.col("supply") > 0, F.col("rounds") * F.col("supply") + F.col("rest") - F.coalesce("unused", F.lit(0))).otherwise(0).alias("used")
+        )
         uses = (F.col("rounds") + F.when(F.col("rank") <= F.col("threshold"), 1).otherwise(0)).cast("int")
         picked = keys.join(F.broadcast(self.thresholds.select(*ids, "rounds", "threshold")), "source")
         self.records = picked.withColumn("uses", uses).where("uses > 0").select("mixture_id", F.col("key").alias(key), "source", "uses")
 
         def report(t: DataFrame) -> DataFrame:
             share = F.col("used") / F.greatest(F.sum("used").over(W.partitionBy("mixture_id")), F.lit(1))
-            return t.select(*ids, "budget", "repeats", "available", "used", (F.col("budget") / F.greatest("total", F.lit(1))).alias("target_share"), share.alias("actual_share"), (F.col("budget") > F.col("repeats") * F.col("available")).alias("short"))
+            return t.select(
+                *ids, "budget", "repeats", "available", "used", (F.col("budget") / F.greatest("total", F.lit(1))).alias("target_share"),
+                share.alias("actual_share"), (F.col("budget") > F.col("repeats") * F.col("available")).alias("short")
+            )
 
         self.report = report(self.thresholds.join(F.broadcast(each), "source", "left").na.fill(0, ["available"]))

@@ -150,11 +150,17 @@ def contained_classes(classes: DataFrame) -> DataFrame:
     slots = F.when(F.col("n") > much, F.ceil(F.col("n") * SLOTS / much).cast("int")).otherwise(F.lit(1))
     looked = looked.select("a", "gram", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"))
     hot = often.where(F.col("n") > much).select("gram", slots.alias("slots"))
-    spread = hits.join(F.broadcast(hot), "gram", "left").select("gram", "b", F.when(F.col("slots").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.col("slots"))).cast("int").alias("slot"))
+    spread = hits.join(F.broadcast(hot), "gram", "left").select(
+        "gram", "b", F.when(F.col("slots").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.col("slots"))).cast("int").alias("slot")
+    )
     met = looked.join(spread, ["gram", "slot"]).select("a", "b").where("a != b").distinct()
     met = met.join(asked.select(F.col("id").alias("a"), "k", *[F.col(s).alias("a" + s) for s in sketch]), "a")
     met = met.join(held.select(F.col("id").alias("b"), *sketch), "b")
-    both, own = (sum((F.bit_count(x) for x in xs), F.lit(0)) for xs in ([F.col("a" + s).bitwiseAND(F.col(s)) for s in sketch], [F.col("a" + s) for s in sketch]))
+    both, own = (
+        sum((F.bit_count(x) for x in xs), F.lit(0)) for xs in (
+            [F.col("a" + s).bitwiseAND(F.col(s)) for s in sketch], [F.col("a" + s) for s in sketch]
+        )
+    )
     near = met.where(both + F.col("k") - own >= least(F.col("k"))).select("a", "b")
     left = c.where("evaluation").select(F.col("id").alias("a"), F.col("class").alias("_a"), "picture", F.col("fold").alias("_fa"))
     right = c.where("train").select(F.col("id").alias("b"), F.col("class").alias("_b"), F.col("picture").alias("_pb"), F.col("fold").alias("_fb"))

@@ -97,8 +97,12 @@ def deliveries(rows: DataFrame, key: str = "sample_id") -> DataFrame:
     The pictures are found first, from their numbers alone; only the questions about them are folded and moved. The
     list of pictures is counted, and broadcast only up to FEW rows of eight bytes; beyond, it is joined by shuffle.
     """
-    r = rows.where(F.col(key).isNotNull() & F.col("question").isNotNull()).withColumn("split", spelled("split")).where(F.col("split").isin("train", *EVALUATION))
-    r = r.select(F.col(key).alias("key"), "split", spelled_source("source").alias("source"), picture().alias("picture"), "question").where("picture is not null")
+    r = rows.where(
+        F.col(key).isNotNull() & F.col("question").isNotNull()
+    ).withColumn("split", spelled("split")).where(F.col("split").isin("train", *EVALUATION))
+    r = r.select(
+        F.col(key).alias("key"), "split", spelled_source("source").alias("source"), picture().alias("picture"), "question"
+    ).where("picture is not null")
     sides = r.groupBy("picture").agg(F.bool_or(F.col("split") == "train").alias("t"), F.bool_or(F.col("split") != "train").alias("e"))
     sides = cut(sides.where("t and e").select("picture"))
     r = r.join(F.broadcast(sides) if sides.count() <= FEW else sides, "picture", "left_semi")
@@ -209,7 +213,10 @@ def block_pairs(asked: pd.DataFrame, held: pd.DataFrame, side: int = 1024) -> pd
             i, j = hopeful(x, y)
             if len(i):
                 got = common_of(x, y, i, j)
-                found += [(a[p], b[q], k / max(len(x[p]), len(y[q]))) for p, q, k in zip(i, j, got) if k / max(len(x[p]), len(y[q])) >= AGREE and a[p] != b[q]]
+                found += [
+                    (a[p], b[q], k / max(len(x[p]), len(y[q]))) for p, q,
+                    k in zip(i, j, got) if k / max(len(x[p]), len(y[q])) >= AGREE and a[p] != b[q]
+                ]
     return pd.DataFrame(found, columns=["a", "b", "agree"])
 
 
@@ -221,16 +228,22 @@ def crowded_pairs(c: DataFrame) -> DataFrame:
     # two bands are far apart only if the lengths in them are
     far = math.ceil(-math.log(AGREE) / BAND)
     other = slots.select("picture", F.col("band").alias("band2"), F.col("evaluation").alias("e2"), F.col("train").alias("t2"))
-    met = c.join(slots.withColumnRenamed("evaluation", "e1").withColumnRenamed("train", "t1"), ["picture", "band"]).join(other, "picture").where(F.abs(F.col("band") - F.col("band2")) <= far)
+    met = c.join(
+        slots.withColumnRenamed("evaluation", "e1").withColumnRenamed("train", "t1"), ["picture", "band"]
+    ).join(other, "picture").where(F.abs(F.col("band") - F.col("band2")) <= far)
     block = lambda *k: F.xxhash64("picture", *k).alias("block")
 
     def sided(of: str, mine: str, others: str, names: tuple[str, str], *k: str) -> DataFrame:
-        r = met.where(of).where(F.col(others) > 0).withColumn("mine", slot(mine)).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(others) - 1)))
+        r = met.where(of).where(F.col(others) > 0).withColumn("mine", slot(mine)).withColumn(
+            "other", F.explode(F.sequence(F.lit(0), F.col(others) - 1))
+        )
         return r.select(block(*k), F.col("class").alias(names[0]), F.col("letters").alias(names[1]))
 
     asked = sided("evaluation", "e1", "t2", ("a", "x"), "band", "mine", "band2", "other")
     held = sided("train", "t1", "e2", ("b", "y"), "band2", "other", "band", "mine")
-    return asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(lambda asked, held: block_pairs(asked, held), "a binary, b binary, agree double")
+    return asked.groupBy("block").cogroup(held.groupBy("block")).applyInPandas(
+        lambda asked, held: block_pairs(asked, held), "a binary, b binary, agree double"
+    )
 
 
 def near_classes(classes: DataFrame) -> DataFrame:
@@ -241,10 +254,14 @@ def near_classes(classes: DataFrame) -> DataFrame:
     # pictures with both sides; sizes of pictures, not of their rows, are joined
     sides = classes.groupBy("picture").agg(F.sum(F.col("train").cast("int")).alias("crowd"), F.max("evaluation").alias("asked"))
     sides = sides.where("crowd > 0 and asked").select("picture", "crowd")
-    c = classes.join(sides, "picture").select("class", "picture", "crowd", "train", "evaluation", F.replace("fold", F.lit(" "), F.lit("")).alias("letters"))
+    c = classes.join(sides, "picture").select(
+        "class", "picture", "crowd", "train", "evaluation", F.replace("fold", F.lit(" "), F.lit("")).alias("letters")
+    )
     few = c.where(F.col("crowd") <= CROWD)
     asked = few.where("evaluation").select("picture", F.col("class").alias("a"), F.col("letters").alias("_la"))
-    whole = asked.join(few.where("train").select("picture", F.col("class").alias("b"), F.col("letters").alias("_lb")), "picture").where(F.col("a") != F.col("b"))
+    whole = asked.join(
+        few.where("train").select("picture", F.col("class").alias("b"), F.col("letters").alias("_lb")), "picture"
+    ).where(F.col("a") != F.col("b"))
     short = F.least(F.length("_la"), F.length("_lb")) / F.greatest(F.length("_la"), F.length("_lb")) >= AGREE
     whole = whole.where(short).select("a", "b", agreement("_la", "_lb").alias("agree")).where(F.col("agree") >= AGREE)
     return whole.unionByName(crowded_pairs(c.where(F.col("crowd") > CROWD)))
@@ -259,7 +276,9 @@ class Overlap:
 
     def __init__(self, rows: DataFrame, key: str = "sample_id", search: Callable[[DataFrame], DataFrame] = near_classes):
         self.rows = deliveries(rows, key)
-        side = self.rows.groupBy("class", "picture").agg(F.min("fold").alias("fold"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("evaluation"))
+        side = self.rows.groupBy("class", "picture").agg(
+            F.min("fold").alias("fold"), F.max(F.col("split") == "train").alias("train"), F.max(F.col("split") != "train").alias("evaluation")
+        )
         self.classes = cut(side)
         self.near = cut(search(self.classes))
 
@@ -268,14 +287,20 @@ class Overlap:
 
         contained: containment of the evaluation record in the training record; null if the search compares all.
         """
-        same = self.classes.where("train and evaluation").select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("agree"), F.lit(1.0).alias("contained"))
+        same = self.classes.where("train and evaluation").select(
+            F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("agree"), F.lit(1.0).alias("contained")
+        )
         return same.unionByName(self.near, allowMissingColumns=True)
 
     def pairs(self) -> DataFrame:
         """(sample_id_a, sample_id_b): all pairs of different keys across the splits, the lesser key first."""
         m = self.matches()
-        asked = self.rows.where(F.col("split") != "train").select(F.col("class").alias("a"), F.col("key").alias("x")).join(m.select("a").distinct(), "a", "left_semi").distinct()
-        held = self.rows.where(F.col("split") == "train").select(F.col("class").alias("b"), F.col("key").alias("y")).join(m.select("b").distinct(), "b", "left_semi").distinct()
+        asked = self.rows.where(F.col("split") != "train").select(
+            F.col("class").alias("a"), F.col("key").alias("x")
+        ).join(m.select("a").distinct(), "a", "left_semi").distinct()
+        held = self.rows.where(F.col("split") == "train").select(
+            F.col("class").alias("b"), F.col("key").alias("y")
+        ).join(m.select("b").distinct(), "b", "left_semi").distinct()
         out = m.select("a", "b").join(asked, "a").join(held, "b").where("x != y")
         return out.select(F.least("x", "y").alias("sample_id_a"), F.greatest("x", "y").alias("sample_id_b")).distinct()
 
@@ -287,9 +312,14 @@ class Overlap:
         """
         held = self.rows.where(F.col("split") == "train").groupBy("class").agg(F.min("key").alias("lo"), F.max("key").alias("hi"))
         seen = held.select(F.col("class").alias("b"), "lo", "hi")
-        best = self.matches().join(seen, "b").groupBy("a").agg(F.max(F.when(F.col("a") == F.col("b"), F.struct("lo", "hi"))).alias("same"), F.min(F.when(F.col("a") != F.col("b"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("a") != F.col("b"), F.col("hi"))).alias("hi"))
+        best = self.matches().join(seen, "b").groupBy("a").agg(
+            F.max(F.when(F.col("a") == F.col("b"), F.struct("lo", "hi"))).alias("same"),
+            F.min(F.when(F.col("a") != F.col("b"), F.col("lo"))).alias("lo"), F.max(F.when(F.col("a") != F.col("b"), F.col("hi"))).alias("hi")
+        )
         asked = self.rows.where(F.col("split") != "train").select("split", "source", "key", F.col("class").alias("a")).distinct()
         other = lambda lo, hi: F.coalesce((F.col(lo) != F.col("key")) | (F.col(hi) != F.col("key")), F.lit(False))
         judged = asked.join(best, "a", "left").withColumn("exact", other("same.lo", "same.hi")).withColumn("near", other("lo", "hi"))
         one = judged.groupBy("split", "source", "key").agg(F.max("exact").alias("exact"), F.max("near").alias("near"))
-        return one.groupBy("split", "source").agg(F.count(F.lit(1)).alias("questions"), F.count_if("exact").alias("exact"), F.count_if(F.col("near") & ~F.col("exact")).alias("near"))
+        return one.groupBy("split", "source").agg(
+            F.count(F.lit(1)).alias("questions"), F.count_if("exact").alias("exact"), F.count_if(F.col("near") & ~F.col("exact")).alias("near")
+        )

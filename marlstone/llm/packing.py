@@ -62,13 +62,26 @@ def pack_corpus(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", per_s
     s = sizes.select(F.col(key).alias("key"), F.coalesce("n_tokens", F.lit(0)).cast("long").alias("n"))
     total = s.agg(F.sum("n").alias("n")).first()["n"] or 0
     known = [(r["budget_id"], int(r["capacity_tokens"])) for r in budgets.where("budget_id is not null and capacity_tokens > 0").collect()]
-    each = [F.struct(F.lit(i).alias("budget_id"), F.lit(c).cast("long").alias("capacity"), F.lit(max(1, round(total / (c * per_shard)))).cast("long").alias("shards")) for i, c in known]
+    each = [
+        F.struct(
+            F.lit(i).alias("budget_id"), F.lit(c).cast("long").alias("capacity"),
+            F.lit(max(1, round(total / (c * per_shard)))).cast("long").alias("shards")
+        ) for i,
+        c in known
+    ]
     # every document is packed once under every budget
-    items = s.withColumn("b", F.explode(F.array(*each) if each else F.expr("cast(array() as array<struct<budget_id:string,capacity:long,shards:long>>)"))).select("key", "n", "b.*")
+    items = s.withColumn(
+        "b", F.explode(F.array(*each) if each else F.expr("cast(array() as array<struct<budget_id:string,capacity:long,shards:long>>)"))
+    ).select("key", "n", "b.*")
     full = F.floor(F.col("n") / F.col("capacity"))
     # full containers of split documents come straight from the scan
     split = items.where(F.col("n") > F.col("capacity")).select("*", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("piece"))
-    split = split.select("budget_id", F.concat(F.lit("d"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("-"), F.col("piece").cast("string")).alias("container"), F.col("key").alias(key), F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start"), F.col("capacity").alias("n_tokens"))
+    split = split.select(
+        "budget_id",
+        F.concat(F.lit("d"), F.coalesce(F.col("key").cast("string"), F.lit("null")), F.lit("-"), F.col("piece").cast("string")).alias("container"),
+        F.col("key").alias(key), F.col("piece").cast("int").alias("piece"), (F.col("piece") * F.col("capacity")).alias("start"),
+        F.col("capacity").alias("n_tokens")
+    )
     cut = F.when(F.col("n") > F.col("capacity"), full).otherwise(0)
     rest = items.withColumn("piece", cut).withColumn("start", F.col("piece") * F.col("capacity")).withColumn("n_tokens", F.col("n") - F.col("start"))
     rest = rest.where((F.col("n_tokens") > 0) | (F.col("piece") == 0))
@@ -79,7 +92,12 @@ def pack_corpus(sizes: DataFrame, budgets: DataFrame, key: str = "doc_id", per_s
         g = g.sort_values(["n_tokens", "key", "piece"], ascending=[False, True, True], kind="stable")
         at = pack(g["n_tokens"].to_numpy(), int(g["capacity"].iloc[0]))
         name = f"s{int(g['shard'].iloc[0])}-"
-        return pd.DataFrame({"budget_id": g["budget_id"], "container": [name + str(i) for i in at], key: g["key"], "piece": g["piece"], "start": g["start"], "n_tokens": g["n_tokens"]})
+        return pd.DataFrame(
+            {
+                "budget_id": g["budget_id"], "container": [name + str(i) for i in at], key: g["key"], "piece": g["piece"], "start": g["start"],
+                "n_tokens": g["n_tokens"]
+            }
+        )
 
     schema = f"budget_id string, container string, `{key}` {kind}, piece int, start long, n_tokens long"
     out = rest.groupBy("budget_id", "shard").applyInPandas(packed, schema)

@@ -89,7 +89,9 @@ def entries(mixtures: DataFrame) -> DataFrame:
     A source with a quota of its own and none for a task type is one entry of the task type ANY.
     """
     whole = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
-    known = mixtures.where("mixture_id is not null").withColumn("minimum", whole("minimum_questions_per_category")).withColumn("total", whole("total_questions"))
+    known = mixtures.where("mixture_id is not null").withColumn(
+        "minimum", whole("minimum_questions_per_category")
+    ).withColumn("total", whole("total_questions"))
     m = known.select("mixture_id", "minimum", "total", F.explode("public_source_task_quotas").alias("source", "_tasks"))
     m = m.select("*", F.explode("_tasks").alias("task_type", "quota")).where("quota > 0")
     tasks = m.select("mixture_id", "source", "task_type", F.col("quota").cast("long").alias("quota"), "minimum", "total")
@@ -98,7 +100,9 @@ def entries(mixtures: DataFrame) -> DataFrame:
     own = known.select("mixture_id", "minimum", "total", F.explode("public_source_quotas").alias("source", "source_quota")).where("source_quota > 0")
     own = own.withColumn("source_quota", F.col("source_quota").cast("long"))
     alone = own.join(tasks.select("mixture_id", "source").distinct(), ["mixture_id", "source"], "left_anti")
-    alone = alone.select("mixture_id", "source", F.lit(ANY).alias("task_type"), F.col("source_quota").alias("quota"), "minimum", "total", "source_quota")
+    alone = alone.select(
+        "mixture_id", "source", F.lit(ANY).alias("task_type"), F.col("source_quota").alias("quota"), "minimum", "total", "source_quota"
+    )
     return tasks.join(own.select("mixture_id", "source", "source_quota"), ["mixture_id", "source"], "left").select(*alone.columns).unionByName(alone)
 
 
@@ -117,8 +121,12 @@ class QuotaSample:
         leaf, by = ["source", "task_type"], ["mixture_id", "source", "task_type"]
         listed = entries(mixtures)
         every = lambda c: F.struct(c["source"].alias("source"), F.lit(ANY).alias("task_type"))
-        each = keys.select("key", F.explode(F.array_union("cats", F.transform("cats", every))).alias("c")).select("key", "c.*").groupBy(*leaf).agg(F.count(F.lit(1)).alias("available"))
-        home = keys.select("key", F.array_min("cats").alias("c")).select("key", F.col("c.task_type").alias("own"), F.explode(F.array("c", every(F.col("c")))).alias("c")).select("key", "own", "c.*")
+        each = keys.select(
+            "key", F.explode(F.array_union("cats", F.transform("cats", every))).alias("c")
+        ).select("key", "c.*").groupBy(*leaf).agg(F.count(F.lit(1)).alias("available"))
+        home = keys.select("key", F.array_min("cats").alias("c")).select(
+            "key", F.col("c.task_type").alias("own"), F.explode(F.array("c", every(F.col("c")))).alias("c")
+        ).select("key", "own", "c.*")
         supply = home.groupBy(*leaf).agg(F.count(F.lit(1)).alias("capacity"))
         tree = listed.join(each, leaf, "left").join(supply, leaf, "left").na.fill(0, ["available", "capacity"])
         allotted = tree.groupBy("mixture_id").applyInPandas(allot, REPORT)
@@ -127,4 +135,6 @@ class QuotaSample:
         # one row for each record and mixture that names its category
         asked = home.join(F.broadcast(listed.select(*by)), leaf).withColumn("rank", rank(F.col("mixture_id"), "key"))
         take = allotted.select(*by, F.col("drawn").alias("take"))
-        self.drawn = first_by_rank(asked, by, take, tie="key").select("mixture_id", F.col("key").alias(key), "source", F.col("own").alias("task_type"))
+        self.drawn = first_by_rank(asked, by, take, tie="key").select(
+            "mixture_id", F.col("key").alias(key), "source", F.col("own").alias("task_type")
+        )

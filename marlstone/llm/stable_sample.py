@@ -42,7 +42,9 @@ def bucket_list(keys: DataFrame, plans: DataFrame, intakes: int = INTAKES) -> Da
     names = F.transform(F.sequence(F.lit(0), F.lit(16**DIGITS - 1)), lambda i: F.lower(F.lpad(F.hex(i), DIGITS, "0")))
     # a running sum for each bucket over the list of all batches, which is one row
     batches = counts.agg(F.sort_array(F.collect_set("batch")).alias("batches"))
-    grid = batches.select(F.explode(names).alias("bucket"), "batches").repartition("bucket").select("bucket", F.posexplode("batches").alias("place", "intake"))
+    grid = batches.select(F.explode(names).alias("bucket"), "batches").repartition("bucket").select(
+        "bucket", F.posexplode("batches").alias("place", "intake")
+    )
     upto = grid.join(counts.withColumnRenamed("batch", "intake"), ["bucket", "intake"], "left").withColumn("place", F.col("place") + 1)
     upto = upto.withColumn("n", F.sum(F.coalesce("n", F.lit(0))).over(W.partitionBy("bucket").orderBy("place")))
     order = plans.where(F.col("size") > 0).select("plan_id", "seed", "size", F.explode(names).alias("bucket"))
@@ -67,7 +69,9 @@ def stable_sample(rows: DataFrame, plans: DataFrame, key: str = "sample_id", bat
     keys = first_seen(rows, key, batch)
     listed = bucket_list(keys, plans, intakes)
     out = keys.join(F.broadcast(listed), "bucket")
-    return out.select("plan_id", F.col("key").alias(key), "bucket", F.col("position").cast("int").alias("position"), F.col("batch").alias("first_batch"))
+    return out.select(
+        "plan_id", F.col("key").alias(key), "bucket", F.col("position").cast("int").alias("position"), F.col("batch").alias("first_batch")
+    )
 
 
 def shortfall(keys: DataFrame, plans: DataFrame, intakes: int = INTAKES) -> DataFrame:
@@ -77,7 +81,12 @@ def shortfall(keys: DataFrame, plans: DataFrame, intakes: int = INTAKES) -> Data
     of the size, because sizes aren't due yet, all batches are null or the supply is smaller.
     """
     counts = keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
-    whole = keys.agg(F.count(F.lit(1)).alias("supply"), F.count_if(F.col("batch").isNull()).alias("undated"), F.count_distinct("batch").alias("intakes"))
+    whole = keys.agg(
+        F.count(F.lit(1)).alias("supply"), F.count_if(F.col("batch").isNull()).alias("undated"), F.count_distinct("batch").alias("intakes")
+    )
     held = bucket_list(keys, plans, intakes).join(F.broadcast(counts), "bucket").groupBy("plan_id").agg(F.sum("n").alias("members"))
     out = plans.select("plan_id", "size").join(F.broadcast(held), "plan_id", "left").crossJoin(F.broadcast(whole)).na.fill(0, ["members"])
-    return out.select("plan_id", "size", "supply", "undated", "intakes", "members", F.greatest(F.coalesce("size", F.lit(0)) - F.col("members"), F.lit(0)).alias("short"))
+    return out.select(
+        "plan_id", "size", "supply", "undated", "intakes", "members",
+        F.greatest(F.coalesce("size", F.lit(0)) - F.col("members"), F.lit(0)).alias("short")
+    )

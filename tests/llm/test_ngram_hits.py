@@ -19,9 +19,18 @@ def test_cases(spark):
     near = "So, what material would you guess teh metallic mailbox resting above THE stone fireplace was made from"
     other = "What material would you guess the wooden violin resting behind the glass counter is made from?"
     pic, pic2 = "images/gqa/00000000123.jpg", "thumbs\\00000000123-small.JPG"
-    data = [("a", "train", "S", pic, base), ("b", "Dev", "s", pic2, near), ("c", " test", "s", pic, other), ("d", "test", "t", "images/00000000999.jpg", base), ("e", "calibration", "t", pic, f"  {base.upper()}!! "), ("a", "dev", "s", pic, base)]
-    data += [("f", "train", "s", None, base), ("g", "test", "s", " ", near), ("h", "test", "s", "no number", base), ("i", "dev", "s", pic, None), ("j", "dev", "s", pic, " "), ("k", "dev", "s", pic, "?!"), (None, "dev", "s", pic, base), ("l", None, "s", pic, base)]
-    data += [("long1", "train", "s", None, "word " * 3 + " ".join(f"w{i}" for i in range(3000))), ("long2", "test", "s", None, " ".join(f"w{i}" for i in range(20, 3010)))]
+    data = [
+        ("a", "train", "S", pic, base), ("b", "Dev", "s", pic2, near), ("c", " test", "s", pic, other),
+        ("d", "test", "t", "images/00000000999.jpg", base), ("e", "calibration", "t", pic, f"  {base.upper()}!! "), ("a", "dev", "s", pic, base)
+    ]
+    data += [
+        ("f", "train", "s", None, base), ("g", "test", "s", " ", near), ("h", "test", "s", "no number", base), ("i", "dev", "s", pic, None),
+        ("j", "dev", "s", pic, " "), ("k", "dev", "s", pic, "?!"), (None, "dev", "s", pic, base), ("l", None, "s", pic, base)
+    ]
+    data += [
+        ("long1", "train", "s", None, "word " * 3 + " ".join(f"w{i}" for i in range(3000))),
+        ("long2", "test", "s", None, " ".join(f"w{i}" for i in range(20, 3010)))
+    ]
     got, o = found(spark, data)
     assert got == [("a", "b"), ("a", "e"), ("f", "g"), ("long1", "long2")]
     assert all(r.contained >= ngram_hits.CONTAINED and r.agree >= overlap.AGREE for r in o.matches().collect())
@@ -32,7 +41,9 @@ def test_errors_in_every_second_word(spark):
     clean = "read the lettering painted upon the jug name the word that follows harvest"
     typos = "raed the letering painted upn the jgu name teh word tht follows harvets"
     pic = "images/1/00000000123.jpg"
-    assert found(spark, [("a", "train", "s", pic, clean), ("b", "dev", "s", pic, typos), ("c", "train", "s", pic, "is there a cat")])[0] == [("a", "b")]
+    assert found(
+        spark, [("a", "train", "s", pic, clean), ("b", "dev", "s", pic, typos), ("c", "train", "s", pic, "is there a cat")]
+    )[0] == [("a", "b")]
 
 
 def test_rule_by_brute_force(spark, monkeypatch):
@@ -48,9 +59,16 @@ def test_rule_by_brute_force(spark, monkeypatch):
 
     data = []
     for pic in (None, "p/00000000123.jpg"):
-        clean = ["again and again the same opening words " * (i % 2) + " ".join(rnd.choice(words) for _ in range(rnd.choice([1, 3, 6, 12, 25]))) for i in range(60)]
+        clean = [
+            "again and again the same opening words " * (i % 2) + " ".join(
+                rnd.choice(words) for _ in range(rnd.choice([1, 3, 6, 12, 25]))
+            ) for i in range(60)
+        ]
         data += [(f"a{pic}{i}", "test", "s", pic, typos(t, len(t) // rnd.choice([8, 15, 30, 999]))) for i, t in enumerate(clean)]
-        data += [(f"b{pic}{i}", "train", "s", pic, t) for i, t in enumerate(clean + [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 30))) for _ in range(60)])]
+        data += [
+            (f"b{pic}{i}", "train", "s", pic, t) for i,
+            t in enumerate(clean + [" ".join(rnd.choice(words) for _ in range(rnd.randrange(3, 30))) for _ in range(60)])
+        ]
     letters = lambda t: t.replace(" ", "")
     want = set()
     for k, split, _, pic, x in data:

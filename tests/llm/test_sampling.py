@@ -65,12 +65,19 @@ MIX = "mixture_id string, total_questions int, minimum_questions_per_category in
 
 
 def test_quota_sample(spark):
-    data = [(f"a{i}", " A-x ", "Choice", i) for i in range(30)] * 2 + [(f"b{i}", "a_X", "noul", i) for i in range(50)] + [(f"c{i}", "c", "choice", i) for i in range(100)]
+    data = [
+        (f"a{i}", " A-x ", "Choice", i) for i in range(30)
+    ] * 2 + [(f"b{i}", "a_X", "noul", i) for i in range(50)] + [(f"c{i}", "c", "choice", i) for i in range(100)]
     data += [(None, "c", "choice", 0), ("u", None, "choice", 0), ("v", "c", " ", 0), ("small", "a x", "score", 1)]
-    m = [("m", 150, 2, {"a_x": {"choice": 60, "noul": 10, "score": 1}, "c": {"choice": 70}, "none": {"choice": 9}}), ("e", 10, 1, {}), ("n", 5, 1, None)]
+    m = [
+        ("m", 150, 2, {"a_x": {"choice": 60, "noul": 10, "score": 1}, "c": {"choice": 70}, "none": {"choice": 9}}), ("e", 10, 1, {}),
+        ("n", 5, 1, None)
+    ]
     q = quota_sample.QuotaSample(rows(spark, data, E_SCHEMA), rows(spark, m, MIX))
     report = {(r.source, r.task_type): r for r in q.report.collect()}
-    assert {k: r.available for k, r in report.items()} == {("a_x", "choice"): 30, ("a_x", "noul"): 50, ("a_x", "score"): 1, ("c", "choice"): 100, ("none", "choice"): 0}
+    assert {k: r.available for k, r in report.items()} == {
+        ("a_x", "choice"): 30, ("a_x", "noul"): 50, ("a_x", "score"): 1, ("c", "choice"): 100, ("none", "choice"): 0
+    }
     assert {k for k, r in report.items() if r.quota > r.available} == {("a_x", "choice"), ("none", "choice")}
     assert report["a_x", "choice"].drawn == 30 and report["a_x", "score"].drawn == 1 and report["none", "choice"].drawn == 0
     assert report["a_x", "noul"].drawn > 35  # the sibling takes what its source lacks, cousins the rest
@@ -105,10 +112,17 @@ def test_quota_sample_of_nothing(spark):
 @pytest.mark.parametrize("seed", range(3))
 def test_mix_matches_ranking(spark, seed):
     rnd = random.Random(seed)
-    data = [(f"{s}{i}", s.upper() if i % 2 else f" {s}", i) for s, n in (("a", 40), ("b", 7), ("c", 300)) for i in range(n)] * 2 + [(None, "a", 1), ("x", None, 1), ("y", "other", 1)]
+    data = [
+        (f"{s}{i}", s.upper() if i % 2 else f" {s}", i) for s, n in (("a", 40), ("b", 7), ("c", 300)) for i in range(n)
+    ] * 2 + [(None, "a", 1), ("x", None, 1), ("y", "other", 1)]
     rnd.shuffle(data)
     m = [("m1", 3, 100, {"a": 55, "b": 30, "c": 299}), ("m2", 1, 50, {"a": 40, "b": 8, "zero": 3, "c": 1}), ("m3", None, 9, {"c": 300})]
-    mix = mixing.Mix(rows(spark, data, "sample_id string, source string, source_bucket int"), mixing.budgets_of(rows(spark, m, "mixture_id string, maximum_repeats_per_record int, total_questions int, public_source_quotas map<string,int>")))
+    mix = mixing.Mix(
+        rows(spark, data, "sample_id string, source string, source_bucket int"),
+        mixing.budgets_of(
+            rows(spark, m, "mixture_id string, maximum_repeats_per_record int, total_questions int, public_source_quotas map<string,int>")
+        )
+    )
     got = {(r.mixture_id, r.sample_id): r.uses for r in mix.records.collect()}
     want = {}
     for name, repeats, _, quotas in m:
@@ -127,10 +141,15 @@ def test_mix_matches_ranking(spark, seed):
 
 def test_mix_counts_a_key_in_each_of_its_sources(spark):
     data = [(f"k{i}", "a") for i in range(6)] + [(f"k{i}", " B") for i in range(4)] + [("own", "b"), ("own", "b")]
-    budgets = rows(spark, [("m", "a", 6, 1, 12), ("m", "b", 5, 1, 12), ("n", "b", 6, 1, 6), ("n", "c", 1, 1, 6)], "mixture_id string, source string, budget long, repeats long, total long")
+    budgets = rows(
+        spark, [("m", "a", 6, 1, 12), ("m", "b", 5, 1, 12), ("n", "b", 6, 1, 6), ("n", "c", 1, 1, 6)],
+        "mixture_id string, source string, budget long, repeats long, total long"
+    )
     mix = mixing.Mix(rows(spark, data, "sample_id string, source string"), budgets)
     report = {(r.mixture_id, r.source): r for r in mix.report.collect()}
-    assert {k: (r.available, r.short) for k, r in report.items()} == {("m", "a"): (6, False), ("m", "b"): (5, False), ("n", "b"): (5, True), ("n", "c"): (0, True)}
+    assert {k: (r.available, r.short) for k, r in report.items()} == {
+        ("m", "a"): (6, False), ("m", "b"): (5, False), ("n", "b"): (5, True), ("n", "c"): (0, True)
+    }
     drawn = [(r.mixture_id, r.sample_id) for r in mix.records.collect()]
     assert len(drawn) == len(set(drawn)) == 8 and report["m", "b"].used == 1
 

@@ -76,7 +76,9 @@ def test_related_matches_union_find(spark):
     rnd = random.Random(5)
     pick = lambda p, n, nulls=0.15: None if rnd.random() < nulls else f"{p}{rnd.randrange(n)}"
     data = [(f"s{rnd.randrange(260)}", pick("G_", 60), pick("r", 240), rnd.choice(["train", " TRAIN", "dev", "test", None, " "])) for _ in range(300)]
-    data += [(f"h{i}", "Hub 1" if i % 2 else "hub1", f"h{i}", "train") for i in range(120)] + [(None, "x", "y", "dev"), ("alone", " ", "", "dev"), ("alone", None, None, "test")]
+    data += [(f"h{i}", "Hub 1" if i % 2 else "hub1", f"h{i}", "train") for i in range(120)] + [
+        (None, "x", "y", "dev"), ("alone", " ", "", "dev"), ("alone", None, None, "test")
+    ]
     df = spark.createDataFrame([(*r, "clash", "clash") for r in data], SCHEMA)
     found = group_split.Related(df)
     comps = brute(data)
@@ -89,7 +91,9 @@ def test_related_matches_union_find(spark):
     share = {(r.plan_id, r.split): r.actual_share for r in report.collect()}
     # no assignment of these components is within two per cent of the targets; the nearest one of all is found
     total = len(keys)
-    assert sum(abs(share["p", t] * total - round(total * w)) for t, w in (("train", 0.6), ("dev", 0.2), ("test", 0.2))) == pytest.approx(nearest([len(c[0]) for c in comps], {"train": 60, "dev": 20, "test": 20})) and share["q", "train"] == 1
+    assert sum(
+        abs(share["p", t] * total - round(total * w)) for t, w in (("train", 0.6), ("dev", 0.2), ("test", 0.2))
+    ) == pytest.approx(nearest([len(c[0]) for c in comps], {"train": 60, "dev": 20, "test": 20})) and share["q", "train"] == 1
 
 
 def test_related_of_nothing(spark):
@@ -118,10 +122,19 @@ def test_overlap(spark):
     near = "So, what material would you guess teh metallic mailbox resting above THE stone fireplace was made from"
     other = "What material would you guess the wooden violin resting behind the glass counter is made from?"
     pic, pic2 = "images/gqa/00000000123.jpg", "thumbs\\00000000123-small.JPG"
-    data = [("a", "train", "S", pic, base), ("b", "Dev", "s", pic2, near), ("c", " test", "s", pic, other), ("d", "test", "t", "images/00000000999.jpg", base), ("e", "calibration", "t", pic, f"  {base.upper()}!! "), ("a", "dev", "s", pic, base)]
-    data += [("f", "train", "s", None, base), ("g", "test", "s", " ", near), ("h", "test", "s", "no number", base), ("i", "dev", "s", pic, None), ("j", "dev", "s", pic, " "), ("k", "dev", "s", pic, "?!"), (None, "dev", "s", pic, base), ("l", None, "s", pic, base)]
+    data = [
+        ("a", "train", "S", pic, base), ("b", "Dev", "s", pic2, near), ("c", " test", "s", pic, other),
+        ("d", "test", "t", "images/00000000999.jpg", base), ("e", "calibration", "t", pic, f"  {base.upper()}!! "), ("a", "dev", "s", pic, base)
+    ]
+    data += [
+        ("f", "train", "s", None, base), ("g", "test", "s", " ", near), ("h", "test", "s", "no number", base), ("i", "dev", "s", pic, None),
+        ("j", "dev", "s", pic, " "), ("k", "dev", "s", pic, "?!"), (None, "dev", "s", pic, base), ("l", None, "s", pic, base)
+    ]
     data += [(f"t{i}", "train", "s", None, f"Unrelated line {i} about {chr(97 + i % 26) * 5} things and {i * 7} others") for i in range(300)]
-    data += [("long1", "train", "s", None, "word " * 3 + " ".join(f"w{i}" for i in range(3000))), ("long2", "test", "s", None, " ".join(f"w{i}" for i in range(20, 3010)))]
+    data += [
+        ("long1", "train", "s", None, "word " * 3 + " ".join(f"w{i}" for i in range(3000))),
+        ("long2", "test", "s", None, " ".join(f"w{i}" for i in range(20, 3010)))
+    ]
     o = overlap.Overlap(spark.createDataFrame([(*r, "x", "y") for r in data], E))
     got = sorted((r.sample_id_a, r.sample_id_b) for r in o.pairs().collect())
     assert got == [("a", "b"), ("a", "e"), ("f", "g"), ("long1", "long2")]
@@ -133,7 +146,10 @@ def test_overlap_with_errors_in_all_words(spark):
     clean = "read the lettering painted upon the jug name the word that follows harvest"
     # an error in every second word: no two neighbouring words are whole
     typos = "raed the letering painted upn the jgu name teh word tht follows harvets"
-    data = [("a", "train", "images/1/00000000123.jpg", clean), ("b", "dev", "images/2/00000000123.jpg", typos), ("c", "train", "images/1/00000000123.jpg", "is there a cat")]
+    data = [
+        ("a", "train", "images/1/00000000123.jpg", clean), ("b", "dev", "images/2/00000000123.jpg", typos),
+        ("c", "train", "images/1/00000000123.jpg", "is there a cat")
+    ]
     o = overlap.Overlap(spark.createDataFrame([(k, sp, "s", im, q, "x", "y") for k, sp, im, q in data], E))
     assert [tuple(r) for r in o.pairs().collect()] == [("a", "b")]
 
@@ -156,7 +172,9 @@ def test_overlap_does_not_depend_on_the_crowd(spark, monkeypatch):
     same = lambda a, b: overlap.common(letters(a), letters(b)) / max(len(letters(a)), len(letters(b))) >= overlap.AGREE
     want = sorted((f"a{i}", f"b{j}") for i, a in enumerate(asked) for j, b in enumerate(held) if same(a, b))
     assert len(want) >= 40
-    data = [(f"a{i}", "test", "s", None, t, "x", "y") for i, t in enumerate(asked)] + [(f"b{j}", "train", "s", None, t, "x", "y") for j, t in enumerate(held)]
+    data = [
+        (f"a{i}", "test", "s", None, t, "x", "y") for i, t in enumerate(asked)
+    ] + [(f"b{j}", "train", "s", None, t, "x", "y") for j, t in enumerate(held)]
     df = spark.createDataFrame(data, E)
     for crowd, block in ((1000, 4096), (256, 4096), (0, 20)):
         monkeypatch.setattr(overlap, "CROWD", crowd)
@@ -180,7 +198,9 @@ def test_block_pairs_match_brute_force():
         base = ["".join(rnd.choice("abcdefgh") for _ in range(rnd.choice([1, 3, 20, 63, 64, 65, 130, 300, 1200]))) for _ in range(4)]
         x, y = ([changed(rnd.choice(base), rnd.randrange(60)) for _ in range(n)] for n in (40, 50))
         want = {(i, j) for i, a in enumerate(x) for j, b in enumerate(y) if overlap.common(a, b) / max(len(a), len(b)) >= overlap.AGREE}
-        got = overlap.block_pairs(pd.DataFrame({"a": [("x", i) for i in range(40)], "x": x}), pd.DataFrame({"b": [("y", j) for j in range(50)], "y": y}), 17)
+        got = overlap.block_pairs(
+            pd.DataFrame({"a": [("x", i) for i in range(40)], "x": x}), pd.DataFrame({"b": [("y", j) for j in range(50)], "y": y}), 17
+        )
         assert {(a[1], b[1]) for a, b in zip(got.a, got.b)} == want
 
 

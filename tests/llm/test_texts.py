@@ -70,7 +70,11 @@ def test_pack_corpus(spark):
     placed = packing.pack_corpus(sizes, budgets, per_shard=16)
     p = placed.toPandas()
     assert set(p.budget_id) == {"small", "large"}
-    assert (p.groupby(["budget_id", "container"]).n_tokens.sum() <= p.budget_id.map({"small": 100, "large": 1000}).groupby([p.budget_id, p.container]).first()).all()
+    assert (
+        p.groupby(["budget_id", "container"]).n_tokens.sum() <= p.budget_id.map(
+            {"small": 100, "large": 1000}
+        ).groupby([p.budget_id, p.container]).first()
+    ).all()
     for b in ("small", "large"):
         part = p[p.budget_id == b]
         assert part.n_tokens.sum() == sum(n or 0 for _, n in data)
@@ -83,16 +87,32 @@ def test_pack_corpus(spark):
     assert packing.pack_corpus(sizes.limit(0), budgets).count() == 0
 
 
-CLEAN = ["Le café de l’élève est près de la fenêtre, à côté du théâtre.", "Der Gegenstand „Körbchen“ steht über dem Tor und wirkt grün.", "Сколько клеток пройдёт агент до цели? Ответ: 35. Предмет «ящик» находится у стены.", "图中楼梯底部放着一个绿色的长椅，旁边没有人。第34题的候选区域互相重叠。", "A grid of 8 × 14 cells holds “boxes” – at 20 °C.", "La opción número 6 no coincidió con la región azul. ¡Atención!"]
-BAD = [(CLEAN[0], "utf-8", "cp1252"), (CLEAN[1], "utf-8", "latin-1"), (CLEAN[1], "utf-8", "mac_roman"), (CLEAN[2], "utf-8", "latin-1"), (CLEAN[2], "cp1251", "koi8-r"), (CLEAN[3], "gb18030", "latin-1"), (CLEAN[3], "utf-8", "latin-1"), (CLEAN[5], "cp1252", "cp1251"), (CLEAN[4], "utf-8", "cp437")]
-FINE = ["plain ascii", "zero​width ﬁne ｆｕｌｌ", "√2 ≈ 1.41, π; µ = 80 ± 2 ÷ 7", "┌──┐\n│@*│\n└──┘", "&eacute;tage \\u00e9cran \\xc3\\xa9", "cajón", "🙂 👩‍🔬 ✅", "العربة 71 قرب النافذة", "SÃO 4 OPÇÕES; ÂNGULO", ""]
+CLEAN = [
+    "Le café de l’élève est près de la fenêtre, à côté du théâtre.", "Der Gegenstand „Körbchen“ steht über dem Tor und wirkt grün.",
+    "Сколько клеток пройдёт агент до цели? Ответ: 35. Предмет «ящик» находится у стены.", "图中楼梯底部放着一个绿色的长椅，旁边没有人。第34题的候选区域互相重叠。",
+    "A grid of 8 × 14 cells holds “boxes” – at 20 °C.", "La opción número 6 no coincidió con la región azul. ¡Atención!"
+]
+BAD = [
+    (CLEAN[0], "utf-8", "cp1252"), (CLEAN[1], "utf-8", "latin-1"), (CLEAN[1], "utf-8", "mac_roman"), (CLEAN[2], "utf-8", "latin-1"),
+    (CLEAN[2], "cp1251", "koi8-r"), (CLEAN[3], "gb18030", "latin-1"), (CLEAN[3], "utf-8", "latin-1"), (CLEAN[5], "cp1252", "cp1251"),
+    (CLEAN[4], "utf-8", "cp437")
+]
+FINE = [
+    "plain ascii", "zero​width ﬁne ｆｕｌｌ", "√2 ≈ 1.41, π; µ = 80 ± 2 ÷ 7", "┌──┐\n│@*│\n└──┘", "&eacute;tage \\u00e9cran \\xc3\\xa9", "cajón",
+    "🙂 👩‍🔬 ✅", "العربة 71 قرب النافذة", "SÃO 4 OPÇÕES; ÂNGULO", ""
+]
 
 
 def test_find_garbled(spark):
     clean = [t for t in CLEAN for _ in range(60)]
     docs = clean + FINE + [None]
     first_bad = len(docs)
-    docs += [t.encode(a).decode(b, "replace") if b != "cp1252" else "".join(bytes([x]).decode(b, "replace").replace("�", chr(x)) for x in t.encode(a)) for t, a, b in BAD]
+    docs += [
+        t.encode(a).decode(b, "replace") if b != "cp1252" else "".join(
+            bytes([x]).decode(b, "replace").replace("�", chr(x)) for x in t.encode(a)
+        ) for t,
+        a, b in BAD
+    ]
     lossy = len(docs)
     docs += ["Le caf� de l��l�ve est pr�s de la fen�tre."]
     df = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(docs)], "doc_id long, text string, restored string").repartition(3)
