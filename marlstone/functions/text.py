@@ -52,5 +52,7 @@ def plain_words(text: str) -> list[str]:
     text = text.lower()
     if not text.isascii():
         spread = unicodedata.normalize("NFKD", text)
-        text = unicodedata.normalize("NFC", "".join(c for c in spread if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")).translate(LOOKALIKE)
+        text = unicodedata.normalize(
+            "NFC", "".join(c for c in spread if not unicodedata.combining(c) and unicodedata.category(c) != "Cf")
+        ).translate(LOOKALIKE)
     return _WORD.findall(text)

@@ -62,7 +62,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     while n := left.count():
         if len(kept) == rounds:
             raise RuntimeError(f"no end after {rounds} rounds")
-        both = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(left.select(F.col("a").alias("node"), F.col("b").alias("to")))
+        both = left.select(F.col("b").alias("node"), F.col("a").alias("to")).unionByName(
+            left.select(F.col("a").alias("node"), F.col("b").alias("to"))
+        )
         hooked = cut(both.groupBy("node").agg(F.min("to").alias("to")).select("node", F.least("node", "to").alias("parent")), forget=True)
         size = hooked.count()
         # each pass halves the depth of the trees, until every parent is a root

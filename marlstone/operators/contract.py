@@ -8,8 +8,14 @@ from pyspark.sql import functions as F
 from marlstone.functions.text import spelled, spelled_group, stripped
 
 # Fields no question may lack, and those that schema version 2 adds.
-REQUIRED = ("schema_version", "sample_id", "group_id", "source", "source_version", "license", "split", "task_type", "state_text", "question", "options", "target_kind", "target", "label_origin", "language")
-REQUIRED_2 = ("root_id", "source_bucket", "image_metadata", "allowed_history", "input_track", "candidates", "origin_label_method", "generator_revision", "quality", "teacher_only")
+REQUIRED = (
+    "schema_version", "sample_id", "group_id", "source", "source_version", "license", "split", "task_type", "state_text", "question", "options",
+    "target_kind", "target", "label_origin", "language"
+)
+REQUIRED_2 = (
+    "root_id", "source_bucket", "image_metadata", "allowed_history", "input_track", "candidates", "origin_label_method", "generator_revision",
+    "quality", "teacher_only"
+)
 # The task types and splits there are.
 TASKS = ("choice", "noul", "score")
 SPLITS = ("train", "dev", "calibration", "test")
@@ -21,7 +27,9 @@ def row_checks() -> list[tuple[str, Column]]:
     Spelling of task and split is unified first; a field that is null is a field that is missing.
     """
     task, split = F.coalesce(spelled("task_type"), F.lit("")), F.coalesce(spelled("split"), F.lit(""))
-    options, targets = F.coalesce("options", F.array().cast("array<struct<id:string,text:string,box:array<double>>>")), F.coalesce("target.ids", F.array().cast("array<string>"))
+    options, targets = F.coalesce(
+        "options", F.array().cast("array<struct<id:string,text:string,box:array<double>>>")
+    ), F.coalesce("target.ids", F.array().cast("array<string>"))
     ids = F.transform(options, lambda o: o["id"])
     lacks = lambda names: F.greatest(*[F.col(n).isNull() for n in names])
     blank = lambda c: F.coalesce(c, F.lit("")) == ""
@@ -61,7 +69,9 @@ def table_violations(rows: DataFrame) -> DataFrame:
     torn = groups.groupBy("g").agg(F.min("s").alias("lo"), F.max("s").alias("hi")).where("lo != hi")
     none = rows.agg(F.count(F.lit(1)).alias("n")).where("n = 0")
     named = lambda df, name, at: df.select(F.lit(name).alias("violation"), at.alias("at"))
-    return named(ids, "sample_id repeats", F.col("sample_id")).unionByName(named(torn, "group in several splits", F.col("g"))).unionByName(named(none, "no rows", F.lit(None).cast("string")))
+    return named(ids, "sample_id repeats", F.col("sample_id")).unionByName(
+        named(torn, "group in several splits", F.col("g"))
+    ).unionByName(named(none, "no rows", F.lit(None).cast("string")))
 
 
 # The only fields that a model may see when it answers.

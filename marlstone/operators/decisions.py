@@ -53,7 +53,9 @@ def allocated(rows: DataFrame, key: str, labels: dict[str, int], seed: str) -> D
     """
     spark, total = rows.sparkSession, sum(labels.values())
     flat = [name for name, n in labels.items() for _ in range(n)]
-    names = spark.createDataFrame(list(enumerate(flat)), "i int, label string").withColumn("h", rank(seed + ":labels", F.concat_ws(":", F.col("i").cast("string"), "label")))
+    names = spark.createDataFrame(list(enumerate(flat)), "i int, label string").withColumn(
+        "h", rank(seed + ":labels", F.concat_ws(":", F.col("i").cast("string"), "label"))
+    )
     names = names.select("label", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("h")).alias("place"))
     ranked = rows.withColumn("_all", F.lit(0)).withColumn("rank", rank(seed, key))
     quota = spark.createDataFrame([(0, total)], "_all int, take int")
@@ -61,7 +63,9 @@ def allocated(rows: DataFrame, key: str, labels: dict[str, int], seed: str) -> D
     return head.join(F.broadcast(names), "place").drop("_all", "rank")
 
 
-def first_accepted(jobs: DataFrame, quotas: DataFrame, by: str = "environment", order: str = "job", picture: str = "picture", failed: str = "failed") -> DataFrame:
+def first_accepted(
+    jobs: DataFrame, quotas: DataFrame, by: str = "environment", order: str = "job", picture: str = "picture", failed: str = "failed"
+) -> DataFrame:
     """The first accepted jobs of each environment, as many as its quota, with ``place``.
 
     A job with a reason in ``failed`` isn't accepted, nor is one whose picture an earlier job has: a picture belongs to
@@ -77,7 +81,9 @@ def first_accepted(jobs: DataFrame, quotas: DataFrame, by: str = "environment",
 def rejections(jobs: DataFrame, order: str = "job", picture: str = "picture", failed: str = "failed") -> DataFrame:
     """(reason, n): why jobs were not accepted, repeated pictures included."""
     bad = jobs.where(F.col(failed).isNotNull()).groupBy(F.col(failed).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    again = jobs.where(F.col(failed).isNull()).groupBy(F.sha2(picture, 256).alias("d")).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.sum("n").alias("n")).where("n > 0")
+    again = jobs.where(F.col(failed).isNull()).groupBy(F.sha2(picture, 256).alias("d")).agg(
+        (F.count(F.lit(1)) - 1).alias("n")
+    ).agg(F.sum("n").alias("n")).where("n > 0")
     return bad.unionByName(again.select(F.lit("picture seen before").alias("reason"), "n"))
 
 
@@ -107,9 +113,13 @@ def decision_tasks(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     r = r.withColumn("_all_forced", F.count_if("_forced").over(W.partitionBy("stage", "role")))
     free = F.sum(F.when(F.col("_forced"), 0).otherwise(1)).over(hashed.rowsBetween(W.unboundedPreceding, W.currentRow))
     too_many = F.raise_error(F.concat_ws(" ", F.lit("more choices than the quota of"), "stage", "role")).cast("boolean")
-    is_choice = F.when(F.col("_all_forced") > F.col("choice"), too_many).otherwise(F.col("_forced") | (free <= F.col("choice") - F.col("_all_forced")))
+    is_choice = F.when(F.col("_all_forced") > F.col("choice"), too_many).otherwise(
+        F.col("_forced") | (free <= F.col("choice") - F.col("_all_forced"))
+    )
     r = r.withColumn("_choice", is_choice)
-    pick = F.when(F.col("_place") % 2 == 0, F.get("optimal", F.col("_place") % F.size("optimal"))).otherwise(F.get("_wrong", F.col("_place") % F.greatest(F.size("_wrong"), F.lit(1))))
+    pick = F.when(
+        F.col("_place") % 2 == 0, F.get("optimal", F.col("_place") % F.size("optimal"))
+    ).otherwise(F.get("_wrong", F.col("_place") % F.greatest(F.size("_wrong"), F.lit(1))))
     r = r.withColumn("task_type", F.when(F.col("_choice"), "choice").otherwise("noul")).withColumn("candidate", F.when(~F.col("_choice"), pick))
     r = r.withColumn("targets", F.when(F.col("_choice"), F.col("optimal"))).withColumn("answer", F.array_contains("optimal", F.col("candidate")))
     return r.drop("_wrong", "_forced", "_place", "_all_forced", "_choice", "choice")

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 STEPS = {"up": (0, -1), "down": (0, 1), "left": (-1, 0), "right": (1, 0)}
 
 
-def shortest(width: int, height: int, walls: set[tuple[int, int]], start: tuple[int, int], goals: set[tuple[int, int]]) -> tuple[int | None, list[str]]:
+def shortest(
+    width: int, height: int, walls: set[tuple[int, int]], start: tuple[int, int], goals: set[tuple[int, int]]
+) -> tuple[int | None, list[str]]:
     """Least number of moves to a goal and every first move that some shortest way begins with; (None, []) if none."""
     if start in goals:
         return 0, []
@@ -87,7 +89,9 @@ def pull_distances(width: int, height: int, walls: set, goals: set) -> dict[tupl
     return far
 
 
-def least_moves(player: tuple[int, int], boxes: frozenset, goals: frozenset, step: Callable, far: dict, limit: int, most: int | None = None) -> tuple[int | None, int]:
+def least_moves(
+    player: tuple[int, int], boxes: frozenset, goals: frozenset, step: Callable, far: dict, limit: int, most: int | None = None
+) -> tuple[int | None, int]:
     """(moves, states looked at) of a cheapest solution, of at most ``most`` moves; None if it is proved that none exists.
 
     A* over (player, boxes), one move a step. The estimate sums each box's pushes to its nearest goal, so it never
@@ -214,7 +218,9 @@ def turned(way: int, move: str) -> int:
     return (way + (1 if move == "right" else 3)) % 4
 
 
-def navigate(width: int, height: int, passable: set, goals: set, doors: dict, start: tuple[int, int], facing: int, opened: int = 0, limit: int = 200_000) -> tuple[int | None, list[str]]:
+def navigate(
+    width: int, height: int, passable: set, goals: set, doors: dict, start: tuple[int, int], facing: int, opened: int = 0, limit: int = 200_000
+) -> tuple[int | None, list[str]]:
     """Least number of moves of an agent that turns, walks and opens doors, and every move that a shortest way begins with.
 
     A state is the cell, the direction faced and a bit mask of open doors. ``doors`` gives each door's bit by its
@@ -239,7 +245,10 @@ def navigate(width: int, height: int, passable: set, goals: set, doors: dict, st
 Thing = tuple[str, str, str]
 
 
-def use_tools(walls: set, goals: set, things: dict[tuple[int, int], Thing], start: tuple[int, int], facing: int, mission: str, held: tuple[str, str] | None = None, limit: int = 200_000) -> tuple[int | None, list[str]]:
+def use_tools(
+    walls: set, goals: set, things: dict[tuple[int, int], Thing], start: tuple[int, int], facing: int, mission: str,
+    held: tuple[str, str] | None = None, limit: int = 200_000
+) -> tuple[int | None, list[str]]:
     """``navigate`` in a world of things: also take and put them, and unlock doors with the key of their colour.
 
     things: (kind, colour, status) by cell: doors, which are open, closed or locked, and keys, boxes and balls. Of these
@@ -286,7 +295,10 @@ def tiles(levels: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     widths = F.transform(rows, F.length)
     of = lambda chars: F.length("level") - F.length(F.translate("level", chars, ""))
     width = F.when(F.array_min(widths) == F.array_max(widths), F.array_min(widths))
-    return levels.select(*keys, width.alias("width"), F.size(rows).alias("height"), of("#").alias("walls"), of("@+").alias("players"), of("$*").alias("boxes"), of(".*+").alias("goals"))
+    return levels.select(
+        *keys, width.alias("width"), F.size(rows).alias("height"), of("#").alias("walls"), of("@+").alias("players"), of("$*").alias("boxes"),
+        of(".*+").alias("goals")
+    )
 
 
 def flow(supply: dict[str, int], demand: dict[str, int], room: dict[tuple[str, str], int]) -> dict[tuple[str, str], int]:

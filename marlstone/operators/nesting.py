@@ -10,7 +10,9 @@ from marlstone.operators.ranking import first_by_rank
 from marlstone.plans.lineage import cut
 
 # Colour words that make an answer a colour.
-COLOURS = ("black", "blue", "brown", "cyan", "gold", "gray", "green", "grey", "orange", "pink", "purple", "red", "silver", "tan", "teal", "white", "yellow")
+COLOURS = (
+    "black", "blue", "brown", "cyan", "gold", "gray", "green", "grey", "orange", "pink", "purple", "red", "silver", "tan", "teal", "white", "yellow"
+)
 
 # Patterns of answers that are numbers and times; the whole answer has to match.
 NUMBER = r"[$€£]?[-+]?\d[\d,.]*(?::\d+|%|\s*(?:percent|percentage))?"
@@ -53,7 +55,9 @@ def normalized(answer: Column | str) -> Column:
 def answer_kind(answer: Column) -> Column:
     """color, number, time, phrase or word; the first that fits. answer: normalized."""
     whole = lambda p: answer.rlike(rf"(?U)\A(?:{p})\z")
-    return F.when(answer.isin(*COLOURS), "color").when(whole(NUMBER), "number").when(whole(TIME), "time").when(F.instr(answer, " ") > 0, "phrase").otherwise("word")
+    return F.when(answer.isin(*COLOURS), "color").when(whole(NUMBER), "number").when(whole(TIME), "time").when(
+        F.instr(answer, " ") > 0, "phrase"
+    ).otherwise("word")
 
 
 def question_family(question: Column) -> Column:
@@ -93,7 +97,9 @@ def pools(answers: DataFrame, by: list[str], cap: int = 512) -> DataFrame:
     return heads.groupBy(*by).agg(F.array_sort(F.collect_list("answer")).alias("pool"))
 
 
-def negatives(answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512, most: int = 4096, members: DataFrame | None = None, fallback: bool = True) -> DataFrame:
+def negatives(
+    answers: DataFrame, by: list[str], wanted: int = 3, cap: int = 512, most: int = 4096, members: DataFrame | None = None, fallback: bool = True
+) -> DataFrame:
     """(sample_id, answer, negatives): other answers of the same pool, hash-ranked for each sample.
 
     answers: sample_id, answer and the columns ``by`` of its pool. A sample whose pool has fewer than ``wanted`` other
@@ -154,12 +160,17 @@ def visible_target(options: Column, target: Column, width: Column, height: Colum
     inside = lambda lo, hi, size: F.greatest(F.lit(0.0), F.least(hi, size) - F.greatest(lo, F.lit(0.0)))
     within = inside(box[0], box[2], width) * inside(box[1], box[3], height)
     fits = (area > 0) & (width > 0) & (height > 0) & (area <= width * height * 0.9)
-    return F.when(F.size(F.filter(options, lambda o: o["id"] == target)) == 0, True).when(box.isNull(), True).otherwise(F.coalesce(fits & (within / area >= 0.5), F.lit(False)))
+    return F.when(
+        F.size(F.filter(options, lambda o: o["id"] == target)) == 0, True
+    ).when(box.isNull(), True).otherwise(F.coalesce(fits & (within / area >= 0.5), F.lit(False)))
 
 
 def at_point(options: Column, x: float, y: float) -> Column:
     """Ids of the usable options whose closed box holds the point."""
-    return F.transform(F.filter(usable(options), lambda o: F.lit(x).between(o["box"][0], o["box"][2]) & F.lit(y).between(o["box"][1], o["box"][3])), lambda o: o["id"])
+    return F.transform(
+        F.filter(usable(options), lambda o: F.lit(x).between(o["box"][0], o["box"][2]) & F.lit(y).between(o["box"][1], o["box"][3])),
+        lambda o: o["id"]
+    )
 
 
 def thousandths(box: Column) -> Column:

@@ -26,7 +26,9 @@ def quoted(text: Column) -> Column:
 
 def box_1000(box: Column, width: Column, height: Column) -> Column:
     """A box in whole thousandths of the picture, rounded half to even, inside 0..1000; one of fractions has size 1 x 1."""
-    return F.transform(box, lambda v, i: F.greatest(F.lit(0), F.least(F.lit(1000), F.bround(v / F.when(i % 2 == 0, width).otherwise(height) * 1000).cast("int"))))
+    return F.transform(
+        box, lambda v, i: F.greatest(F.lit(0), F.least(F.lit(1000), F.bround(v / F.when(i % 2 == 0, width).otherwise(height) * 1000).cast("int")))
+    )
 
 
 def option_lines(options: Column, width: Column, height: Column) -> Column:
@@ -47,7 +49,9 @@ def prompt(task: Column, state: Column, history: Column, question: Column, optio
     trimmed = F.regexp_replace(F.coalesce(state, blank), r"(?U)^\s+|\s+$", "")
     steps = F.array_join(F.transform(history, lambda h, i: F.concat((i + 1).cast("string"), F.lit(". "), quoted(h))), "\n")
     some = F.coalesce(F.size(options) > 0, F.lit(False))
-    asked = F.when(task == "noul", 'Return exactly {"noul":true} or {"noul":false}.').when(task == "score", F.lit(JUDGE + '\n\nReturn exactly {"score":<integer from 1 to 5>}.'))
+    asked = F.when(task == "noul", 'Return exactly {"noul":true} or {"noul":false}.').when(
+        task == "score", F.lit(JUDGE + '\n\nReturn exactly {"score":<integer from 1 to 5>}.')
+    )
     return F.concat_ws(
         "\n\n",
         F.concat(F.lit("Task: "), task),
@@ -64,7 +68,9 @@ def answer_json(task: Column, target: Column) -> Column:
     """The right answer as compact JSON: a boolean, the level of a score, or the first target id; null if unknown."""
     first = F.get(target["ids"], F.lit(0))
     level = F.regexp_extract(first, r"([^_]*)$", 1).try_cast("int")
-    value = F.when(task == "noul", target["bool"].cast("string")).when(task == "score", level.cast("string")).otherwise(F.when(first.isNotNull(), quoted(first)))
+    value = F.when(
+        task == "noul", target["bool"].cast("string")
+    ).when(task == "score", level.cast("string")).otherwise(F.when(first.isNotNull(), quoted(first)))
     return F.concat(F.lit('{"'), task, F.lit('":'), value, F.lit("}"))
 
 

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.functions.text import spelled, spelled_group, spelled_source, stripped
 
-FIELDS = ("ingest_batch", "ingested_at", "source", "task_type", "split", "group_id", "root_id", "language", "teacher_only", "blocked", "image", "question")
+FIELDS = (
+    "ingest_batch", "ingested_at", "source", "task_type", "split", "group_id", "root_id", "language", "teacher_only", "blocked", "image", "question"
+)
 
 
 def questions(example: DataFrame) -> DataFrame:
@@ -36,5 +38,10 @@ def questions(example: DataFrame) -> DataFrame:
 
 def predictions(prediction: DataFrame) -> DataFrame:
     """Distinct predictions with a target that indexes their logits and a known task."""
-    p = prediction.select("prediction_id", "model_id", "sample_id", spelled_source("source").alias("source"), spelled("task_type").alias("task_type"), "logits", "target", "confidence", "correct", "latency_ms").distinct()
-    return p.where("task_type is not null and logits is not null and target >= 0 and target < size(logits) and not exists(logits, x -> x is null or isnan(x))")
+    p = prediction.select(
+        "prediction_id", "model_id", "sample_id", spelled_source("source").alias("source"), spelled("task_type").alias("task_type"), "logits",
+        "target", "confidence", "correct", "latency_ms"
+    ).distinct()
+    return p.where(
+        "task_type is not null and logits is not null and target >= 0 and target < size(logits) and not exists(logits, x -> x is null or isnan(x))"
+    )

@@ -21,7 +21,10 @@ def bucket_counts(rows: DataFrame, by: list[str], rank: str = "rank", digits: in
     return n.withColumn("before", F.sum("n").over(w) - F.col("n"))
 
 
-def first_by_rank(rows: DataFrame, by: list[str], quota: DataFrame, counts: DataFrame | None = None, rank: str = "rank", tie: str | None = None, digits: int = DIGITS) -> DataFrame:
+def first_by_rank(
+    rows: DataFrame, by: list[str], quota: DataFrame, counts: DataFrame | None = None, rank: str = "rank", tie: str | None = None,
+    digits: int = DIGITS
+) -> DataFrame:
     """The ``quota`` rows of least rank in each group.
 
     rows: has ``by`` and the hex digest ``rank``. quota: ``by`` and ``take``, one row a group, of configuration size
@@ -36,5 +39,7 @@ def first_by_rank(rows: DataFrame, by: list[str], quota: DataFrame, counts: Data
     whole = near.where(F.col("_b") < F.col("_last"))
     order: list[Column | str] = [rank] + ([tie] if tie else [])
     edge = near.where(F.col("_b") == F.col("_last"))
-    edge = edge.withColumn("_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("_before") + F.col("_n") <= F.col("take")).drop("_n")
+    edge = edge.withColumn(
+        "_n", F.row_number().over(W.partitionBy(*by).orderBy(*order))
+    ).where(F.col("_before") + F.col("_n") <= F.col("take")).drop("_n")
     return whole.unionByName(edge).drop("_b", "_last", "_before", "take")

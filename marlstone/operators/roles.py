@@ -28,10 +28,18 @@ def plan_roles(plans: DataFrame) -> DataFrame:
 
     turn: evaluation roles as the plan lists them, training last. cap: most questions of one source in training.
     """
-    r = plans.where(F.col("plan_id").isNotNull()).select("plan_id", "seed", F.col("selection.maximum_train_share_per_source").alias("share"), F.posexplode(F.map_entries("roles")).alias("pos", "e"))
-    r = r.select("plan_id", "seed", "share", F.when(F.col("e.key") == "train", 1 << 20).otherwise(F.col("pos")).alias("turn"), F.col("e.key").alias("role"), F.col("e.value").alias("v"))
+    r = plans.where(F.col("plan_id").isNotNull()).select(
+        "plan_id", "seed", F.col("selection.maximum_train_share_per_source").alias("share"), F.posexplode(F.map_entries("roles")).alias("pos", "e")
+    )
+    r = r.select(
+        "plan_id", "seed", "share", F.when(F.col("e.key") == "train", 1 << 20).otherwise(F.col("pos")).alias("turn"), F.col("e.key").alias("role"),
+        F.col("e.value").alias("v")
+    )
     tasks = F.array(*[F.struct(F.lit(t).alias("task_type"), F.coalesce(F.col(f"v.{t}"), F.lit(0)).cast("long").alias("wanted")) for t in ORDER])
-    r = r.select("plan_id", "seed", "turn", "role", F.col("v.schema_split").alias("schema_split"), F.when(F.col("role") == "train", F.ceil(F.col("v.questions") * F.col("share"))).alias("cap"), F.explode(tasks).alias("t")).select("*", "t.*").drop("t")
+    r = r.select(
+        "plan_id", "seed", "turn", "role", F.col("v.schema_split").alias("schema_split"),
+        F.when(F.col("role") == "train", F.ceil(F.col("v.questions") * F.col("share"))).alias("cap"), F.explode(tasks).alias("t")
+    ).select("*", "t.*").drop("t")
     sums = r.where("role != 'train'").groupBy("plan_id", "task_type").agg(F.sum("wanted").alias("all"))
     r = r.join(F.broadcast(sums), ["plan_id", "task_type"], "left")
     return r.withColumn("limit", F.greatest(F.lit(1), F.when(F.col("role") == "train", F.col("wanted")).otherwise(F.col("all")))).drop("all")
@@ -45,9 +53,13 @@ def candidates(pool: DataFrame, steps: DataFrame, quotas: DataFrame) -> DataFram
     by = ["plan_id", "role", "task_type", "source"]
     wide = pool.join(F.broadcast(steps.select("plan_id", "seed", "role", "task_type", "limit")), "task_type")
     wide = wide.withColumn("rank", rank(F.concat_ws(":", "seed", "role", "task_type", "source"), "sample_id"))
-    quota = quotas.select("plan_id", "role", "task_type", F.col("limit").alias("take")).join(pool.select("source", "task_type").distinct(), "task_type")
+    quota = quotas.select(
+        "plan_id", "role", "task_type", F.col("limit").alias("take")
+    ).join(pool.select("source", "task_type").distinct(), "task_type")
     cut = first_by_rank(wide.select(*by, "sample_id", "root_id", "group_id", "rank"), by, quota, tie="sample_id")
-    return cut.withColumn("place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type")), "sample_id")).withColumn("source_place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type"), F.lit(":sources")), "source"))
+    return cut.withColumn("place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type")), "sample_id")).withColumn(
+        "source_place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type"), F.lit(":sources")), "source")
+    )
 
 
 def deal(key: tuple, found: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
@@ -115,7 +127,10 @@ def role_leakage(manifest: DataFrame, trained: DataFrame) -> DataFrame:
     test, train = rows.where("role != 'train'"), rows.where("role = 'train'")
     shared = lambda a, key, how: a.where(F.col(key) != "").select(key).distinct().join(trained.select(key).distinct(), key, how)
     roles = rows.groupBy("plan_id", "group_id").agg(F.min("role").alias("lo"), F.max("role").alias("hi")).where("lo != hi")
-    checks = {"evaluation roots trained on": shared(test, "root_id", "left_semi"), "evaluation groups trained on": shared(test, "group_id", "left_semi"), "training roots not trained on": shared(train, "root_id", "left_anti"), "groups in several roles": roles}
+    checks = {
+        "evaluation roots trained on": shared(test, "root_id", "left_semi"), "evaluation groups trained on": shared(test, "group_id", "left_semi"),
+        "training roots not trained on": shared(train, "root_id", "left_anti"), "groups in several roles": roles
+    }
     parts = [df.agg(F.count(F.lit(1)).alias("cases")).select(F.lit(name).alias("check"), "cases") for name, df in checks.items()]
     out = parts[0]
     for p in parts[1:]:

@@ -32,15 +32,25 @@ def shortage(questions: DataFrame, quotas: DataFrame) -> DataFrame:
     """(mixture_id, source, quota, available, short): quotas without any supply count as short too."""
     have = questions.where(exclusion().isNull()).groupBy("source").agg(F.count(F.lit(1)).alias("available"))
     out = quotas.join(have, "source", "left").na.fill(0, ["available"])
-    return out.select("mixture_id", "source", F.col("take").alias("quota"), "available", F.greatest(F.col("take") - F.col("available"), F.lit(0)).alias("short"))
+    return out.select(
+        "mixture_id", "source", F.col("take").alias("quota"), "available", F.greatest(F.col("take") - F.col("available"), F.lit(0)).alias("short")
+    )
 
 
 def evaluation_groups(questions: DataFrame, seed: str, percent: int) -> DataFrame:
     """(group_id, role): every group in train or eval by hash; neither role stays empty if there are two groups."""
     groups = questions.where("group_id != ''").select("group_id").distinct().withColumn("h", rank(seed + ":eval", "group_id"))
-    ends = groups.agg(F.min("h").alias("lo"), F.max(rank(seed + ":train", "group_id")).alias("hi"), F.count_if(prefix_mod(F.col("h"), 100) < percent).alias("n"), F.count(F.lit(1)).alias("all"))
+    ends = groups.agg(
+        F.min("h").alias("lo"), F.max(rank(seed + ":train", "group_id")).alias("hi"), F.count_if(prefix_mod(F.col("h"), 100) < percent).alias("n"),
+        F.count(F.lit(1)).alias("all")
+    )
     marked = groups.join(F.broadcast(ends)).withColumn("eval", prefix_mod(F.col("h"), 100) < percent)
-    marked = marked.withColumn("eval", F.when(F.col("n") == 0, F.col("h") == F.col("lo")).when(F.col("n") == F.col("all"), rank(seed + ":train", "group_id") != F.col("hi")).otherwise(F.col("eval")))
+    marked = marked.withColumn(
+        "eval",
+        F.when(F.col("n") == 0, F.col("h") == F.col("lo")).when(
+            F.col("n") == F.col("all"), rank(seed + ":train", "group_id") != F.col("hi")
+        ).otherwise(F.col("eval"))
+    )
     return marked.select("group_id", F.when(F.col("eval"), "eval").otherwise("train").alias("role"))
 
 
@@ -88,11 +98,19 @@ def leakage(questions: DataFrame) -> DataFrame:
 def permutations(options: Column, key: Column, seed: str, most: int = 3, attempts: int = 32) -> Column:
     """Up to ``most`` different orders of option ids, none the given one, from hash-ranked attempts."""
     def order(attempt: Column) -> Column:
-        ranked = F.transform(options, lambda o: F.struct(F.sha2(F.concat(F.lit(seed + ":"), key, F.lit(":"), attempt.cast("string"), F.lit("\u0000"), o), 256).alias("h"), o.alias("o")))
+        ranked = F.transform(
+            options,
+            lambda o: F.struct(
+                F.sha2(F.concat(F.lit(seed + ":"), key, F.lit(":"), attempt.cast("string"), F.lit("\u0000"), o), 256).alias("h"), o.alias("o")
+            )
+        )
         return F.transform(F.array_sort(ranked), lambda x: x["o"])
 
     # the given order stands first; no more orders are tried once there are enough, or as many as there can be
     enough = F.when(F.size(options) < 2, 1).when(F.size(options) == 2, 2).otherwise(most + 1)
     given = F.array(options)
-    tried = F.aggregate(F.sequence(F.lit(0), F.lit(attempts - 1)), given, lambda got, t: F.when(F.size(got) >= enough, got).otherwise(F.array_union(got, F.array(order(t)))))
+    tried = F.aggregate(
+        F.sequence(F.lit(0), F.lit(attempts - 1)), given,
+        lambda got, t: F.when(F.size(got) >= enough, got).otherwise(F.array_union(got, F.array(order(t))))
+    )
     return F.slice(tried, 2, most)

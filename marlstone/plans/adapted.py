@@ -17,12 +17,17 @@ from marlstone.sources.tables import table
 
 def _shown(rows: DataFrame) -> DataFrame:
     options = F.array_join(F.transform("options", lambda o: F.concat_ws("=", o["id"], o["text"])), "|")
-    return rows.select("sample_id", "group_id", "split", "task_type", options.alias("options"), F.coalesce(F.get("target.ids", F.lit(0)), F.col("target.bool").cast("string")).alias("target"))
+    return rows.select(
+        "sample_id", "group_id", "split", "task_type", options.alias("options"),
+        F.coalesce(F.get("target.ids", F.lit(0)), F.col("target.bool").cast("string")).alias("target")
+    )
 
 
 def adapted_koniq10k(s: SparkSession, d: str) -> DataFrame:
     rows = adapters.koniq10k(table(s, d, "image_rating"))
-    return _shown(rows).drop("options").join(rows.select("sample_id", F.get_json_object("quality", "$.upstream_mode").cast("int").alias("mode")), "sample_id")
+    return _shown(rows).drop("options").join(
+        rows.select("sample_id", F.get_json_object("quality", "$.upstream_mode").cast("int").alias("mode")), "sample_id"
+    )
 
 
 def adapted_gui_odyssey(s: SparkSession, d: str) -> DataFrame:
@@ -33,21 +38,29 @@ def adapted_gqa(s: SparkSession, d: str) -> DataFrame:
     """The questions of gqa, as if their right option were the raw answer; repeated deliveries are merged."""
     e = table(s, d, "example").where(F.col("sample_id").isNotNull() & (spelled_source("source") == "gqa") & (F.size("options") > 0))
     answer = F.get(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), F.lit(0))["text"]
-    raw = e.select(F.col("sample_id").alias("key"), F.coalesce("question", F.lit("")).alias("question"), answer.alias("answer"), F.lit("im").alias("imageId"), F.coalesce(spelled("split"), F.lit("")).alias("split")).where("answer is not null")
+    raw = e.select(
+        F.col("sample_id").alias("key"), F.coalesce("question", F.lit("")).alias("question"), answer.alias("answer"), F.lit("im").alias("imageId"),
+        F.coalesce(spelled("split"), F.lit("")).alias("split")
+    ).where("answer is not null")
     one = adapters.one_of_each(raw.select("key", "split", "question", "answer", "imageId"), "key")
     return _shown(adapters.gqa(one))
 
 
 def adapted_nlvr(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "example").where(F.col("sample_id").isNotNull() & (spelled_source("source") == "nlvr") & F.col("target.bool").isNotNull())
-    raw = e.select(F.col("sample_id").alias("identifier"), F.lit("0").alias("directory"), F.col("question").alias("sentence"), F.col("target.bool").cast("string").alias("label"), F.coalesce(spelled("split"), F.lit("")).alias("split")).distinct()
+    raw = e.select(
+        F.col("sample_id").alias("identifier"), F.lit("0").alias("directory"), F.col("question").alias("sentence"),
+        F.col("target.bool").cast("string").alias("label"), F.coalesce(spelled("split"), F.lit("")).alias("split")
+    ).distinct()
     return _shown(adapters.nlvr(raw))
 
 
 def training_rows(s: SparkSession, d: str) -> DataFrame:
     """The first 2,000 training questions of three sources in hashed order, score questions twice and noul ones three times."""
     q = questions(table(s, d, "example")).withColumn("role", F.col("split")).select("sample_id", "role", "source", "task_type")
-    return catalog.training_rows(q, SEED, "train", ["gqa", "koniq10k", "vqav2"], 2000, {"score": 2, "noul": 3}).select("sample_id", "task_type", "rank", "copy")
+    return catalog.training_rows(
+        q, SEED, "train", ["gqa", "koniq10k", "vqav2"], 2000, {"score": 2, "noul": 3}
+    ).select("sample_id", "task_type", "rank", "copy")
 
 
 def allocated_roles(s: SparkSession, d: str) -> DataFrame:
@@ -60,7 +73,10 @@ def decision_tasks(s: SparkSession, d: str) -> DataFrame:
     """Choice questions with several options as decisions: the options are the actions, the targets the best ones."""
     e = table(s, d, "example").where(F.col("sample_id").isNotNull() & (F.size("options") > 0) & (F.size("target.ids") > 0))
     names = lambda c: F.transform(c, lambda o: o["id"])
-    rows = e.select("sample_id", F.coalesce(spelled_source("source"), F.lit("")).alias("stage"), F.coalesce(spelled("split"), F.lit("")).alias("role"), names("options").alias("actions"), F.col("target.ids").alias("optimal"))
+    rows = e.select(
+        "sample_id", F.coalesce(spelled_source("source"), F.lit("")).alias("stage"), F.coalesce(spelled("split"), F.lit("")).alias("role"),
+        names("options").alias("actions"), F.col("target.ids").alias("optimal")
+    )
     rows = adapters.one_of_each(rows, "sample_id")
     quotas = rows.select("stage", "role").distinct().withColumn("choice", F.lit(20))
     out = decisions.decision_tasks(rows, cut(quotas))
@@ -71,7 +87,10 @@ QUERIES = {f.__name__: f for f in (training_rows, allocated_roles, decision_task
 
 _t = TRIM.format
 _SRC = f"translate(lower({_t('source')}), ' -', '__')"
-_GQA = _ANS.replace("from example where sample_id is not null", f"from (select * replace (coalesce(question, '') as question) from example) where {_SRC} = 'gqa' and sample_id is not null").replace(f"struct_pack(split := coalesce(lower({_t('split')}), ''), family :=", f"struct_pack(split := case when lower({_t('split')}) = 'train' then 'train' else 'dev' end, family :=")
+_GQA = _ANS.replace("from example where sample_id is not null", f"from (select * replace (coalesce(question, '') as question) from example) where {_SRC} = 'gqa' and sample_id is not null").replace(
+    f"struct_pack(split := coalesce(lower({_t('split')}), ''), family :=",
+    f"struct_pack(split := case when lower({_t('split')}) = 'train' then 'train' else 'dev' end, family :="
+)
 _PICK = "list_transform(list_sort(list_transform(o, lambda v: struct_pack(h := sha256(sample_id || chr(0) || v), v := v)))[1:3], lambda s: s.v)"
 _SORT = "list_transform(list_sort(list_transform(list_prepend(answer, wrong), lambda v: struct_pack(h := sha256(sample_id || ':' || v), v := v))), lambda s: s.v)"
 

@@ -18,7 +18,9 @@ def answers(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "example").where("sample_id is not null and size(options) > 0 and get(target.ids, 0) is not null")
     chosen = F.get(F.filter("options", lambda o: o["id"] == F.get("target.ids", F.lit(0))), F.lit(0))["text"]
     family = nest.question_family(F.coalesce("question", F.lit("")))
-    a = e.select("sample_id", F.coalesce(spelled("split"), F.lit("")).alias("split"), family.alias("family"), nest.normalized(chosen).alias("answer")).where("answer is not null")
+    a = e.select(
+        "sample_id", F.coalesce(spelled("split"), F.lit("")).alias("split"), family.alias("family"), nest.normalized(chosen).alias("answer")
+    ).where("answer is not null")
     a = a.groupBy("sample_id").agg(F.min(F.struct("split", "family", "answer")).alias("a")).select("sample_id", "a.*")
     return a.withColumn("kind", nest.answer_kind(F.col("answer")))
 
@@ -42,13 +44,17 @@ def model_input(s: SparkSession, d: str) -> DataFrame:
     one = F.lit(1.0)
     text = prompts.prompt(F.col("task"), F.col("state_text"), F.col("allowed_history"), F.col("question"), F.col("options"), one, one)
     boxed = F.coalesce(F.exists("options", lambda o: o["box"].isNotNull()), F.lit(False))
-    e = _asked(s, d).select("sample_id", text.alias("prompt"), F.when((F.col("task") == "score") | boxed, 576).otherwise(256).alias("budget")).distinct()
+    e = _asked(s, d).select(
+        "sample_id", text.alias("prompt"), F.when((F.col("task") == "score") | boxed, 576).otherwise(256).alias("budget")
+    ).distinct()
     return e.select("sample_id", F.sha2("prompt", 256).alias("prompt_digest"), F.length("prompt").alias("characters"), "budget")
 
 
 def answer_json(s: SparkSession, d: str) -> DataFrame:
     """(sample_id, answer, right): the answer to give, and whether it is judged right when read back."""
-    e = _asked(s, d).select("sample_id", "task", "target", "options", prompts.answer_json(F.col("task"), F.col("target")).alias("answer")).where("answer is not null")
+    e = _asked(s, d).select(
+        "sample_id", "task", "target", "options", prompts.answer_json(F.col("task"), F.col("target")).alias("answer")
+    ).where("answer is not null")
     value = prompts.generated(F.col("task"), F.col("answer"), F.col("options"))
     # a score's ids name levels; their number is what is answered
     levels = F.transform("target.ids", lambda i: F.concat(F.lit("score_"), F.regexp_extract(i, "([^_]*)$", 1)))

@@ -65,7 +65,9 @@ def pilot_quotas(s: SparkSession, d: str) -> DataFrame:
 def pilot_manifest(s: SparkSession, d: str) -> DataFrame:
     from marlstone.operators.ranking import first_by_rank
 
-    ranked = _q(s, d).where("source != '' and task_type != ''").select("source", "task_type", "sample_id", rank(SEED + ":select", "sample_id").alias("rank"))
+    ranked = _q(s, d).where("source != '' and task_type != ''").select(
+        "source", "task_type", "sample_id", rank(SEED + ":select", "sample_id").alias("rank")
+    )
     quota = pilot_quotas(s, d).select("source", "task_type", F.col("quota").alias("take"))
     return first_by_rank(ranked, ["source", "task_type"], quota, tie="sample_id").select("source", "task_type", "sample_id")
 
@@ -80,7 +82,9 @@ def group_leakage(s: SparkSession, d: str) -> DataFrame:
 
 
 def distinct_counts(s: SparkSession, d: str) -> DataFrame:
-    return _q(s, d).groupBy("source").agg(F.count_distinct("group_id").alias("groups"), F.count_distinct("image").alias("images"), F.count_distinct("image", "question").alias("views"))
+    return _q(s, d).groupBy("source").agg(
+        F.count_distinct("group_id").alias("groups"), F.count_distinct("image").alias("images"), F.count_distinct("image", "question").alias("views")
+    )
 
 
 def unused_candidates(s: SparkSession, d: str) -> DataFrame:
@@ -105,23 +109,42 @@ def first_split_wins(s: SparkSession, d: str) -> DataFrame:
 
 
 def option_order(s: SparkSession, d: str) -> DataFrame:
-    e = table(s, d, "example").where("sample_id is not null and size(options) > 1").select("sample_id", F.transform("options", lambda o: o["id"]).alias("ids")).distinct()
-    return e.select("sample_id", F.array_join("ids", ",").alias("given"), F.array_join(nest.hashed_order(F.col("ids"), F.col("sample_id")), ",").alias("ordered"))
+    e = table(s, d, "example").where("sample_id is not null and size(options) > 1").select(
+        "sample_id", F.transform("options", lambda o: o["id"]).alias("ids")
+    ).distinct()
+    return e.select(
+        "sample_id", F.array_join("ids", ",").alias("given"), F.array_join(nest.hashed_order(F.col("ids"), F.col("sample_id")), ",").alias("ordered")
+    )
 
 
 def permutation_views(s: SparkSession, d: str) -> DataFrame:
     """The canonical view of every training question, and up to three other orders of its options, however many there are."""
     e = table(s, d, "example").where((F.col("sample_id").isNotNull()) & (spelled("split") == "train"))
-    e = e.select("sample_id", F.transform(F.coalesce("options", F.array().cast("array<struct<id:string,text:string,box:array<double>>>")), lambda o: o["id"]).alias("ids")).distinct()
+    e = e.select(
+        "sample_id",
+        F.transform(F.coalesce("options", F.array().cast("array<struct<id:string,text:string,box:array<double>>>")), lambda o: o["id"]).alias("ids")
+    ).distinct()
     orders = F.concat(F.array("ids"), sel.permutations(F.col("ids"), F.col("sample_id"), SEED))
     views = e.select("sample_id", "ids", F.posexplode(orders).alias("n", "o"))
     name = F.when(F.col("n") == 0, "canonical").otherwise(F.concat(F.lit("candidate_permutation_"), F.col("n").cast("string")))
-    return views.select(F.concat("sample_id", F.lit("::rlcd-view:"), name).alias("view_id"), F.array_join("ids", ",").alias("given"), F.array_join("o", ",").alias("ordered"))
+    return views.select(
+        F.concat("sample_id", F.lit("::rlcd-view:"), name).alias("view_id"), F.array_join("ids", ",").alias("given"),
+        F.array_join("o", ",").alias("ordered")
+    )
 
 
 def box_targets(s: SparkSession, d: str) -> DataFrame:
     e = table(s, d, "example").where("sample_id is not null and exists(options, o -> o.box is not null)").select("sample_id", "options").distinct()
-    return e.select("sample_id", F.size(nest.usable(F.col("options"))).alias("usable"), nest.smallest(F.col("options")).alias("smallest"), F.size(nest.at_point(F.col("options"), 0.5, 0.5)).alias("at_centre"), F.array_join(F.transform(F.filter("options", lambda o: o["box"].isNotNull()), lambda o: F.array_join(nest.thousandths(o["box"]).cast("array<string>"), " ")), "|").alias("boxes"))
+    return e.select(
+        "sample_id", F.size(nest.usable(F.col("options"))).alias("usable"), nest.smallest(F.col("options")).alias("smallest"),
+        F.size(nest.at_point(F.col("options"), 0.5, 0.5)).alias("at_centre"),
+        F.array_join(
+            F.transform(
+                F.filter("options", lambda o: o["box"].isNotNull()), lambda o: F.array_join(nest.thousandths(o["box"]).cast("array<string>"), " ")
+            ),
+            "|"
+        ).alias("boxes")
+    )
 
 
 def history_prefix(s: SparkSession, d: str) -> DataFrame:
@@ -130,17 +153,25 @@ def history_prefix(s: SparkSession, d: str) -> DataFrame:
 
 
 def majority_action(s: SparkSession, d: str) -> DataFrame:
-    g = table(s, d, "gui_step").where("episode_id is not null and step is not null and action is not null").select("episode_id", "step", nest.normalized("action").alias("action")).distinct()
+    g = table(s, d, "gui_step").where(
+        "episode_id is not null and step is not null and action is not null"
+    ).select("episode_id", "step", nest.normalized("action").alias("action")).distinct()
     votes = g.groupBy("episode_id", "action").agg(F.count(F.lit(1)).alias("votes"), F.min("step").alias("first"))
-    return votes.groupBy("episode_id").agg(F.min(F.struct((-F.col("votes")).alias("v"), "first", "action")).alias("m"), F.sum("votes").alias("n")).select("episode_id", F.col("m.action").alias("action"), (-F.col("m.v")).alias("votes"), "n")
+    return votes.groupBy("episode_id").agg(
+        F.min(F.struct((-F.col("votes")).alias("v"), "first", "action")).alias("m"), F.sum("votes").alias("n")
+    ).select("episode_id", F.col("m.action").alias("action"), (-F.col("m.v")).alias("votes"), "n")
 
 
 def _ratings(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "image_rating").where("image_name is not null and mos is not null").groupBy("image_name").agg(F.min(F.struct("mos", "c1", "c2", "c3", "c4", "c5")).alias("r")).select("image_name", "r.*")
+    return table(s, d, "image_rating").where("image_name is not null and mos is not null").groupBy("image_name").agg(
+        F.min(F.struct("mos", "c1", "c2", "c3", "c4", "c5")).alias("r")
+    ).select("image_name", "r.*")
 
 
 def rating_mode(s: SparkSession, d: str) -> DataFrame:
-    r = _ratings(s, d).select("image_name", "mos", F.posexplode(F.array("c1", "c2", "c3", "c4", "c5")).alias("i", "votes")).withColumn("level", F.col("i") + 1)
+    r = _ratings(s, d).select(
+        "image_name", "mos", F.posexplode(F.array("c1", "c2", "c3", "c4", "c5")).alias("i", "votes")
+    ).withColumn("level", F.col("i") + 1)
     best = F.min_by("level", F.struct(-F.coalesce("votes", F.lit(0)), F.abs(F.col("level") - F.col("mos")), "level"))
     return r.groupBy("image_name").agg(best.alias("level"))
 
@@ -151,13 +182,19 @@ def rating_quintiles(s: SparkSession, d: str) -> DataFrame:
     # the k-th value of n, from counts of distinct values; only values, of which a rating scale has few, are ordered
     seen = train.groupBy("mos").agg(F.count(F.lit(1)).alias("c"))
     run = seen.withColumn("upto", F.sum("c").over(W.partitionBy(F.lit(0)).orderBy("mos"))).withColumn("n", F.sum("c").over(W.partitionBy(F.lit(0))))
-    cuts = run.withColumn("q", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))).where("n * q div 5 >= upto - c and n * q div 5 < upto").agg(F.array_sort(F.collect_list("mos")).alias("cuts"))
+    cuts = run.withColumn(
+        "q", F.explode(F.array(*map(F.lit, (1, 2, 3, 4))))
+    ).where("n * q div 5 >= upto - c and n * q div 5 < upto").agg(F.array_sort(F.collect_list("mos")).alias("cuts"))
     out = r.join(F.broadcast(cuts)).withColumn("quintile", F.size(F.filter("cuts", lambda t: t <= F.col("mos"))) + 1)
-    return out.groupBy(F.when(F.col("b") < 8, "train").when(F.col("b") == 8, "dev").otherwise("test").alias("split"), "quintile").agg(F.count(F.lit(1)).alias("n"))
+    return out.groupBy(
+        F.when(F.col("b") < 8, "train").when(F.col("b") == 8, "dev").otherwise("test").alias("split"), "quintile"
+    ).agg(F.count(F.lit(1)).alias("n"))
 
 
 def duplicate_ids(s: SparkSession, d: str) -> DataFrame:
-    return table(s, d, "example").where("sample_id is not null").groupBy("sample_id").agg(F.count(F.lit(1)).alias("deliveries")).where("deliveries > 1")
+    return table(s, d, "example").where("sample_id is not null").groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("deliveries")
+    ).where("deliveries > 1")
 
 
 def manifest_digest(s: SparkSession, d: str) -> DataFrame:
@@ -173,7 +210,14 @@ def pending_rows(s: SparkSession, d: str) -> DataFrame:
     return pending(_q(s, d).where("split = 'test'"), table(s, d, "prediction"), "sample_id").select("sample_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (quota_manifest, exclusion_counts, shortage_report, hash_rank, argmin_sha, evaluation_roles, pilot_quotas, pilot_manifest, round_robin_manifest, group_leakage, distinct_counts, unused_candidates, role_by_task, split_promotion, first_split_wins, option_order, permutation_views, box_targets, history_prefix, majority_action, rating_mode, rating_quintiles, duplicate_ids, manifest_digest, prediction_coverage, pending_rows)}
+QUERIES = {
+    f.__name__: f for f in (
+        quota_manifest, exclusion_counts, shortage_report, hash_rank, argmin_sha, evaluation_roles, pilot_quotas, pilot_manifest,
+        round_robin_manifest, group_leakage, distinct_counts, unused_candidates, role_by_task, split_promotion, first_split_wins, option_order,
+        permutation_views, box_targets, history_prefix, majority_action, rating_mode, rating_quintiles, duplicate_ids, manifest_digest,
+        prediction_coverage, pending_rows
+    )
+}
 
 _N = rf"regexp_replace(lower({_t('{0}')}), '[\s\pZ]+', ' ', 'g')"
 

@@ -39,7 +39,10 @@ def macro_accuracy(s: SparkSession, d: str) -> DataFrame:
 
 def ordinal_errors(s: SparkSession, d: str) -> DataFrame:
     o = _scores(s, d).where("task_type = 'score'")
-    return o.groupBy("model_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pick") - F.col("target"))), 6).alias("mae"), F.count_if(F.abs(F.col("pick") - F.col("target")) <= 1).alias("within_one"), F.round(F.avg("rps"), 6).alias("rps"))
+    return o.groupBy("model_id").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg(F.abs(F.col("pick") - F.col("target"))), 6).alias("mae"),
+        F.count_if(F.abs(F.col("pick") - F.col("target")) <= 1).alias("within_one"), F.round(F.avg("rps"), 6).alias("rps")
+    )
 
 
 def confusion(s: SparkSession, d: str) -> DataFrame:
@@ -58,7 +61,9 @@ def threshold_report(s: SparkSession, d: str) -> DataFrame:
     scores = _scores(s, d).withColumn("top", F.round("top", 9))
     t = m.thresholds(scores).select("task_type", "threshold")
     j = scores.join(F.broadcast(t), "task_type").withColumn("in", F.round("top", 6) >= F.col("threshold"))
-    return j.groupBy("task_type", "source").agg(F.count(F.lit(1)).alias("n"), F.count_if("in").alias("accepted"), F.count_if(F.col("in") & F.col("hit")).alias("right"))
+    return j.groupBy("task_type", "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("in").alias("accepted"), F.count_if(F.col("in") & F.col("hit")).alias("right")
+    )
 
 
 def high_confidence_errors(s: SparkSession, d: str) -> DataFrame:
@@ -73,7 +78,9 @@ def _agreed(s: SparkSession, d: str) -> DataFrame:
     j = scores.join(F.broadcast(t), ["model_id", "task_type"]).withColumn("ok", F.col("hit") & (F.round("top", 6) >= F.col("threshold")))
     one = j.groupBy("sample_id", "model_id").agg(F.bool_and("ok").alias("ok"), F.min("source").alias("source"), F.min("task_type").alias("task_type"))
     all_ = scores.agg(F.count_distinct("model_id").alias("all"))
-    each = one.where("ok").groupBy("sample_id").agg(F.count(F.lit(1)).alias("models"), F.min("source").alias("source"), F.min("task_type").alias("task_type"))
+    each = one.where("ok").groupBy("sample_id").agg(
+        F.count(F.lit(1)).alias("models"), F.min("source").alias("source"), F.min("task_type").alias("task_type")
+    )
     return each.join(F.broadcast(all_)).where("models = all").drop("all")
 
 
@@ -83,7 +90,9 @@ def all_models_agree(s: SparkSession, d: str) -> DataFrame:
 
 def showcase_selection(s: SparkSession, d: str) -> DataFrame:
     """(source, task_type, sample_id, eligible): of the samples all models agree on, the one of least hash."""
-    return _agreed(s, d).groupBy("source", "task_type").agg(F.min_by("sample_id", F.sha2("sample_id", 256)).alias("sample_id"), F.count(F.lit(1)).alias("eligible"))
+    return _agreed(s, d).groupBy("source", "task_type").agg(
+        F.min_by("sample_id", F.sha2("sample_id", 256)).alias("sample_id"), F.count(F.lit(1)).alias("eligible")
+    )
 
 
 def source_of_predictions(s: SparkSession, d: str) -> DataFrame:
@@ -98,7 +107,10 @@ def latency_summary(s: SparkSession, d: str) -> DataFrame:
 
 def quality_gate(s: SparkSession, d: str) -> DataFrame:
     g = _scores(s, d).groupBy("model_id").agg(F.avg(F.col("hit").cast("double")).alias("a"), F.avg("nll").alias("l"), F.count(F.lit(1)).alias("n"))
-    return g.select("model_id", (F.col("a") >= 0.5).alias("accurate"), (F.col("l") <= 1.0).alias("calibrated"), ((F.col("a") >= 0.5) & (F.col("l") <= 1.0) & (F.col("n") >= 100)).alias("passed"))
+    return g.select(
+        "model_id", (F.col("a") >= 0.5).alias("accurate"), (F.col("l") <= 1.0).alias("calibrated"),
+        ((F.col("a") >= 0.5) & (F.col("l") <= 1.0) & (F.col("n") >= 100)).alias("passed")
+    )
 
 
 def _levels(s: SparkSession, d: str) -> DataFrame:
@@ -115,7 +127,12 @@ def grid_levels(s: SparkSession, d: str) -> DataFrame:
     return solve_levels(_levels(s, d), keys=("doc_id", "place"))
 
 
-QUERIES = {f.__name__: f for f in (metric_summary, calibration_error, macro_accuracy, ordinal_errors, confusion, temperature_fit, threshold_select, threshold_report, high_confidence_errors, all_models_agree, showcase_selection, source_of_predictions, latency_summary, quality_gate, grid_tiles, grid_levels)}
+QUERIES = {
+    f.__name__: f for f in (
+        metric_summary, calibration_error, macro_accuracy, ordinal_errors, confusion, temperature_fit, threshold_select, threshold_report,
+        high_confidence_errors, all_models_agree, showcase_selection, source_of_predictions, latency_summary, quality_gate, grid_tiles, grid_levels
+    )
+}
 
 _THR = "t0 as (select task_type, round(top, 9) top, count(*) n, count(*) filter (hit) h from sc group by 1, 2), t1 as (select *, sum(n) over (partition by task_type order by top desc) rn, sum(h) over (partition by task_type order by top desc) rh from t0), t2 as (select task_type, max(case when rn >= 25 and rh / rn >= 0.95 then struct_pack(n := rn, top := top, acc := rh / rn) end) m, max(rn) al from t1 group by 1), thr as (select task_type, round(coalesce(m.top, 1.000001), 6) threshold, cast(coalesce(m.n, 0) as bigint) accepted, cast(al as bigint) questions, round(coalesce(m.n, 0) / al, 6) coverage, round(m.acc, 6) accuracy from t2)"
 

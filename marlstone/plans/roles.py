@@ -15,13 +15,19 @@ from marlstone.sources.tables import table
 
 def _parts(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """All eligible questions, and those of the training mixtures."""
-    q = cut(questions(table(s, d, "example")).where("not teacher_only and not blocked").select("sample_id", "root_id", "group_id", "source", "task_type", "split", "teacher_only", "blocked"))
+    q = cut(
+        questions(table(s, d, "example")).where("not teacher_only and not blocked").select(
+            "sample_id", "root_id", "group_id", "source", "task_type", "split", "teacher_only", "blocked"
+        )
+    )
     trained = sel.quota_manifest(q, sel.source_quotas(table(s, d, "sft_117k")), SEED).select("sample_id").distinct()
     return q, cut(q.join(trained, "sample_id", "left_semi"))
 
 
 def role_steps(s: SparkSession, d: str) -> DataFrame:
-    return plan_roles(table(s, d, "rlcd_72k")).select("plan_id", "role", "schema_split", "task_type", "wanted", "limit", F.col("cap").cast("long").alias("cap"))
+    return plan_roles(table(s, d, "rlcd_72k")).select(
+        "plan_id", "role", "schema_split", "task_type", "wanted", "limit", F.col("cap").cast("long").alias("cap")
+    )
 
 
 def role_rows(s: SparkSession, d: str) -> DataFrame:
@@ -31,7 +37,9 @@ def role_rows(s: SparkSession, d: str) -> DataFrame:
 
 def role_counts(s: SparkSession, d: str) -> DataFrame:
     """(plan_id, role, task_type, wanted, questions, short)"""
-    return role_rows(s, d).groupBy("plan_id", "role", "task_type").agg(F.max("wanted").alias("wanted"), F.count("sample_id").alias("questions"), F.sum("short").alias("short"))
+    return role_rows(s, d).groupBy("plan_id", "role", "task_type").agg(
+        F.max("wanted").alias("wanted"), F.count("sample_id").alias("questions"), F.sum("short").alias("short")
+    )
 
 
 def role_leaks(s: SparkSession, d: str) -> DataFrame:

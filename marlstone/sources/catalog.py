@@ -36,8 +36,13 @@ def active(sources: DataFrame) -> DataFrame:
 
 def inventory(spark: SparkSession, folder: str) -> DataFrame:
     """(source, files, bytes) of the records of a folder: one JSON object a file, with its artifacts."""
-    records = spark.read.schema("source string, artifacts array<struct<path:string,bytes:long,sha256:string>>").option("multiLine", True).option("mode", "FAILFAST").json(folder)
-    sizes = F.aggregate(F.coalesce("artifacts", F.array().cast("array<struct<path:string,bytes:bigint,sha256:string>>")), F.lit(0).cast("long"), lambda a, x: a + F.coalesce(x["bytes"], F.lit(0)))
+    records = spark.read.schema(
+        "source string, artifacts array<struct<path:string,bytes:long,sha256:string>>"
+    ).option("multiLine", True).option("mode", "FAILFAST").json(folder)
+    sizes = F.aggregate(
+        F.coalesce("artifacts", F.array().cast("array<struct<path:string,bytes:bigint,sha256:string>>")), F.lit(0).cast("long"),
+        lambda a, x: a + F.coalesce(x["bytes"], F.lit(0))
+    )
     return records.groupBy("source").agg(F.sum(F.coalesce(F.size("artifacts"), F.lit(0))).alias("files"), F.sum(sizes).alias("bytes"))
 
 
@@ -48,8 +53,12 @@ def absent(wanted: DataFrame, present: DataFrame, key: str = "id", other: str =
 
 def unlike(files: DataFrame, listed: DataFrame) -> DataFrame:
     """(path, problem): listed files that are missing, or whose length or digest is another. files: as from ``files.digests``."""
-    j = listed.select("path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha")).join(files.select("path", "length", "sha256"), "path", "left")
-    problem = F.when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("_bytes"), "length").when(F.col("sha256") != F.col("_sha"), "digest")
+    j = listed.select(
+        "path", F.col("bytes").alias("_bytes"), F.col("sha256").alias("_sha")
+    ).join(files.select("path", "length", "sha256"), "path", "left")
+    problem = F.when(F.col("length").isNull(), "missing").when(
+        F.col("length") != F.col("_bytes"), "length"
+    ).when(F.col("sha256") != F.col("_sha"), "digest")
     return j.select("path", problem.alias("problem")).where("problem is not null")
 
 
@@ -85,7 +94,10 @@ def matched(predictions: DataFrame, manifest: DataFrame, fields: list[str], key:
     return j.withColumn("_known", F.when(F.col("_known"), True).otherwise(error)).where("_known").drop("_known")
 
 
-def training_rows(rows: DataFrame, seed: str, role: str | None = None, sources: list[str] | None = None, maximum: int | None = None, repeats: dict[str, int] | None = None, key: str = "sample_id") -> DataFrame:
+def training_rows(
+    rows: DataFrame, seed: str, role: str | None = None, sources: list[str] | None = None, maximum: int | None = None,
+    repeats: dict[str, int] | None = None, key: str = "sample_id"
+) -> DataFrame:
     """The rows a training run reads: of a role and of some sources, in hashed order (``rank``), at most ``maximum``,
     those of each task repeated (``copy``, from 1; a task without a number, or with less than one, once)."""
     r = rows if role is None else rows.where(F.coalesce("role", F.lit("train")) == role)

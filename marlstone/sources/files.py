@@ -45,7 +45,9 @@ def levels(spark: SparkSession, path: str) -> DataFrame:
     blocks = F.filter(F.split(F.concat(F.lit("\n"), "value"), r"\n;"), lambda b: F.trim(b) != "")
     text = text.select(F.input_file_name().alias("file"), F.explode(blocks).alias("b"))
     lines = F.filter(F.slice(F.split("b", "\n"), 2, 1 << 30), lambda r: F.trim(r) != "")
-    out = text.select("file", F.trim(F.substring_index("b", "\n", 1)).alias("level_id"), F.array_join(lines, "\n").alias("level"), lines.alias("lines"))
+    out = text.select(
+        "file", F.trim(F.substring_index("b", "\n", 1)).alias("level_id"), F.array_join(lines, "\n").alias("level"), lines.alias("lines")
+    )
     ragged = F.array_min(F.transform("lines", F.length)) != F.array_max(F.transform("lines", F.length))
     error = F.when(F.size("lines") == 0, "no rows").when(ragged, "rows of unequal length").when(F.col("level").rlike(r"[^# @$.*+\n]"), "unknown tile")
     return out.withColumn("error", error).drop("lines")

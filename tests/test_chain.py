@@ -16,7 +16,9 @@ sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
 
 def test_decision_tasks(spark):
-    data = [(f"s{i}", "st", "dev", ["up", "down", "left"], ["up", "left"][: 1 + i % 2]) for i in range(7)] + [("f0", "st", "dev", ["up"], ["up"]), ("f1", "st", "dev", ["up", "left"], ["up", "left"]), ("o", "st", "test", ["a", "b"], ["a"])]
+    data = [(f"s{i}", "st", "dev", ["up", "down", "left"], ["up", "left"][: 1 + i % 2]) for i in range(7)] + [
+        ("f0", "st", "dev", ["up"], ["up"]), ("f1", "st", "dev", ["up", "left"], ["up", "left"]), ("o", "st", "test", ["a", "b"], ["a"])
+    ]
     df = spark.createDataFrame(data, "sample_id string, stage string, role string, actions array<string>, optimal array<string>")
     quotas = lambda n: spark.createDataFrame([("st", "dev", n)], "stage string, role string, choice int")
     got = {r.sample_id: r for r in de.decision_tasks(df, quotas(4)).collect()}
@@ -42,8 +44,16 @@ def test_stages_and_labels(spark):
     assert sorted(map(tuple, de.unite({"b": b, "a": a}, {"a", "b"}).select("k", "v", "stage").collect())) == [("x", 1, "a"), ("y", None, "b")]
     with pytest.raises(ValueError):
         de.unite({"a": a}, {"a", "b"})
-    q = spark.createDataFrame([('{"oracle_q": {"up": 1.0, "down": 0.5}, "all_optimal_actions": ["up"]}',), ('{"policy_success_rates": {"b": 1}, "all_best_measured_actions": ["b"]}',)], "q string")
-    assert [tuple(r) for r in q.select(de.optimal_actions(F.col("q")), de.action_ids(F.col("q"))).collect()] == [(["up"], ["up", "down"]), (["b"], ["b"])]
+    q = spark.createDataFrame(
+        [
+            ('{"oracle_q": {"up": 1.0, "down": 0.5}, "all_optimal_actions": ["up"]}',),
+            ('{"policy_success_rates": {"b": 1}, "all_best_measured_actions": ["b"]}',)
+        ],
+        "q string"
+    )
+    assert [
+        tuple(r) for r in q.select(de.optimal_actions(F.col("q")), de.action_ids(F.col("q"))).collect()
+    ] == [(["up"], ["up", "down"]), (["b"], ["b"])]
     with pytest.raises(Exception, match="no optimal"):
         spark.createDataFrame([('{"all_optimal_actions": []}',)], "q string").select(de.optimal_actions(F.col("q"))).collect()
     r = spark.range(1).select(de.by_steps(F.lit(50), 100), de.by_steps(F.lit(999), 100), de.by_hundreds(F.lit(100))).first()
@@ -53,7 +63,13 @@ def test_stages_and_labels(spark):
     heads = sorted((f"k{i}" for i in range(30)), key=lambda k: sha("s\0" + k))[:12]
     labels = sorted(enumerate(["dev"] * 3 + ["train"] * 9), key=lambda x: sha(f"s:labels\0{x[0]}:{x[1]}"))
     assert got == {k: (i + 1, labels[i][1]) for i, k in enumerate(heads)}
-    jobs = spark.createDataFrame([(1, "e", b"p", None), (2, "e", b"p", None), (3, "f", b"p", None), (4, "e", b"q", "timeout"), (5, "e", b"r", None), (6, "e", b"s", None), (7, "f", b"t", None)], "job int, environment string, picture binary, failed string")
+    jobs = spark.createDataFrame(
+        [
+            (1, "e", b"p", None), (2, "e", b"p", None), (3, "f", b"p", None), (4, "e", b"q", "timeout"), (5, "e", b"r", None), (6, "e", b"s", None),
+            (7, "f", b"t", None)
+        ],
+        "job int, environment string, picture binary, failed string"
+    )
     quotas = spark.createDataFrame([("e", 2), ("f", 5)], "environment string, quota int")
     assert sorted((r.environment, r.job, r.place) for r in de.first_accepted(jobs, quotas).collect()) == [("e", 1, 1), ("e", 5, 2), ("f", 7, 1)]
     assert sorted(map(tuple, de.rejections(jobs).collect())) == [("picture seen before", 2), ("timeout", 1)]
@@ -64,7 +80,17 @@ def test_stages_and_labels(spark):
 
 
 def test_catalog(spark, tmp_path):
-    (tmp_path / "c.json").write_text(json.dumps({"sources": [{"id": "b", "name": "B", "priority": 2}, {"id": "a", "name": "A", "priority": 2, "enabled": True}, {"id": "c", "name": "C", "priority": 1, "enabled": False}, {"id": "d", "name": "D"}]}, indent=2))
+    (tmp_path / "c.json").write_text(
+        json.dumps(
+            {
+                "sources": [
+                    {"id": "b", "name": "B", "priority": 2}, {"id": "a", "name": "A", "priority": 2, "enabled": True},
+                    {"id": "c", "name": "C", "priority": 1, "enabled": False}, {"id": "d", "name": "D"}
+                ]
+            },
+            indent=2
+        )
+    )
     c = ca.catalog(spark, str(tmp_path / "c.json"))
     assert [r.id for r in ca.active(c).collect()] == ["a", "b", "d"]
     (tmp_path / "twice.json").write_text('{"sources": [{"id": "a"}, {"id": "a"}]}')
@@ -95,7 +121,10 @@ def test_predictions_and_rows(spark, tmp_path):
     (tmp_path / "d.jsonl").write_text('{"sample_id": "a"}\n{"sample_id": "a"}\n')
     with pytest.raises(ValueError, match="more than once"):
         ca.recorded(spark, str(tmp_path / "d.jsonl"), "sample_id string")
-    rows = spark.createDataFrame([(f"k{i}", "train" if i < 20 else None if i < 25 else "dev", "ab"[i % 2], ["score", "noul"][i % 2]) for i in range(40)], "sample_id string, role string, source string, task_type string")
+    rows = spark.createDataFrame(
+        [(f"k{i}", "train" if i < 20 else None if i < 25 else "dev", "ab"[i % 2], ["score", "noul"][i % 2]) for i in range(40)],
+        "sample_id string, role string, source string, task_type string"
+    )
     got = ca.training_rows(rows, "s", "train", ["a"], 8, {"score": 3, "noul": 0}).orderBy("rank", "copy").collect()
     heads = sorted((f"k{i}" for i in range(0, 25, 2)), key=lambda k: sha("s\0" + k))[:8]
     assert [r.sample_id for r in got] == [k for k in heads for _ in range(3)]
@@ -104,7 +133,9 @@ def test_predictions_and_rows(spark, tmp_path):
     turns = spark.createDataFrame([("d", 0), ("d", 1), ("d", 5), ("d", -1), ("e", 0)], "demo string, turn int")
     replays = spark.createDataFrame([("d", [("valid", "x"), ("bad", "y")])], "demo string, events array<struct<status:string,what:string>>")
     assert [(r.turn, r.event.what) for r in ca.at_turn(turns, replays).collect()] == [(0, "x")]
-    good = {"epochs": 1, "microbatch_questions_per_device": 2, "gradient_accumulation_steps": 4, "expected_world_size": 8, "global_batch_questions": 64}
+    good = {
+        "epochs": 1, "microbatch_questions_per_device": 2, "gradient_accumulation_steps": 4, "expected_world_size": 8, "global_batch_questions": 64
+    }
     assert ca.config_errors(good, 8) == [] and len(ca.config_errors({**good, "epochs": 0, "checkpoint_every_steps": -1}, 4)) == 4
     models = [{"id": "a", "group": "g", "role": "x"}, {"id": "b", "group": "g", "role": "y"}, {"id": "a", "group": "h", "role": "x"}]
     assert ca.group_errors(models, {"x", "y"}) == ["id a repeats", "group h has the roles ['x']"]
@@ -116,7 +147,10 @@ def test_losses_and_rates(spark):
     assert got == [pytest.approx(0.6931471805599453), pytest.approx(27.631021115928547)]
     with pytest.raises(Exception, match="no valid target"):
         spark.createDataFrame([([1.0], [False])], df.schema).select(metrics.choice_set_loss(F.col("p"), F.col("v"))).collect()
-    g = spark.createDataFrame([("t", '{ "a": 1 }', '{"a":1}'), ("t", '{"a":2}', '{"a":1}'), ("t", "[1]", '{"a":1}'), ("t", "oops", '{"a":1}'), ("t", None, '{"a":1}')], "task string, raw string, answer string")
+    g = spark.createDataFrame(
+        [("t", '{ "a": 1 }', '{"a":1}'), ("t", '{"a":2}', '{"a":1}'), ("t", "[1]", '{"a":1}'), ("t", "oops", '{"a":1}'), ("t", None, '{"a":1}')],
+        "task string, raw string, answer string"
+    )
     (r,) = metrics.generation_rates(g, ["task"]).collect()
     assert tuple(r) == ("t", 5, 0.4, 0.2)
 
@@ -125,4 +159,6 @@ def test_brier_and_gate(spark):
     df = spark.createDataFrame([([0.5, 0.3, 0.2], [0, 1]), ([1.0, 0.0, 0.0], [0]), ([0.2, 0.8], [0, 0])], "p array<double>, t array<int>")
     assert [r[0] for r in df.select(metrics.brier_any(F.col("p"), F.col("t"))).collect()] == [pytest.approx(0.08), 0.0, pytest.approx(1.28)]
     s = spark.createDataFrame([("a", 0.9, 0.5), ("b", 0.9, 0.4), ("c", None, 0.9)], "model string, exact double, within double")
-    assert {r.model: (r.exact_ok, r.passed) for r in metrics.gate(s, {"exact": 0.9, "within": 0.5}).collect()} == {"a": (True, True), "b": (True, False), "c": (False, False)}
+    assert {
+        r.model: (r.exact_ok, r.passed) for r in metrics.gate(s, {"exact": 0.9, "within": 0.5}).collect()
+    } == {"a": (True, True), "b": (True, False), "c": (False, False)}

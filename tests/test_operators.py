@@ -21,7 +21,9 @@ sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
 
 
 def test_hashes(spark):
-    r = spark.createDataFrame([("é",), (None,)], "k string").select(rank("s", "k").alias("r")).withColumn("m", prefix_mod(F.col("r"), 100)).withColumn("b", byte_mod(F.col("r"), 10)).collect()
+    r = spark.createDataFrame([("é",), (None,)], "k string").select(rank("s", "k").alias("r")).withColumn(
+        "m", prefix_mod(F.col("r"), 100)
+    ).withColumn("b", byte_mod(F.col("r"), 10)).collect()
     h = sha("s\0é")
     assert tuple(r[0]) == (h, int(h[:16], 16) % 100, int(h[:2], 16) % 10) and tuple(r[1]) == (None, None, None)
 
@@ -43,7 +45,9 @@ def test_first_by_rank_cuts_exactly(spark):
 
 def test_components_match_union_find(spark):
     rnd = random.Random(3)
-    edges = [(f"n{rnd.randrange(200)}", f"n{rnd.randrange(200)}") for _ in range(260)] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)] + [("hub", f"x{i}") for i in range(3000)] + [("a", "a"), (None, "b"), ("n1", None)]
+    edges = [
+        (f"n{rnd.randrange(200)}", f"n{rnd.randrange(200)}") for _ in range(260)
+    ] + [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)] + [("hub", f"x{i}") for i in range(3000)] + [("a", "a"), (None, "b"), ("n1", None)]
     parent = {}
 
     def find(x):
@@ -66,7 +70,14 @@ def test_join_unique_keeps_every_row(spark):
     t = spark.createDataFrame([("hot", 1), ("c", 2), ("z", 3)], "k string, w int")
     got = join_unique(rows, "k", t, "w", 4003).collect()
     assert len(got) == 4003 and {(r.k, r.w) for r in got} == {("hot", 1), ("c", 2), (None, None), ("gone", None)}
-    assert sorted(map(tuple, links(spark.createDataFrame([("e", "u1"), ("e", "u2"), ("e", "u3"), ("f", "u1"), (None, "u9")], "e string, u string"), "e", "u", 5).collect())) == [("u1", "u2"), ("u1", "u3")]
+    assert sorted(
+        map(
+            tuple,
+            links(
+                spark.createDataFrame([("e", "u1"), ("e", "u2"), ("e", "u3"), ("f", "u1"), (None, "u9")], "e string, u string"), "e", "u", 5
+            ).collect()
+        )
+    ) == [("u1", "u2"), ("u1", "u3")]
 
 
 def test_roles_are_never_empty(spark):
@@ -85,7 +96,9 @@ def test_permutations(spark):
     assert got["s"] == [list(x) for x in dict.fromkeys(map(tuple, tried)) if x != ("a", "b", "c")][:3]
     assert got["t"] == [] and got["u"] == [["b", "a"]]
     long = [f"o{i}" for i in range(12)]
-    (r,) = spark.createDataFrame([("s", long)], "k string, o array<string>").select(selection.permutations(F.col("o"), F.col("k"), "seed").alias("p")).collect()
+    (r,) = spark.createDataFrame([("s", long)], "k string, o array<string>").select(
+        selection.permutations(F.col("o"), F.col("k"), "seed").alias("p")
+    ).collect()
     assert r.p == [sorted(long, key=lambda o: sha(f"seed:s:{t}\0{o}")) for t in range(3)]
 
 
@@ -95,13 +108,24 @@ def test_nesting(spark):
     given = ["cyan", "beige", "3.5%", "12:30", "3:05 pm", "$1,234", "5 percent", "two words", "word", "red\n"]
     kinds = spark.createDataFrame([(x,) for x in given], "a string").select(nesting.answer_kind(F.col("a")))
     assert [r[0] for r in kinds.collect()] == ["color", "word", "number", "number", "time", "number", "number", "phrase", "word", "word"]
-    asked = {"How many cats?": "count", "WHAT  color is it": "color", "which colour": "color", "Where is it": "location", "why": "reason", "what time is it": "time", "how tall is he": "size", "Is it made of wood": "material", "Which one": "which", "do you": "do", "dogs": "other", "": "other", "the dog": "animal"}
+    asked = {
+        "How many cats?": "count", "WHAT  color is it": "color", "which colour": "color", "Where is it": "location", "why": "reason",
+        "what time is it": "time", "how tall is he": "size", "Is it made of wood": "material", "Which one": "which", "do you": "do", "dogs": "other",
+        "": "other", "the dog": "animal"
+    }
     families = spark.createDataFrame([(x,) for x in asked], "q string").select(nesting.question_family(F.col("q")))
     assert [r[0] for r in families.collect()] == list(asked.values())
-    boxes = spark.createDataFrame([([("a", "x", [0.0, 0.0, 1.0, 1.0]), ("b", "y", [0.4, 0.4, 0.6, 0.6]), ("c", "z", None), ("d", "w", [0.5, 0.5, 0.5, 0.9])],)], "o array<struct<id:string,text:string,box:array<double>>>")
+    boxes = spark.createDataFrame(
+        [([("a", "x", [0.0, 0.0, 1.0, 1.0]), ("b", "y", [0.4, 0.4, 0.6, 0.6]), ("c", "z", None), ("d", "w", [0.5, 0.5, 0.5, 0.9])],)],
+        "o array<struct<id:string,text:string,box:array<double>>>"
+    )
     o = F.col("o")
-    assert tuple(boxes.select(nesting.smallest(o), nesting.at_point(o, 0.6, 0.6), nesting.prompt(F.lit(""), F.lit("Q"), F.slice(o, 1, 2))).first()) == ("b", ["a", "b"], "Q\n\n1. x\n2. y")
-    steps = spark.createDataFrame([("e", 1, "a"), ("e", 3, None), ("e", 4, "b"), ("e", 1, "a"), (None, 1, "z")], "episode_id string, step int, action string")
+    assert tuple(
+        boxes.select(nesting.smallest(o), nesting.at_point(o, 0.6, 0.6), nesting.prompt(F.lit(""), F.lit("Q"), F.slice(o, 1, 2))).first()
+    ) == ("b", ["a", "b"], "Q\n\n1. x\n2. y")
+    steps = spark.createDataFrame(
+        [("e", 1, "a"), ("e", 3, None), ("e", 4, "b"), ("e", 1, "a"), (None, 1, "z")], "episode_id string, step int, action string"
+    )
     assert [(r.step, r.history) for r in nesting.history(steps).orderBy("step").collect()] == [(1, []), (3, ["a"]), (4, ["a"])]
 
 
@@ -109,7 +133,9 @@ def test_metrics(spark):
     df = spark.createDataFrame([([1000.0, 1000.0],), ([0.0, 1.0, 2.0],)], "x array<double>")
     got = [r[0] for r in df.select(metrics.softmax("x")).collect()]
     assert got[0] == [0.5, 0.5] and sum(got[1]) == pytest.approx(1)
-    s = spark.createDataFrame([("t", 0.9, True)] * 3 + [("t", 0.8, False), ("t", 0.8, True), ("u", 0.9, False)], "task_type string, top double, hit boolean")
+    s = spark.createDataFrame(
+        [("t", 0.9, True)] * 3 + [("t", 0.8, False), ("t", 0.8, True), ("u", 0.9, False)], "task_type string, top double, hit boolean"
+    )
     assert {r.task_type: (r.threshold, r.accepted) for r in metrics.thresholds(s, 0.8, 2).collect()} == {"t": (0.8, 5), "u": (1.000001, 0)}
     assert {r.task_type: r.ece for r in metrics.calibration_error(s).collect()}["u"] == 0.9
     assert {r.task_type: (r.questions, r.coverage) for r in metrics.thresholds(s, 0.8, 2).collect()} == {"t": (5, 1.0), "u": (1, 0.0)}
@@ -119,19 +145,30 @@ def test_metrics(spark):
     assert one(metrics.masked_softmax(arr(1.0, 9.0, 1.0), arr(True, False, True))) == [0.5, 0.0, 0.5]
     with pytest.raises(Exception, match="masked"):
         one(metrics.masked_softmax(arr(1.0), arr(False)))
-    o = spark.createDataFrame([([("a", "x"), ("b", "y")], ["b", "a"]), ([("a", "x")], ["z"])], "o array<struct<id:string,text:string>>, t array<string>")
+    o = spark.createDataFrame(
+        [([("a", "x"), ("b", "y")], ["b", "a"]), ([("a", "x")], ["z"])], "o array<struct<id:string,text:string>>, t array<string>"
+    )
     assert o.where("size(o) = 2").select(metrics.target_indexes(F.col("o"), F.col("t"))).first()[0] == [1, 0]
     with pytest.raises(Exception, match="no such option"):
         o.select(metrics.target_indexes(F.col("o"), F.col("t"))).collect()
-    p = spark.createDataFrame([("t", [0.0, 0.0, 5.0], [0, 1]), ("t", [0.0, 0.0, 5.0], [2])], "task_type string, logits array<double>, targets array<int>")
+    p = spark.createDataFrame(
+        [("t", [0.0, 0.0, 5.0], [0, 1]), ("t", [0.0, 0.0, 5.0], [2])], "task_type string, logits array<double>, targets array<int>"
+    )
     fit = {r.task_type: r.temperature for r in metrics.temperature_fit(p, tasks=("t", "none")).collect()}
     assert fit["none"] == 1.0 and fit["t"] == 4.0
-    lat = spark.createDataFrame([("a", float(v)) for v in [5, 1, 1, 1, 9, 2, 700]] + [("a", None), ("a", float("nan")), ("a", -1.0), ("b", 0.0)], "g string, v double")
+    lat = spark.createDataFrame(
+        [("a", float(v)) for v in [5, 1, 1, 1, 9, 2, 700]] + [("a", None), ("a", float("nan")), ("a", -1.0), ("b", 0.0)], "g string, v double"
+    )
     got = {r.g: r for r in metrics.latencies(lat, "g", "v").collect()}
-    assert (got["a"].n, got["a"].p50, got["a"].p95, got["a"].least, got["a"].most) == (7, 2.0, pytest.approx(492.7), 1.0, 700.0) and got["b"].p99 == 0.0
+    assert (
+        got["a"].n, got["a"].p50, got["a"].p95, got["a"].least, got["a"].most
+    ) == (7, 2.0, pytest.approx(492.7), 1.0, 700.0) and got["b"].p99 == 0.0
     runs = spark.createDataFrame([("k", "v", 1.0), ("k", "v", 3.0), ("j", "v", 1.0), ("j", "w", 1.0)], "k string, v string, ms double")
     assert {r.k: (r.value, r.latency) for r in metrics.repeats(runs, "k", "v", "ms").collect()} == {"k": ("v", 2.0), "j": (None, 1.0)}
-    roll = spark.createDataFrame([("s", "a", 1.0, True), ("s", "a", 0.0, False), ("s", "b", 0.5, True), ("s", "c", 0.0, False)], "state string, action string, result double, success boolean")
+    roll = spark.createDataFrame(
+        [("s", "a", 1.0, True), ("s", "a", 0.0, False), ("s", "b", 0.5, True), ("s", "c", 0.0, False)],
+        "state string, action string, result double, success boolean"
+    )
     out = {r.action: (r.mean, r.success_rate, r.optimal, r.quality) for r in metrics.outcomes(roll, ["state"]).collect()}
     assert out["a"][:3] == (0.5, 0.5, True) and out["b"][2] and not out["c"][2] and sum(x[3] for x in out.values()) == pytest.approx(1)
 
@@ -139,19 +176,29 @@ def test_metrics(spark):
 def test_grids(spark):
     assert grids.shortest(3, 3, {(1, 1)}, (0, 0), {(2, 2)}) == (4, ["down", "right"])
     assert grids.shortest(3, 1, {(1, 0)}, (0, 0), {(2, 0)}) == (None, [])
-    levels = spark.createDataFrame([("a", "#####\n#@$.#\n#####"), ("bad", "##\n#"), ("n", None), ("stuck", "#####\n#.@$#\n#####")], "level_id string, level string")
+    levels = spark.createDataFrame(
+        [("a", "#####\n#@$.#\n#####"), ("bad", "##\n#"), ("n", None), ("stuck", "#####\n#.@$#\n#####")], "level_id string, level string"
+    )
     got = {r.level_id: (r.moves, r.error is None) for r in grids.solve_levels(levels).collect()}
     assert got == {"a": (1, True), "bad": (None, False), "n": (None, False), "stuck": (None, True)}
     assert grids.solve_boxes("#####\n# . #\n# $ #\n# @ #\n#####")[:2] == (1, ["up"])
-    assert grids.solve_boxes("#####\n# @ #\n# $ #\n# . #\n#####")[:2] == (1, ["down"]) and grids.solve_boxes("#######\n#@    #\n# $  .#\n#     #\n#######")[:2] == (4, ["down"])
+    assert grids.solve_boxes("#####\n# @ #\n# $ #\n# . #\n#####")[:2] == (1, ["down"]) and grids.solve_boxes(
+        "#######\n#@    #\n# $  .#\n#     #\n#######"
+    )[:2] == (4, ["down"])
     # round a box on either side
-    assert grids.solve_boxes("#####\n# . #\n#   #\n# $ #\n#   #\n# @ #\n#####")[:2] == (3, ["up"]) and grids.solve_boxes("#######\n#  .  #\n#     #\n#  $  #\n#     #\n#   @ #\n#######")[1] == ["left", "up"]
+    assert grids.solve_boxes("#####\n# . #\n#   #\n# $ #\n#   #\n# @ #\n#####")[:2] == (3, ["up"]) and grids.solve_boxes(
+        "#######\n#  .  #\n#     #\n#  $  #\n#     #\n#   @ #\n#######"
+    )[1] == ["left", "up"]
     wide = "\n".join(["##########", "#@       #", "# $ $ $  #", "#        #", "#    ... #", "#        #", "##########"])
     (row,) = grids.solve_levels(spark.createDataFrame([("w", wide)], "level_id string, level string"), limit=50).collect()
     assert row.moves is None and "50 states" in row.error
     square = {(x, y) for x in range(3) for y in range(3)}
-    assert grids.navigate(3, 3, square, {(0, 1)}, {}, (1, 1), 0) == (3, ["left", "right"]) and grids.navigate(3, 1, {(0, 0), (2, 0)}, {(2, 0)}, {(1, 0): 0}, (0, 0), 0) == (3, ["toggle"])
-    assert grids.navigate(3, 1, {(0, 0), (2, 0)}, {(2, 0)}, {}, (0, 0), 0) == (None, []) and grids.navigate(3, 3, square, {(1, 1)}, {}, (1, 1), 0) == (0, [])
+    assert grids.navigate(3, 3, square, {(0, 1)}, {}, (1, 1), 0) == (3, ["left", "right"]) and grids.navigate(
+        3, 1, {(0, 0), (2, 0)}, {(2, 0)}, {(1, 0): 0}, (0, 0), 0
+    ) == (3, ["toggle"])
+    assert grids.navigate(
+        3, 1, {(0, 0), (2, 0)}, {(2, 0)}, {}, (0, 0), 0
+    ) == (None, []) and grids.navigate(3, 3, square, {(1, 1)}, {}, (1, 1), 0) == (0, [])
     with pytest.raises(grids.LimitReached):
         grids.navigate(3, 3, square, {(9, 9)}, {}, (1, 1), 0, limit=5)
     ring = {(x, y) for x in range(-1, 5) for y in (-1, 1)} | {(-1, 0), (4, 0)}
@@ -159,12 +206,20 @@ def test_grids(spark):
     tools = lambda things, mission, **k: grids.use_tools(ring, {(3, 0)}, things, (0, 0), 0, mission, **k)
     # take the key, walk up to the door, open it, walk through
     assert tools({**key, **door}, "reach") == (5, ["take"]) and tools({**key, **door}, "open") == (3, ["take"])
-    assert tools(door, "reach") == (None, []) and tools(door, "open", held=("key", "red")) == (2, ["forward"]) and tools(door, "open", held=("key", "blue")) == (None, [])
-    assert tools({(2, 0): ("door", "red", "closed")}, "reach") == (4, ["forward"]) and tools({(2, 0): ("door", "red", "open")}, "reach") == (3, ["forward"])
+    assert tools(door, "reach") == (None, []) and tools(door, "open", held=("key", "red")) == (2, ["forward"]) and tools(
+        door, "open", held=("key", "blue")
+    ) == (None, [])
+    assert tools(
+        {(2, 0): ("door", "red", "closed")}, "reach"
+    ) == (4, ["forward"]) and tools({(2, 0): ("door", "red", "open")}, "reach") == (3, ["forward"])
     # a held ball has to be put down, behind or at once, before the box is taken
-    assert tools({(1, 0): ("box", "red", "")}, "take") == (1, ["take"]) and tools({(1, 0): ("box", "red", "")}, "take", held=("ball", "blue"))[0] is None
+    assert tools({(1, 0): ("box", "red", "")}, "take") == (1, ["take"]) and tools(
+        {(1, 0): ("box", "red", "")}, "take", held=("ball", "blue")
+    )[0] is None
     assert tools({(2, 0): ("box", "red", "")}, "take", held=("ball", "blue"))[0] == 7
-    docs = spark.createDataFrame([(1, "x\n┌──┐\n│#@│\n│$.│\n└──┘\ny\n┌─┐\n│ │\n└─┘"), (2, None), (3, "┌─┐"), (None, "┌─┐\n│ │\n└─┘")], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        [(1, "x\n┌──┐\n│#@│\n│$.│\n└──┘\ny\n┌─┐\n│ │\n└─┘"), (2, None), (3, "┌─┐"), (None, "┌─┐\n│ │\n└─┘")], "doc_id long, text string"
+    )
     drawn = grids.drawn_levels(docs)
     assert [(r.doc_id, r.place, r.level) for r in drawn.orderBy("place").collect()] == [(1, 0, "#@\n$."), (1, 1, " ")]
     assert sorted(map(tuple, grids.tiles(drawn, ("doc_id", "place")).collect())) == [(1, 0, 2, 2, 1, 1, 1, 1), (1, 1, 1, 1, 0, 0, 0, 0)]
@@ -174,7 +229,10 @@ def test_grids(spark):
 def test_levels(spark, tmp_path):
     (tmp_path / "l.txt").write_text("; 0\n###\n#@#\n\n; 1\r\n####\r\n#@$#\r\n; 2\n##\n#\n; 3\n#x\n; 4\n")
     got = [(r.level_id, r.level, r.error) for r in files.levels(spark, str(tmp_path / "l.txt")).collect()]
-    assert got == [("0", "###\n#@#", None), ("1", "####\n#@$#", None), ("2", "##\n#", "rows of unequal length"), ("3", "#x", "unknown tile"), ("4", "", "no rows")]
+    assert got == [
+        ("0", "###\n#@#", None), ("1", "####\n#@$#", None), ("2", "##\n#", "rows of unequal length"), ("3", "#x", "unknown tile"),
+        ("4", "", "no rows")
+    ]
 
 
 def test_json_files(spark, tmp_path):
@@ -195,7 +253,9 @@ def test_json_files(spark, tmp_path):
 def test_publish(spark, tmp_path):
     df = spark.range(100).withColumn("v", F.when(F.col("id") > 3, "é"))
     assert files.manifest_digest(df).first() == files.manifest_digest(df.repartition(7)).first()
-    assert files.manifest_digest(df).first() != files.manifest_digest(df.unionByName(df.limit(1))).first() and files.manifest_digest(df.limit(0)).first()["rows"] == 0
+    assert files.manifest_digest(df).first() != files.manifest_digest(
+        df.unionByName(df.limit(1))
+    ).first() and files.manifest_digest(df.limit(0)).first()["rows"] == 0
     out = str(tmp_path / "out")
     assert files.publish(df, out, {"none": df.where("id < 0"), "staged": lambda s: s.where("id is null")}) == 100
     with pytest.raises(FileExistsError):
@@ -209,7 +269,9 @@ def test_publish(spark, tmp_path):
 
 
 def test_negatives(spark):
-    data = [(f"s{i}", "train", "word", "f", w) for i, w in enumerate(["a", "b", "c", "d", "a"])] + [("t0", "train", "word", "g", "x"), ("u0", "dev", "word", "f", "a"), ("u1", "dev", "word", "g", "b")]
+    data = [(f"s{i}", "train", "word", "f", w) for i, w in enumerate(["a", "b", "c", "d", "a"])] + [
+        ("t0", "train", "word", "g", "x"), ("u0", "dev", "word", "f", "a"), ("u1", "dev", "word", "g", "b")
+    ]
     df = spark.createDataFrame(data, "sample_id string, split string, kind string, family string, answer string")
     got = {r.sample_id: r.negatives for r in nesting.negatives(df, ["split", "kind", "family"]).collect()}
     assert got["s0"] == sorted("bcd", key=lambda v: sha("s0\0" + v)) and got["t0"] == sorted("abcd", key=lambda v: sha("t0\0" + v))[:3]

@@ -55,7 +55,12 @@ def sequential(pool, trained, seed, plan, share):
 
 def test_role_manifest(spark):
     rnd = random.Random(2)
-    pool = [(f"s{i}", f"r{rnd.randrange(300)}", f"g{rnd.choice([0, rnd.randrange(150)])}", rnd.choice("aaab") + "x", rnd.choice(["choice", "choice", "noul", "score"]), 0) for i in range(500)]
+    pool = [
+        (
+            f"s{i}", f"r{rnd.randrange(300)}", f"g{rnd.choice([0, rnd.randrange(150)])}", rnd.choice("aaab") + "x",
+            rnd.choice(["choice", "choice", "noul", "score"]), 0
+        ) for i in range(500)
+    ]
     trained = rnd.sample(pool, 160)
     one = lambda split, c, n, s: {"schema_split": split, "questions": c + n + s, "choice": c, "noul": n, "score": s}
     plan = {"train": one("train", 20, 8, 6), "dev": one("dev", 9, 3, 2), "audit": one("calibration", 6, 2, 1), "test": one("test", 12, 4, 3)}
@@ -79,7 +84,11 @@ def test_role_manifest(spark):
     with pytest.raises(ValueError, match="too few"):
         roles.role_manifest(q, t, plans.where("plan_id = 'big'"), strict=True)
     # rows that leak are counted
-    bad = {r.check: r.cases for r in roles.role_leakage(t.selectExpr("'p' as plan_id", "'test' as role", "sample_id", "root_id", "group_id").limit(1), t).collect()}
+    bad = {
+        r.check: r.cases for r in roles.role_leakage(
+            t.selectExpr("'p' as plan_id", "'test' as role", "sample_id", "root_id", "group_id").limit(1), t
+        ).collect()
+    }
     assert bad["evaluation roots trained on"] == bad["evaluation groups trained on"] == 1
     empty = roles.role_manifest(q.limit(0), t.limit(0), plans.where("plan_id = 'p'")).collect()
     assert all(r.sample_id is None for r in empty) and sum(r.short for r in empty) == sum(r["questions"] for r in plan.values())
@@ -89,25 +98,44 @@ O = "array<struct<id:string,text:string,box:array<double>>>"
 
 
 def test_prompts(spark):
-    data = [("choice", " a state ", ['say "hi"', "é\n"], "Q?", [("a", "x", None), ("b", "y", [10.0, 20.0, 110.0, 60.0])], (None, ["b", "a"])), ("noul", None, [], "Q", [], (True, [])), ("score", "", None, None, [("score_1", "l", None)], (None, ["score_4"])), ("choice", "", [], "Q", [], (None, []))]
+    data = [
+        ("choice", " a state ", ['say "hi"', "é\n"], "Q?", [("a", "x", None), ("b", "y", [10.0, 20.0, 110.0, 60.0])], (None, ["b", "a"])),
+        ("noul", None, [], "Q", [], (True, [])), ("score", "", None, None, [("score_1", "l", None)], (None, ["score_4"])),
+        ("choice", "", [], "Q", [], (None, []))
+    ]
     df = spark.createDataFrame(data, f"t string, s string, h array<string>, q string, o {O}, g struct<bool:boolean,ids:array<string>>")
     c = F.col
-    got = df.select(prompts.prompt(c("t"), c("s"), c("h"), c("q"), c("o"), F.lit(200.0), F.lit(100.0)).alias("p"), prompts.answer_json(c("t"), c("g")).alias("a")).collect()
+    got = df.select(
+        prompts.prompt(c("t"), c("s"), c("h"), c("q"), c("o"), F.lit(200.0), F.lit(100.0)).alias("p"), prompts.answer_json(c("t"), c("g")).alias("a")
+    ).collect()
     assert got[0].p == 'Task: choice\n\nVisible state: a state\n\nCompleted steps (oldest to newest):\n1. "say \\"hi\\""\n2. "é\\n"\n\nQuestion: Q?\n\nCandidates:\n- a: x\n- b: y; box_0_1000=[50,200,550,600]\n\n' + prompts.BOXES + '\n\nReturn exactly {"choice":"<candidate_id>"}.'
     assert got[1].p == 'Task: noul\n\nQuestion: Q\n\nReturn exactly {"noul":true} or {"noul":false}.' and "5 = excellent" in got[2].p
     assert [r.a for r in got] == ['{"choice":"b"}', '{"noul":true}', '{"score":4}', None]
-    raws = [("choice", '{"choice": "b"}', "b", True), ("choice", '{"choice":"z"}', None, False), ("choice", '{"choice":1}', None, False), ("noul", '{"noul":true}', "true", True), ("noul", '{"noul":"true"}', None, False), ("score", '{"score":4}', "score_4", True), ("score", '{"score":6}', None, False), ("score", '{"score":"4"}', None, False), ("noul", "no json", None, False), ("noul", None, None, False)]
+    raws = [
+        ("choice", '{"choice": "b"}', "b", True), ("choice", '{"choice":"z"}', None, False), ("choice", '{"choice":1}', None, False),
+        ("noul", '{"noul":true}', "true", True), ("noul", '{"noul":"true"}', None, False), ("score", '{"score":4}', "score_4", True),
+        ("score", '{"score":6}', None, False), ("score", '{"score":"4"}', None, False), ("noul", "no json", None, False), ("noul", None, None, False)
+    ]
     known = {r[0]: (r[4], r[5]) for r in data[:3]}
     df = spark.createDataFrame([(t, raw, *known[t]) for t, raw, _, _ in raws], f"t string, r string, o {O}, g struct<bool:boolean,ids:array<string>>")
     v = prompts.generated(c("t"), c("r"), c("o"))
     got = df.select(v.alias("v"), prompts.is_correct(c("t"), v, c("g")).alias("ok"), prompts.is_json_object(c("r")).alias("j")).collect()
     assert [(r.v, r.ok) for r in got] == [x[2:] for x in raws] and [r.j for r in got] == [True] * 8 + [False] * 2
-    r = spark.range(1).select(prompts.letter(F.lit(0)).alias("a"), prompts.letter(F.lit(25)).alias("z"), prompts.letter(F.lit(26)).alias("n"), prompts.cache_key(F.lit("x").alias("a"), F.lit(None).cast("string").alias("b")).alias("k")).first()
+    r = spark.range(1).select(
+        prompts.letter(F.lit(0)).alias("a"), prompts.letter(F.lit(25)).alias("z"), prompts.letter(F.lit(26)).alias("n"),
+        prompts.cache_key(F.lit("x").alias("a"), F.lit(None).cast("string").alias("b")).alias("k")
+    ).first()
     assert (r.a, r.z, r.n) == ("A", "Z", None) and r.k == sha('{"a":"x","b":null}')
 
 
 def test_contract(spark):
-    base = {"schema_version": 2, "sample_id": "s", "group_id": "g", "root_id": "r", "source": "s", "source_version": "1", "license": "l", "split": "Train ", "task_type": "choice", "state_text": "", "question": "q", "options": [("a", "x", None), ("b", "y", [0.0, 0.0, 1.0, 1.0])], "target_kind": "single", "target": (None, ["a"]), "label_origin": "human", "language": "en", "source_bucket": "public", "image_metadata": ("none",), "allowed_history": [], "input_track": "t", "origin_label_method": "m", "generator_revision": "c", "quality": (False,), "teacher_only": False}
+    base = {
+        "schema_version": 2, "sample_id": "s", "group_id": "g", "root_id": "r", "source": "s", "source_version": "1", "license": "l",
+        "split": "Train ", "task_type": "choice", "state_text": "", "question": "q", "options": [("a", "x", None), ("b", "y", [0.0, 0.0, 1.0, 1.0])],
+        "target_kind": "single", "target": (None, ["a"]), "label_origin": "human", "language": "en", "source_bucket": "public",
+        "image_metadata": ("none",), "allowed_history": [], "input_track": "t", "origin_label_method": "m", "generator_revision": "c",
+        "quality": (False,), "teacher_only": False
+    }
     shape = f"schema_version int, sample_id string, group_id string, root_id string, source string, source_version string, license string, split string, task_type string, state_text string, question string, options {O}, target_kind string, target struct<bool:boolean,ids:array<string>>, label_origin string, language string, source_bucket string, image_metadata struct<transform:string>, allowed_history array<string>, input_track string, origin_label_method string, generator_revision string, quality struct<release_blocked:boolean>, teacher_only boolean, candidates {O}"
     box = lambda b: [("a", "x", b), ("b", "y", None)]
     cases = {
@@ -129,4 +157,6 @@ def test_contract(spark):
     assert shown == {"sample_id repeats": "ok", "group in several splits": "g"}
     assert json.loads(df.select(F.to_json(F.struct(*contract.visible(df).columns))).limit(1).first()[0]).keys() <= set(contract.VISIBLE)
     files = spark.createDataFrame([("a.jpg",)], "path string")
-    assert [r.image for r in contract.missing_assets(spark.createDataFrame([("a.jpg",), ("b.jpg",), (None,), (" ",)], "image string"), files).collect()] == ["b.jpg"]
+    assert [
+        r.image for r in contract.missing_assets(spark.createDataFrame([("a.jpg",), ("b.jpg",), (None,), (" ",)], "image string"), files).collect()
+    ] == ["b.jpg"]
