@@ -10,6 +10,9 @@ from marlstone.functions.hashing import rank
 from marlstone.operators.grids import flow
 from marlstone.operators.ranking import first_by_rank
 
+#: Hex digits of the hash buckets in which places are counted; 16**DIGITS rows a stage and role are broadcast.
+DIGITS = 2
+
 
 def unite(stages: dict[str, DataFrame], expected: set[str]) -> DataFrame:
     """All stages in one table, with a column ``stage``. Stages other than expected are an error; missing columns are null."""
@@ -98,6 +101,11 @@ def choice_quotas(available: dict[tuple[str, str], int], choices: dict[str, int]
     return sent
 
 
+def wrong_actions() -> Column:
+    """The actions that aren't among the best ones; a row without any can only be a choice."""
+    return F.filter("actions", lambda a: ~F.array_contains("optimal", a))
+
+
 def decision_tasks(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     """Each row as a choice or a yes-or-no question: adds task_type, candidate, targets (ids), answer (boolean).
 
@@ -106,12 +114,25 @@ def decision_tasks(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     a right action at even places of the hashed order, about a wrong one at odd places. A stage and role has as many
     rows as its plan says; more rows that can only be choices than the quota are an error.
     """
-    hashed = W.partitionBy("stage", "role").orderBy(rank(F.col("stage"), "sample_id"), "sample_id")
-    wrong = F.filter("actions", lambda a: ~F.array_contains("optimal", a))
-    r = rows.withColumn("_wrong", wrong).withColumn("_forced", F.size("_wrong") == 0).withColumn("_place", F.row_number().over(hashed) - 1)
-    r = r.join(F.broadcast(quotas), ["stage", "role"], "left").na.fill(0, ["choice"])
-    r = r.withColumn("_all_forced", F.count_if("_forced").over(W.partitionBy("stage", "role")))
-    free = F.sum(F.when(F.col("_forced"), 0).otherwise(1)).over(hashed.rowsBetween(W.unboundedPreceding, W.currentRow))
+    by = ["stage", "role"]
+    r = rows.withColumn("_wrong", wrong_actions()).withColumn("_forced", F.size("_wrong") == 0).withColumn("_rank", rank(F.col("stage"), "sample_id"))
+    r = r.withColumn("_bucket", F.substring("_rank", 1, DIGITS))
+    # a stage and role may hold most of all rows: places are counted by hash bucket, and only a bucket is ordered in one task
+    free = F.when(F.col("_forced"), 0).otherwise(1)
+    counts = r.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum(free).alias("_free"))
+    earlier = W.partitionBy(*by).orderBy("_bucket")
+    counts = counts.select(
+        *by, "_bucket", (F.sum("_n").over(earlier) - F.col("_n")).alias("_before"), (F.sum("_free").over(earlier) - F.col("_free")).alias("_free_before"),
+        F.sum(F.col("_n") - F.col("_free")).over(W.partitionBy(*by)).alias("_all_forced")
+    )
+    counts = counts.join(F.broadcast(quotas), by, "left").na.fill(0, ["choice"])
+    for c in (*by, "_bucket"):
+        counts = counts.withColumnRenamed(c, "_c" + c)
+    same = [F.col(c).eqNullSafe(F.col("_c" + c)) for c in (*by, "_bucket")]
+    r = r.join(F.broadcast(counts), same).drop(*["_c" + c for c in (*by, "_bucket")])
+    hashed = W.partitionBy(*by, "_bucket").orderBy("_rank", "sample_id")
+    r = r.withColumn("_place", F.col("_before") + F.row_number().over(hashed) - 1).withColumn("_place", F.col("_place").cast("int"))
+    free = F.col("_free_before") + F.sum(free).over(hashed.rowsBetween(W.unboundedPreceding, W.currentRow))
     too_many = F.raise_error(F.concat_ws(" ", F.lit("more choices than the quota of"), "stage", "role")).cast("boolean")
     is_choice = F.when(F.col("_all_forced") > F.col("choice"), too_many).otherwise(
         F.col("_forced") | (free <= F.col("choice") - F.col("_all_forced"))
@@ -122,7 +143,7 @@ def decision_tasks(rows: DataFrame, quotas: DataFrame) -> DataFrame:
     ).otherwise(F.get("_wrong", F.col("_place") % F.greatest(F.size("_wrong"), F.lit(1))))
     r = r.withColumn("task_type", F.when(F.col("_choice"), "choice").otherwise("noul")).withColumn("candidate", F.when(~F.col("_choice"), pick))
     r = r.withColumn("targets", F.when(F.col("_choice"), F.col("optimal"))).withColumn("answer", F.array_contains("optimal", F.col("candidate")))
-    return r.drop("_wrong", "_forced", "_place", "_all_forced", "_choice", "choice")
+    return r.drop("_wrong", "_forced", "_rank", "_bucket", "_before", "_free_before", "_place", "_all_forced", "_choice", "choice")
 
 
 def repeated_states(rows: DataFrame, *state: str) -> DataFrame:

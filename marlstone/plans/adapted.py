@@ -70,16 +70,20 @@ def allocated_roles(s: SparkSession, d: str) -> DataFrame:
 
 
 def decision_tasks(s: SparkSession, d: str) -> DataFrame:
-    """Choice questions with several options as decisions: the options are the actions, the targets the best ones."""
+    """Choice questions with several options as decisions: the options are the actions, the targets the best ones.
+
+    A stage and role has 20 choices, or as many as it has rows that can only be choices, if those are more.
+    """
     e = table(s, d, "example").where(F.col("sample_id").isNotNull() & (F.size("options") > 0) & (F.size("target.ids") > 0))
     names = lambda c: F.transform(c, lambda o: o["id"])
     rows = e.select(
         "sample_id", F.coalesce(spelled_source("source"), F.lit("")).alias("stage"), F.coalesce(spelled("split"), F.lit("")).alias("role"),
         names("options").alias("actions"), F.col("target.ids").alias("optimal")
     )
-    rows = adapters.one_of_each(rows, "sample_id")
-    quotas = rows.select("stage", "role").distinct().withColumn("choice", F.lit(20))
-    out = decisions.decision_tasks(rows, cut(quotas))
+    rows = cut(adapters.one_of_each(rows, "sample_id"))
+    forced = F.size(decisions.wrong_actions()) == 0
+    quotas = rows.groupBy("stage", "role").agg(F.greatest(F.lit(20), F.count_if(forced)).alias("choice"))
+    out = decisions.decision_tasks(rows, quotas)
     return out.select("sample_id", "stage", "role", "task_type", "candidate", F.array_join("targets", ",").alias("targets"), "answer")
 
 

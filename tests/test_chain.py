@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marlstone.operators import decisions as de
 from marlstone.operators import metrics
+from marlstone.plans import adapted
 from marlstone.sources import catalog as ca
 
 sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
@@ -39,6 +40,22 @@ def test_decision_tasks(spark):
     assert de.decision_tasks(df.limit(0), quotas(1)).count() == 0
 
 
+def test_decision_query_with_more_forced_choices_than_the_quota(spark, tmp_path):
+    shape = "sample_id string, source string, split string, options array<struct<id:string>>, target struct<ids:array<string>>"
+    two = [("a",), ("b",)]
+    data = [(f"f{i}", "S", "train", [("a",)], (["a"],)) for i in range(23)] + [(f"w{i}", "s", "train", two, (["b"],)) for i in range(300)]
+    data += [(f"d{i}", "s", "dev", two, (["a"],)) for i in range(300)]
+    spark.createDataFrame(data, shape).write.parquet(str(tmp_path / "example.parquet"))
+    got = {r.sample_id: r for r in adapted.decision_tasks(spark, str(tmp_path)).collect()}
+    assert len(got) == 623 and {k for k, r in got.items() if r.task_type == "choice" and r.role == "train"} == {f"f{i}" for i in range(23)}
+    places = {k: sorted((r[0] for r in data if r[2] == k), key=lambda x: sha("s\0" + x)) for k in ("train", "dev")}
+    assert {k for k, r in got.items() if r.task_type == "choice" and r.role == "dev"} == set(places["dev"][:20])
+    for split, best in (("train", "b"), ("dev", "a")):
+        for place, k in enumerate(places[split]):
+            if got[k].task_type == "noul":
+                assert got[k].answer == (place % 2 == 0) == (got[k].candidate == best)
+
+
 def test_stages_and_labels(spark):
     a, b = spark.createDataFrame([("x", 1)], "k string, v int"), spark.createDataFrame([("y",)], "k string")
     assert sorted(map(tuple, de.unite({"b": b, "a": a}, {"a", "b"}).select("k", "v", "stage").collect())) == [("x", 1, "a"), ("y", None, "b")]
