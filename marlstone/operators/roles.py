@@ -3,15 +3,19 @@
 The choice is sequential by nature: a role may not touch a group that an earlier one has claimed. It is made over
 candidates whose number the plan bounds: each role, task and source keeps the ``limit`` questions of least hash (all
 evaluation questions of the task; for training the role's own number), cut in parallel by hash ranges. What is left,
-at most roles x tasks x sources x limit narrow rows a plan, is dealt in one task a plan.
+at most roles x tasks x sources x limit narrow rows a plan, is sorted by step and dealt in one task a plan, which holds
+the rows of one step at a time.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.functions.hashing import NUL, rank
@@ -22,6 +26,11 @@ from marlstone.operators.selection import unused
 ORDER = ("score", "noul", "choice")
 OUT = "plan_id string, role string, schema_split string, task_type string, source string, sample_id string, root_id string, group_id string, wanted long, short long"
 
+SHAPE = pa.schema([(c.split()[0], pa.int64() if c.endswith("long") else pa.string()) for c in OUT.split(", ")])
+#: Order in which rows are dealt: each step's own row, which has no source, stands before its candidates.
+IN = ("plan_id", "turn", "no", "source_place", "place", "sample_id")
+FEED = ("plan_id", "turn", "no", "role", "schema_split", "task_type", "wanted", "cap", "source", "sample_id", "root_id", "group_id")
+
 
 def plan_roles(plans: DataFrame) -> DataFrame:
     """(plan_id, seed, turn, role, schema_split, task_type, wanted, limit, cap): one row for each role and task of a plan.
@@ -51,48 +60,97 @@ def candidates(pool: DataFrame, steps: DataFrame, quotas: DataFrame) -> DataFram
     pool: sample_id, root_id, group_id, source, task_type. steps and quotas: rows of ``plan_roles``, of configuration size.
     """
     by = ["plan_id", "role", "task_type", "source"]
-    wide = pool.join(F.broadcast(steps.select("plan_id", "seed", "role", "task_type", "limit")), "task_type")
+    wide = pool.join(F.broadcast(steps.select("plan_id", "seed", "turn", "role", "task_type", "limit")), "task_type")
     wide = wide.withColumn("rank", rank(F.concat_ws(":", "seed", "role", "task_type", "source"), "sample_id"))
     quota = quotas.select(
         "plan_id", "role", "task_type", F.col("limit").alias("take")
     ).join(pool.select("source", "task_type").distinct(), "task_type")
-    cut = first_by_rank(wide.select(*by, "sample_id", "root_id", "group_id", "rank"), by, quota, tie="sample_id")
-    return cut.withColumn("place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type")), "sample_id")).withColumn(
-        "source_place", rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type"), F.lit(":sources")), "source")
+    cut = first_by_rank(wide.select(*by, "turn", "sample_id", "root_id", "group_id", "rank"), by, quota, tie="sample_id")
+    # as bytes: they order as their digits do
+    place = F.unhex(rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type")), "sample_id"))
+    source_place = F.unhex(rank(F.concat(F.lit("rlcd:"), F.concat_ws(":", "role", "task_type"), F.lit(":sources")), "source"))
+    return cut.select(
+        "plan_id", "turn", place_of(F.col("task_type")).alias("no"), source_place.alias("source_place"), place.alias("place"), "source", "sample_id",
+        "root_id", "group_id"
     )
 
 
-def deal(key: tuple, found: pd.DataFrame, steps: pd.DataFrame) -> pd.DataFrame:
-    """All roles of one plan. A row without a sample tells how many questions a step lacks."""
-    owner: dict[str, str] = {}
-    taken: set[str] = set()
-    out = []
-    pools = {k: g.sort_values(["source_place", "place", "sample_id"]) for k, g in found.groupby(["role", "task_type"], sort=False)}
-    used: dict[tuple[str, str], int] = {}
-    steps = steps.assign(no=steps["task_type"].map({t: i for i, t in enumerate(ORDER)})).sort_values(["turn", "no"])
-    for s in steps.itertuples():
-        pool = pools.get((s.role, s.task_type))
-        queues = {} if pool is None else {n: iter(g.itertuples()) for n, g in pool.groupby("source", sort=False)}
-        cap = math.inf if pd.isna(s.cap) else s.cap
-        got = 0
-        while got < s.wanted and queues:
-            for name in list(queues):
-                if got == s.wanted or used.get((s.role, name), 0) >= cap:
+def place_of(task: Column) -> Column:
+    """The task's place in ORDER."""
+    return F.array_position(F.array(*map(F.lit, ORDER)), task).cast("int")
+
+
+def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All roles of whole plans, step after step. A row without a sample tells how many questions a step lacks.
+
+    batches: rows of FEED, in the order of IN. A step's rows are held while it is dealt, then let go; of earlier steps only
+    what was taken is kept.
+    """
+    plan, owner, taken, used = None, {}, set(), {}
+
+    def deal(s: dict, pool: pa.Table | None) -> list[tuple]:
+        nonlocal plan
+        if plan is None or plan[0] != s["plan_id"]:
+            plan = (s["plan_id"],)
+            owner.clear(), taken.clear(), used.clear()
+        name, role = s["task_type"], s["role"]
+        cap = math.inf if s["cap"] is None else s["cap"]
+        queues = {}
+        if pool is not None:
+            runs = pc.run_end_encode(pool.column("source").combine_chunks())
+            begin = 0
+            for source, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
+                queues[source] = rows_of(pool.slice(begin, end - begin))
+                begin = end
+        out = []
+        while len(out) < s["wanted"] and queues:
+            for source in list(queues):
+                if len(out) == s["wanted"] or used.get((role, source), 0) >= cap:
                     continue
-                row = next((r for r in queues[name] if r.sample_id not in taken and owner.get(r.group_id, s.role) == s.role), None)
+                row = next((r for r in queues[source] if r[0] not in taken and owner.get(r[2], role) == role), None)
                 if row is None:
-                    del queues[name]
+                    del queues[source]
                     continue
-                taken.add(row.sample_id)
-                owner[row.group_id] = s.role
-                used[s.role, name] = used.get((s.role, name), 0) + 1
-                got += 1
-                out.append((s.plan_id, s.role, s.schema_split, s.task_type, name, row.sample_id, row.root_id, row.group_id, s.wanted, 0))
-            if got < s.wanted and all(used.get((s.role, n), 0) >= cap for n in queues):
+                taken.add(row[0])
+                owner[row[2]] = role
+                used[role, source] = used.get((role, source), 0) + 1
+                out.append((s["plan_id"], role, s["schema_split"], name, source, *row, s["wanted"], 0))
+            if len(out) < s["wanted"] and all(used.get((role, n), 0) >= cap for n in queues):
                 break
-        if got < s.wanted:
-            out.append((s.plan_id, s.role, s.schema_split, s.task_type, None, None, None, None, s.wanted, s.wanted - got))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
+        if len(out) < s["wanted"]:
+            out.append((s["plan_id"], role, s["schema_split"], name, None, None, None, None, s["wanted"], s["wanted"] - len(out)))
+        return out
+
+    def step() -> Iterator[pa.RecordBatch]:
+        pool = pa.Table.from_batches(parts) if parts else None
+        for s in heads:
+            rows = deal(s, pool)
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), SHAPE)], schema=SHAPE)
+
+    heads: list[dict] = []
+    parts: list[pa.RecordBatch] = []
+    for batch in batches:
+        begin = 0
+        for at in np.flatnonzero(batch.column("source").is_null().to_numpy(zero_copy_only=False)).tolist():
+            if at > begin:
+                parts.append(batch.slice(begin, at - begin))
+            head = batch.slice(at, 1).to_pylist()[0]
+            if parts or heads and any(heads[-1][k] != head[k] for k in ("plan_id", "turn", "no")):
+                yield from step()
+                heads, parts = [], []
+            heads.append(head)
+            begin = at + 1
+        if begin < batch.num_rows:
+            parts.append(batch.slice(begin))
+    yield from step()
+
+
+def rows_of(pool: pa.Table, many: int = 1000) -> Iterator[tuple]:
+    """(sample_id, root_id, group_id) of each row, read a few at a time: most rows of a step are never asked for."""
+    for i in range(0, pool.num_rows, many):
+        some = pool.slice(i, many)
+        yield from zip(*(some.column(c).to_pylist() for c in ("sample_id", "root_id", "group_id")))
 
 
 def role_manifest(questions: DataFrame, trained: DataFrame, plans: DataFrame, strict: bool = False) -> DataFrame:
@@ -108,11 +166,13 @@ def role_manifest(questions: DataFrame, trained: DataFrame, plans: DataFrame, st
     own = F.when(F.col("group_id") != "", F.col("group_id")).otherwise(F.concat(F.lit("root" + NUL), "root_id")).alias("group_id")
     listed = plan_roles(plans)
     rows = listed.collect()  # a few rows of configuration
-    steps, again, third = (plans.sparkSession.createDataFrame(rows, listed.schema) for _ in range(3))
+    steps, again, heads = (plans.sparkSession.createDataFrame(rows, listed.schema) for _ in range(3))
     free = known(unused(questions, trained)).select("sample_id", "root_id", own, "source", "task_type")
     seen = known(trained).select("sample_id", "root_id", own, "source", "task_type")
     found = candidates(free, steps.where("role != 'train'"), again).unionByName(candidates(seen, steps.where("role = 'train'"), again))
-    out = found.groupBy("plan_id").cogroup(third.groupBy("plan_id")).applyInPandas(deal, OUT)
+    heads = heads.withColumn("no", place_of(F.col("task_type"))).drop("seed", "limit")
+    feed = found.unionByName(heads, allowMissingColumns=True).repartition("plan_id").sortWithinPartitions(*IN).select(*FEED)
+    out = feed.mapInArrow(dealt, OUT)
     if strict:
         lacks = out.where("short > 0").select("plan_id", "role", "task_type", "short").collect()
         if lacks:

@@ -7,6 +7,7 @@ import json
 import math
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,6 +95,26 @@ def test_role_manifest(spark):
     assert all(r.sample_id is None for r in empty) and sum(r.short for r in empty) == sum(r["questions"] for r in plan.values())
 
 
+def test_roles_are_dealt_step_by_step():
+    step = lambda turn, role, ids, wanted=2: [
+        dict(plan_id="p", turn=turn, no=1, role=role, schema_split=role, task_type="score", wanted=wanted, cap=None)
+    ] + [dict(plan_id="p", turn=turn, no=1, source="s", sample_id=i, root_id=i, group_id="g" + i) for i in ids]
+    steps = [step(0, "dev", "ab"), step(1, "test", []), step(2, "audit", "bc"), step(3, "test", "defgh")]
+    rows, read = [{c: r.get(c) for c in roles.FEED} for x in steps for r in x], []
+    fields = [(c, pa.int64() if c in ("turn", "no", "wanted", "cap") else pa.string()) for c in roles.FEED]
+
+    def batches():
+        for i in range(0, len(rows), 2):
+            read.append(i)
+            yield pa.RecordBatch.from_pylist(rows[i : i + 2], pa.schema(fields))
+
+    found = roles.dealt(batches())
+    # a step is given out before the rows of the step after next are read
+    assert [r["sample_id"] for r in next(found).to_pylist()] == ["a", "b"] and len(read) == 2
+    rest = [(r["role"], r["sample_id"], r["short"]) for b in found for r in b.to_pylist()]
+    assert rest == [("test", None, 2), ("audit", "c", 0), ("audit", None, 1), ("test", "d", 0), ("test", "e", 0)]
+
+
 O = "array<struct<id:string,text:string,box:array<double>>>"
 
 
