@@ -110,21 +110,21 @@ def negatives(
     joined by shuffle.
     """
     a = cut(answers.select("sample_id", "answer", *by))
-    rows = a.count()
-    for name, keys in (("_exact", by), ("_wide", by[:-1])) if fallback else (("_exact", by),):
-        p = cut(pools(a if members is None else members, keys, cap)).withColumnRenamed("pool", name)
-        a = a.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
-    if fallback:
-        own = F.array_contains("_exact", F.col("answer")).cast("int")
-        pool = F.when(F.size("_exact") - own >= wanted, F.col("_exact")).otherwise(F.col("_wide"))
-    else:
-        pool = F.col("_exact")
-    pool = F.coalesce(pool, F.array().cast("array<string>"))
-    # a row takes as many hashes as its pool has answers, so rows are spread by work, not by bytes
-    tasks = max(a.sparkSession.sparkContext.defaultParallelism, rows * cap // WORK)
-    a = a.repartition(tasks, "sample_id").select("sample_id", "answer", F.array_remove(pool, F.col("answer")).alias("pool"))
-    first = F.slice(F.array_sort(with_hash(F.col("pool"), F.col("sample_id"), "\u0000")), 1, wanted)
-    return a.select("sample_id", "answer", after_hash(first).alias("negatives"))
+    # a row takes as many hashes as its pool has answers, so rows are spread by work, not by bytes, and before pools are joined
+    tasks = max(a.sparkSession.sparkContext.defaultParallelism, a.count() * cap // WORK)
+    members = a if members is None else members
+    out = a.repartition(tasks, "sample_id").withColumn("negatives", F.lit(None).cast("array<string>"))
+    for keys, enough in ((by, wanted), (by[:-1], 0)) if fallback else ((by, 0),):
+        p = cut(pools(members, keys, cap))
+        out = out.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
+        pool = F.coalesce("pool", F.array().cast("array<string>"))
+        others = F.size(pool) - F.coalesce(F.array_contains(pool, F.col("answer")), F.lit(False)).cast("int")
+        pool = F.array_remove(pool, F.col("answer"))
+        first = F.slice(F.array_sort(with_hash(pool, F.col("sample_id"), "\u0000")), 1, wanted)
+        # what a pool gives is taken before the row moves on, so that no pool moves with a row
+        out = out.withColumn("negatives", F.when(F.col("negatives").isNull() & (others >= enough), after_hash(first)).otherwise(F.col("negatives")))
+        out = out.drop("pool")
+    return out.select("sample_id", "answer", "negatives")
 
 
 def history(steps: DataFrame) -> DataFrame:

@@ -284,6 +284,25 @@ def test_negatives(spark):
     assert nesting.negatives(df.limit(0), ["split", "kind", "family"]).count() == 0
 
 
+def test_no_pool_moves_with_a_row(spark):
+    data = [(f"s{i}", "train", "word", f"f{i % 5}", f"v{i % 40}") for i in range(200)]
+    df = spark.createDataFrame(data, "sample_id string, split string, kind string, family string, answer string")
+    want = None
+    for most in (4096, 0):  # pools broadcast, and joined by shuffle
+        n = nesting.negatives(df, ["split", "kind", "family"], most=most)
+        got = {r.sample_id: r.negatives for r in n.collect()}
+        assert len(got) == 200 and got == (want or got)
+        want = got
+        plan = n._jdf.queryExecution().optimizedPlan()
+        if most:
+            moved = [p for p in str(plan.toString()).split("\n") if "RepartitionByExpression" in p]
+            below = plan.toString().split("RepartitionByExpression", 1)[1]
+            assert moved and "Join" not in below.split("LogicalRDD", 1)[0]
+    for k, _, _, f, own in data:
+        pool = {v for _, _, _, g, v in data if g == f} - {own}
+        assert want[k] == sorted(pool, key=lambda v: sha(f"{k}\0{v}"))[:3]
+
+
 def test_resume(spark, tmp_path):
     a, b = spark.createDataFrame([(1,), (2,), (None,)], "k int"), spark.createDataFrame([(2,), (3,), (3,)], "k int")
     assert [r.k for r in resume.pending(a, b, "k").where("k is not null").collect()] == [1]
