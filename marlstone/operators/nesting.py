@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
 from marlstone.operators.ranking import first_by_rank
@@ -114,8 +118,10 @@ def negatives(
     tasks = max(a.sparkSession.sparkContext.defaultParallelism, a.count() * cap // WORK)
     members = a if members is None else members
     out = a.repartition(tasks, "sample_id").withColumn("negatives", F.lit(None).cast("array<string>"))
-    for keys, enough in ((by, wanted), (by[:-1], 0)) if fallback else ((by, 0),):
-        p = cut(pools(members, keys, cap))
+    ways = [(keys, enough, cut(pools(members, keys, cap))) for keys, enough in (((by, wanted), (by[:-1], 0)) if fallback else ((by, 0),))]
+    if all(p.count() <= most for _, _, p in ways):
+        return few_pools(out.drop("negatives"), ways, wanted)
+    for keys, enough, p in ways:
         out = out.join(F.broadcast(p) if p.count() <= most else p, keys, "left")
         pool = F.coalesce("pool", F.array().cast("array<string>"))
         others = F.size(pool) - F.coalesce(F.array_contains(pool, F.col("answer")), F.lit(False)).cast("int")
@@ -127,6 +133,45 @@ def negatives(
     return out.select("sample_id", "answer", "negatives")
 
 
+def few_pools(rows: DataFrame, ways: list[tuple[list[str], int, DataFrame]], wanted: int) -> DataFrame:
+    """(sample_id, answer, negatives) by pools that were counted: each row gets its pools' numbers, and a Python worker has the
+    pools and hashes a pool as one list, in less than half the time of the JVM's expressions.
+
+    ways: columns of the pool, other answers it has to have, pools; the first that has enough is taken.
+    """
+    spark, lists = rows.sparkSession, []
+    for i, (keys, enough, p) in enumerate(ways):
+        found = p.select(*keys, "pool").collect()
+        shape = T.StructType([*p.select(*keys).schema.fields, T.StructField(f"_at{i}", T.IntegerType())])
+        numbers = spark.createDataFrame([(*r[:-1], n) for n, r in enumerate(found)], shape)
+        rows = rows.join(F.broadcast(numbers), keys, "left")
+        lists.append((enough, [r.pool for r in found]))
+    shared = spark.sparkContext.broadcast(lists)
+
+    @F.pandas_udf("array<string>")
+    def least(sample: pd.Series, answer: pd.Series, at: pd.DataFrame) -> pd.Series:
+        tried = [(enough, pools_, [[v.encode() for v in p] for p in pools_], [set(p) for p in pools_]) for enough, pools_ in shared.value]
+        sha, out = hashlib.sha256, []
+        for s, a, *ns in zip(sample, answer, *(at[c].fillna(-1).astype(int) for c in at.columns)):
+            got = None
+            for n, (enough, names, coded, known) in zip(ns, tried):
+                pool = names[n] if n >= 0 else []
+                others = len(pool) - (n >= 0 and a in known[n])
+                if a is None or others < enough:
+                    continue
+                if s is None or not pool:
+                    got = [None] * min(wanted, others)
+                    break
+                key = s.encode() + b"\0"
+                hashes = [sha(key + v).digest() for v in coded[n]]
+                got = [v for v in (pool[hashes.index(h)] for h in sorted(hashes)[: wanted + 1]) if v != a][:wanted]
+                break
+            out.append(got)
+        return pd.Series(out, dtype=object)
+
+    return rows.select("sample_id", "answer", least("sample_id", "answer", F.struct(*[f"_at{i}" for i in range(len(ways))])).alias("negatives"))
+
+
 def history(steps: DataFrame) -> DataFrame:
     """(episode_id, step, action, history): all actions of earlier steps, in order; repeated steps count once."""
     first = steps.where("episode_id is not null and step is not null").groupBy("episode_id", "step").agg(F.min("action").alias("action"))
