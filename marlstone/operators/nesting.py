@@ -135,7 +135,7 @@ def negatives(
 
 def few_pools(rows: DataFrame, ways: list[tuple[list[str], int, DataFrame]], wanted: int) -> DataFrame:
     """(sample_id, answer, negatives) by pools that were counted: each row gets its pools' numbers, and a Python worker has the
-    pools and hashes a pool as one list, in less than half the time of the JVM's expressions.
+    pools and hashes a pool as one list, which takes less time than the JVM's expressions.
 
     ways: columns of the pool, other answers it has to have, pools; the first that has enough is taken.
     """
