@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 from marlstone.llm import ngram_hits, overlap
 
@@ -82,3 +83,26 @@ def test_rule_by_brute_force(spark, monkeypatch):
         monkeypatch.setattr(ngram_hits, "HOT", hot)
         monkeypatch.setattr(ngram_hits, "LEAST_HOT", floor)
         assert set(found(spark, data)[0]) == want
+
+
+def test_met_pairs_are_not_moved(spark):
+    """Questions made of stock phrases meet in pairs; five times the questions must not move 25 times the bytes."""
+    rnd = random.Random(5)
+    phrases = [" ".join("".join(rnd.choice("bcdfghjklmnpqrstvwxz") for _ in range(6)) for _ in range(6)) for _ in range(40)]
+
+    def moved():
+        sc = spark.sparkContext._jsc.sc()
+        sc.listenerBus().waitUntilEmpty()
+        time.sleep(0.5)  # what the store shows lags behind by a moment
+        return sc.statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    sizes = []
+    for n in (400, 2000):
+        texts = [" ".join(rnd.sample(phrases, 5)) for _ in range(2 * n)]
+        data = [(f"b{i}", "train", "s", None, t) for i, t in enumerate(texts[:n])]
+        data += [(f"a{i}", "test", "s", None, t) for i, t in enumerate(texts[n:])] + [("z", "dev", "s", None, f"{texts[7]} then")]
+        before = moved()
+        pairs = found(spark, data)[0]
+        sizes.append(moved() - before)
+        assert ("b7", "z") in pairs and len(pairs) < n
+    assert sizes[1] < 8 * sizes[0], sizes
